@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import mix64, query, row_chunks, text_bytes
 
-GRAM = 32
+GRAM = 16
+#: Segments overlap by nearly a window, so they are worth a slow compression before they are sent.
+_CODEC = pa.Codec("zstd", compression_level=6)
 _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _CHUNK = 1 << 20
 
@@ -120,7 +122,7 @@ def _cut(length: int, buckets: int):
             yield from _packed(bucket, doc, start, anchor, sizes, parts)
             again = np.concatenate(gone, axis=1)
             if again.shape[1]:
-                yield _row(np.int32(-1), again[0], again[1], np.zeros(0, np.uint64), again[2], b"")
+                yield _row(-1, again[0], again[1], np.zeros(0, np.uint64), again[2] - again[1], b"")
 
     return run
 
@@ -128,9 +130,27 @@ def _cut(length: int, buckets: int):
 _BLOB = "bucket int, docs binary, starts binary, anchors binary, sizes binary, bytes binary"
 
 
-def _row(bucket, docs, starts, anchors, sizes, data: bytes) -> pa.RecordBatch:
-    values = [docs.astype(np.int64).tobytes(), starts.astype(np.int64).tobytes(), anchors.tobytes(), sizes.astype(np.int64).tobytes(), data]
-    return pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], names=["bucket", "docs", "starts", "anchors", "sizes", "bytes"])
+def _row(bucket: int, docs, starts, anchors, sizes, data: bytes) -> pa.RecordBatch:
+    """A row of packed columns: ids as differences, anchors cut to the 32 bits that the bucket number leaves."""
+    values = [np.diff(docs, prepend=0).astype(np.int64), starts.astype(np.int32), (anchors >> np.uint64(32)).astype(np.uint32), sizes.astype(np.int32), data]
+    packed = [_pack(x if isinstance(x, bytes) else x.tobytes()) for x in values]
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "docs", "starts", "anchors", "sizes", "bytes"])
+
+
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(_unpack(x.as_py()), kind) for x in table.column(name)])
+
+
+def _documents(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(_unpack(x.as_py()), np.int64)) for x in table.column("docs")])
 
 
 def _packed(bucket, doc, start, anchor, sizes, parts):
@@ -173,13 +193,12 @@ def _find(length: int, batch_windows: int):
     """Segments of one bucket to the runs of bytes that repeat an earlier window."""
 
     def run(table: pa.Table) -> pa.Table:
+        docs, starts, sizes = _documents(table), _column(table, "starts", np.int32).astype(np.int64), _column(table, "sizes", np.int32).astype(np.int64)
         if table.column("bucket")[0].as_py() < 0:
-            docs, starts, ends = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("docs", "starts", "sizes"))
-            return pa.table({"doc_id": docs, "start": starts, "end": ends})
-        docs, starts, sizes = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("docs", "starts", "sizes"))
-        anchors = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("anchors")])
+            return pa.table({"doc_id": docs, "start": starts, "end": starts + sizes})
+        anchors = _column(table, "anchors", np.uint32)
         inner_repeats, sizes = sizes < 0, np.abs(sizes)
-        data = np.frombuffer(b"".join([x.as_py() for x in table.column("bytes")]), np.uint8)
+        data = np.frombuffer(b"".join([_unpack(x.as_py()) for x in table.column("bytes")]), np.uint8)
         at = np.cumsum(sizes) - sizes
         # An anchor that came once has no window to share, but for repeats inside its segment.
         _, which, counts = np.unique(anchors, return_inverse=True, return_counts=True)
