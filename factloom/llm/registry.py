@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, decontaminate, minhash, packing, sharding, substrings, topk  # noqa: F401  (importing registers their queries)
+from factloom.llm import chat, decontaminate, minhash, packing, sharding, substrings, topk, toxicity  # noqa: F401  (importing registers their queries)
 from factloom.llm.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
