@@ -282,7 +282,7 @@ def cut_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
         F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__spans.end"), i - 1)).alias("a"),
         F.coalesce(F.get(F.col("__spans.start"), i), F.octet_length("text").cast("long")).alias("b"),
     ))
-    kept = F.array_join(F.transform(edges, lambda e: F.decode(F.substring(data, (e["a"] + 1).cast("int"), (e["b"] - e["a"]).cast("int")), F.lit("UTF-8"))), "")
+    kept = F.array_join(F.transform(edges, lambda e: F.decode(F.substring(data, (e["a"] + 1).cast("int"), (e["b"] - e["a"]).cast("int")), "UTF-8")), "")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
