@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm.common import materialize, query
 
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 400_000
-_CACHE: dict[str, bytes] = {}
+_CACHE_WORDS = 250_000
+_ROWS = 64
 
 
 def _tokenizer(path: str):
@@ -35,33 +35,71 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class WordIds:
+    """Ids of stretches without blanks as bytes; stretches that come again are kept longer than those seen once."""
+
+    def __init__(self, path: str, size: int = _CACHE_WORDS) -> None:
+        self.tokenizer, self.size = _tokenizer(path), size
+        self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+
+    def encode(self, words: list[str]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def learn(self, seen: set[str]) -> None:
+        """Make every stretch of `seen` known."""
+        known = self.known
+        if len(known) + len(seen) > self.size:
+            for word in self.once:
+                del known[word]
+            self.once.clear()
+            if len(known) + len(seen) > self.size:
+                known.clear()
+        self.once -= seen
+        fresh = seen.difference(known)
+        if not fresh:
+            return
+        # The tokenizer splits letters from one closing mark and lowers case, so these stretches have their core's ids.
+        cores = {}
+        for word in fresh:
+            core, mark = (word[:-1], word[-1]) if word[-1:] in {".", ","} and word[-2:-1].isalpha() else (word, "")
+            if core.isascii():
+                core = core.lower()
+            if mark or core != word:
+                cores[word] = (core, mark)
+        wanted = (fresh.difference(cores) | {c for c, _ in cores.values()} | {".", ","}).difference(known)
+        self.encode(list(wanted))
+        for word, (core, mark) in cores.items():
+            known[word] = known[core] + known[mark] if mark else known[core]
+        self.once |= fresh
+        self.once |= wanted
+        self.once -= {".", ","}
+
+    def ids(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        group = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        self.learn(set().union(*group))
+        return [b"".join(map(self.known.__getitem__, x)) + end for x in group]
+
+
 def tokenize(documents: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """doc_id long, ids binary (little-endian unsigned 32-bit ids of the whole text, then end_id), tokens int.
 
     The tokenizer splits words at white space and never joins over it, so each
-    distinct stretch between blanks and line ends is tokenised once a worker
-    and then looked up. Null texts count as empty and hold end_id alone.
-    Repeated rows stay repeated; an empty table gives no rows.
+    distinct stretch between blanks and line ends is tokenised once a task and
+    then looked up. Null texts count as empty and hold end_id alone. Repeated
+    rows stay repeated; an empty table gives no rows.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer = _tokenizer(path)
-        cache = _CACHE
+        words = WordIds(path)
         for batch in batches:
-            out = []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                group = [(x or "").replace("\n", " ").split(" ") for x in texts[at : at + 64]]
-                fresh = list(set().union(*group).difference(cache))
-                if len(cache) + len(fresh) > _CACHE_WORDS:
-                    cache.clear()
-                    fresh = list(set().union(*group))
-                for word, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    cache[word] = np.array(got.ids, "<u4").tobytes()
-                out.extend(b"".join(map(cache.__getitem__, x)) + end for x in group)
-            sizes = pa.array([len(x) // 4 for x in out], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), sizes], names=["doc_id", "ids", "tokens"])
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                out = words.ids(part.column(1).to_pylist(), end)
+                sizes = pa.array([len(x) // 4 for x in out], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), sizes], names=["doc_id", "ids", "tokens"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, tokens int")
 
