@@ -10,13 +10,14 @@ cut at the window's end goes on as the next window's seed.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import materialize, query
+from factloom.llm.common import bounded_batches, materialize, query
 
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_WORDS = 250_000
@@ -24,6 +25,8 @@ _ROWS = 64
 
 
 def _tokenizer(path: str):
+    # Spark's tasks use the cores already; the library's own threads would only contend.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -253,4 +256,5 @@ def op10_lexical_packing(spark, sf_dir):
 
 def pack_documents(documents: DataFrame, window: int = 2048) -> DataFrame:
     """Tokenise, write and pack all documents."""
+    bounded_batches(documents.sparkSession)
     return pack(materialize(tokenize(documents, tokenizer_path()), "tokens"), window)
