@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -38,15 +39,35 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The letter for each byte in byte-level vocabularies: itself where printable, else the next letter after 255.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordIds:
     """Ids of stretches without blanks as bytes; stretches that come again are kept longer than those seen once."""
 
     def __init__(self, path: str, size: int = _CACHE_WORDS) -> None:
         self.tokenizer, self.size = _tokenizer(path), size
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.once: set[str] = set()
 
     def encode(self, words: list[str]) -> None:
+        """Words of plain Latin letters go to the model at once, as normalising and splitting leave them whole."""
+        known, tokens, odd = self.known, self.model.tokenize, []
+        for word in words:
+            if word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word)):
+                plain = word.lower()
+                if not plain.isascii():
+                    plain = plain.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                known[word] = struct.pack(f"<{len(got)}I", *got) if (got := [t.id for t in tokens(plain)]) else b""
+            else:
+                odd.append(word)
+        if odd:
+            self.encode_any(odd)
+
+    def encode_any(self, words: list[str]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.array(got.ids, "<u4").tobytes()
 
