@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm.common import bounded_batches, materialize, query
 
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 250_000
-_ROWS = 64
+_CACHE_WORDS = 600_000
+_ROWS = 256
 
 
 def _tokenizer(path: str):
