@@ -175,7 +175,7 @@ def train(documents: DataFrame, max_rows: int = 2400, tasks: int = 4, epochs: in
     labels = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not labels:
         return None
-    parts = sample.repartition(tasks, F.xxhash64("text")).mapInArrow(_train(labels, 32, epochs, 0.3, 7), "tables binary, moves binary").collect()
+    parts = sample.repartition(tasks).mapInArrow(_train(labels, 32, epochs, 0.3, 7), "tables binary, moves binary").collect()
     tables = np.mean([np.frombuffer(p[0], np.float32) for p in parts], axis=0).reshape(3, _SIZE, len(labels))
     moves = sum(np.frombuffer(p[1], np.float64) for p in parts).reshape(len(labels), len(labels)) + 1
     return Model(labels, tables.astype(np.float32), moves / moves.sum(axis=1, keepdims=True))
