@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.llm.common import query
+from factloom.llm.common import materialize, query
 
 # Letters of other scripts that look like Latin ones, then digits and signs used for letters.
 _LOOKALIKES = {
@@ -149,6 +149,7 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     lexicon is empty and the score is the base rate everywhere.
     """
     counted = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = materialize(counted.where("toxic >= 3 or term = 'n'"), "terms")
     n = counted.where("term = 'n'").first()
     n_toxic, n_clean = (n[1], n[2]) if n else (0, 0)
     base = n_toxic / max(1, n_toxic + n_clean)
