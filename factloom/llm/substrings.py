@@ -155,6 +155,8 @@ def _documents(table: pa.Table) -> np.ndarray:
 
 def _packed(bucket, doc, start, anchor, sizes, parts):
     """One row for each bucket with all of its segments."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
@@ -245,7 +247,7 @@ def _suffix_array(keys: np.ndarray) -> np.ndarray:
 
 def _runs(groups: np.ndarray):
     cuts = np.flatnonzero(np.diff(groups, prepend=-1))
-    return zip(cuts, np.append(cuts[1:], len(groups)), strict=True)
+    return zip(cuts, np.append(cuts, len(groups))[1:], strict=True)
 
 
 def _hit_runs(hit: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
