@@ -23,7 +23,7 @@ def parse_number(c: Column) -> Column:
 def parse_magnitude(c: Column) -> Column:
     """Numbers with a K, M or B suffix as plain numbers, else null (FN-5)."""
     pattern = r"^(-?\d+(?:\.\d+)?)\s*([KMB]?)$"
-    text = F.upper(F.trim(c))
+    text = F.replace(F.upper(F.trim(c)), F.lit(","), F.lit(""))
     number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
     unit = F.regexp_extract(text, pattern, 2)
     return number * F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
