@@ -69,11 +69,11 @@ def gr3_neighbourhood(spark, sf_dir):
 
 @query(
     "gr5_unsupported_parts",
-    "SELECT p_partkey AS root, 'supplier' AS kind FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')",
+    "SELECT p_partkey AS root, 'supplier' AS kind FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)",
 )
 def gr5_unsupported_parts(spark, sf_dir):
     facts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"))
-    paths = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("root"), F.lit("supplier").alias("kind"))
+    paths = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("root"), F.lit("supplier").alias("kind"))
     return provenance.uncovered(facts, paths, ["supplier"])
 
 
