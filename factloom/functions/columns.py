@@ -49,3 +49,78 @@ def nearly_equal(left: Column, right: Column, absolute: float, percent: float) -
     """Numeric equivalence within an absolute or a relative tolerance (FN-18)."""
     gap = F.abs(left - right)
     return (gap <= absolute) | (gap <= F.greatest(F.abs(left), F.abs(right)) * (percent / 100.0))
+
+
+def normalize_url(c: Column) -> Column:
+    """Without fragment and trailing slashes of a path, scheme and host in lower case (FN-8)."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(c), "#.*$", ""), "^([A-Za-z]+://[^/]+/.*[^/])/+$", "$1")
+    head = F.regexp_extract(plain, "^([A-Za-z]+://[^/?]*)", 1)
+    return F.concat(F.lower(head), F.substring(plain, F.length(head) + 1, F.length(plain)))
+
+
+def unsafe_url_reason(c: Column) -> Column:
+    """Why a public URL is refused: not_https, credentials or private_host; null if it is fine (PF-4)."""
+    host = F.lower(F.regexp_extract(c, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    private = host.rlike(r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|.*\.local)$")
+    return (
+        F.when(c.isNull() | ~c.rlike("(?i)^https://"), "not_https")
+        .when(c.rlike("^[A-Za-z]+://[^/?#]*@"), "credentials")
+        .when(private | (host == ""), "private_host")
+    )
+
+
+def usd_per_million(amount: Column, denominator: Column) -> Column:
+    """Prices per token, per thousand or per million tokens as prices per million (FN-10); null for other units."""
+    factor = F.when(denominator == "token", 1e6).when(denominator == "thousand_tokens", 1e3)
+    return amount * factor.when(denominator.isin("million_tokens", "million_input_tokens", "million_output_tokens"), 1.0)
+
+
+def duration_ms(amount: Column, unit: Column) -> Column:
+    """Durations in milliseconds (FN-10); null for an unknown unit."""
+    factor = F.when(unit == "milliseconds", 1.0).when(unit == "seconds", 1e3).when(unit == "minutes", 6e4)
+    return amount * factor.when(unit == "hours", 3.6e6).when(unit == "days", 8.64e7)
+
+
+def enum_map(c: Column, values: dict[str, str], fallback: str | None = None) -> Column:
+    """Map trimmed, lower-cased words to canonical ones (FN-11)."""
+    key, out = F.lower(F.trim(c)), F.lit(fallback)
+    for word, canonical in values.items():
+        out = F.when(key == word, canonical).otherwise(out)
+    return out
+
+
+def split_part(c: Column, separator: str, index: int) -> Column:
+    """One part of a text, counted from 0; null beyond the end (FN-12)."""
+    return F.try_element_at(F.split(c, r"\Q" + separator + r"\E"), F.lit(index + 1))
+
+
+def combine(separator: str, *parts: Column) -> Column:
+    """Parts that are neither null nor empty, joined (FN-12)."""
+    return F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def version_token(c: Column) -> Column:
+    """An explicit version such as 2024, 2024-05 or 2024-05-01, else null (FN-14)."""
+    return F.nullif(F.regexp_extract(c, r"(?<![0-9])(20[0-9]{2}(?:-[0-9]{2}(?:-[0-9]{2})?)?)(?![0-9])", 1), F.lit(""))
+
+
+def digest(c: Column) -> Column:
+    """'sha256:' and the hex digest of a text (FN-15)."""
+    return F.concat(F.lit("sha256:"), F.sha2(c, 256))
+
+
+def hmac_sha256(key: bytes, body: Column) -> Column:
+    """Hex HMAC-SHA256 of a text (FN-16); the pads are made here, the hashing stays in the JVM."""
+    import hashlib
+
+    padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ x for b in padded).hex())) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
+
+
+SECRET_PAIR = r'(?i)\b(token|secret|password|api_key|apikey)\s*[=:]\s*"[^"]+"'
+
+
+def mask_secret_pairs(c: Column) -> Column:
+    """Values assigned to secret names in a text become [REDACTED] (FN-17)."""
+    return F.regexp_replace(c, SECRET_PAIR, '$1="[REDACTED]"')

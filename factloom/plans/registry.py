@@ -234,4 +234,4 @@ def ag10_manifest(spark, sf_dir):
     return out.select("table_name", "n_rows", "n_keys")
 
 
-from factloom.plans import trust  # noqa: E402, F401  (importing registers its queries)
+from factloom.plans import health, trust  # noqa: E402, F401  (importing registers their queries)
