@@ -15,6 +15,11 @@ def normalize_identity(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def normalize_identifier(c: Column) -> Column:
+    """Lower case, every other character than a-z, 0-9, '.', '_' and '-' as '-', none of these at the edges (FN-2, ASCII)."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+
+
 def parse_number(c: Column) -> Column:
     """Drop everything but digits, dot and signs, then cast; null where no number is left (FN-4)."""
     return F.regexp_replace(c, "[^0-9.+-]", "").try_cast("double")

@@ -78,3 +78,63 @@ def ambiguous(inputs: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     several = Window.partitionBy(key)
     owners = keyed.select(key, "entity_id").distinct().withColumn("__n", F.count("*").over(several)).where("__n > 1").drop("__n")
     return inputs.join(owners, key)
+
+
+def check_operations(entities: DataFrame, operations: DataFrame) -> DataFrame:
+    """Add problem to merges, splits and reversals (ID-4, ID-5, ID-6).
+
+    entities: entity_id, provider; operations: op_id, kind, source_id,
+    target_id, one row for each merge and for each child of a split (op_id
+    repeats); a reversal names the op it undoes as target_id. problem, on all
+    rows of the op: unknown_entity, same_entity, other_provider, few_children
+    (under 2), unknown_operation, unknown_kind or null.
+    """
+    one = entities.select("entity_id", "provider").distinct()
+    source = one.select(F.col("entity_id").alias("source_id"), F.col("provider").alias("__p"))
+    target = one.select(F.col("entity_id").alias("target_id"), F.col("provider").alias("__q"))
+    undone = operations.where(F.col("kind").isin("merge", "split")).select(F.col("op_id").alias("target_id"), F.lit(True).alias("__known")).distinct()
+    rows = operations.join(source, "source_id", "left").join(target, "target_id", "left").join(undone, "target_id", "left")
+    problem = (
+        F.when(F.coalesce(~F.col("kind").isin("merge", "split", "reverse"), F.lit(True)), "unknown_kind")
+        .when(F.col("kind") == "reverse", F.when(F.col("__known").isNull(), "unknown_operation"))
+        .when(F.col("__p").isNull() | F.col("__q").isNull(), "unknown_entity")
+        .when(F.col("source_id") == F.col("target_id"), "same_entity")
+        .when(F.col("__p") != F.col("__q"), "other_provider")
+    )
+    per_op = rows.groupBy("op_id").agg(
+        F.min(problem).alias("__worst"), F.first("kind", ignorenulls=True).alias("__kind"), F.count_distinct("target_id").alias("__children")
+    )
+    whole = F.coalesce("__worst", F.when((F.col("__kind") == "split") & (F.col("__children") < 2), "few_children"))
+    return operations.join(per_op.select("op_id", whole.alias("problem")), "op_id", "left")
+
+
+def apply_operations(entities: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and lineage edges after a log of operations (ID-4 to ID-6).
+
+    checked comes from check_operations; rows with a problem do nothing.
+    Reversing takes away only that operation's rows, so later ones stay. Returns
+    (entity_id, state: active, merged or split, merged_into) and edges (src,
+    dst, kind: alias_of or version_of, op_id). If several merges stand for an
+    entity, that of the smallest op_id counts.
+    """
+    sound = checked.where("problem is null")
+    undone = sound.where("kind = 'reverse'").select(F.col("target_id").alias("op_id")).distinct()
+    stands = sound.where(F.col("kind").isin("merge", "split")).join(undone, "op_id", "left_anti")
+    merged = F.min(F.when(F.col("kind") == "merge", F.struct("op_id", "target_id"))).alias("__merge")
+    what = stands.groupBy(F.col("source_id").alias("entity_id")).agg(merged, F.count_if(F.col("kind") == "split").alias("__splits"))
+    state = F.when(F.col("__merge").isNotNull(), "merged").when(F.col("__splits") > 0, "split").otherwise("active")
+    out = entities.select("entity_id").distinct().join(what, "entity_id", "left").select("entity_id", state.alias("state"), F.col("__merge.target_id").alias("merged_into"))
+    merge = F.col("kind") == "merge"
+    edges = stands.select(
+        F.when(merge, F.col("source_id")).otherwise(F.col("target_id")).alias("src"),
+        F.when(merge, F.col("target_id")).otherwise(F.col("source_id")).alias("dst"),
+        F.when(merge, "alias_of").otherwise("version_of").alias("kind"),
+        "op_id",
+    )
+    return out, edges.distinct()
+
+
+def apply_reviews(candidates: DataFrame, reviews: DataFrame, key: str, time: str, tie: str, verdict: str) -> DataFrame:
+    """Add resolution to candidates: the first review's verdict of each key, else pending (ID-8)."""
+    first = reviews.groupBy(key).agg(F.min_by(verdict, F.struct(time, tie)).alias("resolution"))
+    return candidates.join(first, key, "left").withColumn("resolution", F.coalesce("resolution", F.lit("pending")))

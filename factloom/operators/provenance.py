@@ -62,3 +62,44 @@ def blast_radius(changed: DataFrame, *hops: tuple[DataFrame, str]) -> DataFrame:
         hit = level.select(F.lit(kind).alias("kind"), F.col("src").alias("target_id"))
         out = hit if out is None else out.unionByName(hit)
     return out
+
+
+def graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Deterministic graph tables (GR-1): nodes with node_id, edges with edge_id, and edges that lack an end.
+
+    nodes: kind, ref; edges: src, dst (node ids) and kind. Equal rows count once; null refs are no nodes.
+    """
+    made = nodes.where("ref is not null").select(node_id("kind", "ref").alias("node_id"), "kind", "ref").dropDuplicates(["node_id"])
+    named = edges.select(F.sha2(F.concat_ws("|", "kind", F.coalesce("src", F.lit("")), F.coalesce("dst", F.lit(""))), 256).alias("edge_id"), "src", "dst", "kind").dropDuplicates(["edge_id"])
+    ids = made.select("node_id")
+    whole = named.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return made, whole, named.join(whole.select("edge_id"), "edge_id", "left_anti")
+
+
+def node_id(kind: str, ref: str):
+    """The id of a node, which depends on nothing but its kind and its ref."""
+    return F.sha2(F.concat_ws("|", kind, ref), 256)
+
+
+def bundles(artifacts: DataFrame, bundle: str, name: str, digest: str) -> DataFrame:
+    """Sealed evidence bundles (GR-4, DQ-11): n_artifacts, n_repeated names and the manifest's digest.
+
+    The digest covers name and digest of every artifact, sorted. A bundle's
+    artifacts are digested in 256 shards by the name's hash before the shards'
+    digests are joined, so that no task holds a whole bundle. A name that
+    repeats keeps its smallest digest; null names take no part.
+    """
+    per_name = artifacts.where(F.col(name).isNotNull()).groupBy(bundle, F.col(name).cast("string").alias("__name")).agg(F.coalesce(F.min(digest), F.lit("")).alias("__digest"), F.count("*").alias("__n"))
+    line = F.concat_ws(":", "__name", "__digest")
+    shard = F.substring(F.sha2("__name", 256), 1, 2)
+    shards = per_name.groupBy(bundle, shard.alias("__shard")).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("__digest"), F.count("*").alias("__n"), F.count_if(F.col("__n") > 1).alias("__repeated")
+    )
+    whole = F.sort_array(F.collect_list(F.concat("__shard", "__digest")))
+    return shards.groupBy(bundle).agg(F.sum("__n").alias("n_artifacts"), F.sum("__repeated").alias("n_repeated"), F.sha2(F.array_join(whole, "\n"), 256).alias("bundle_digest"))
+
+
+def broken_bundles(sealed: DataFrame, artifacts: DataFrame, bundle: str, name: str, digest: str) -> DataFrame:
+    """Bundles whose artifacts no longer give the digest they were sealed with, or that lack artifacts (DQ-11)."""
+    now = bundles(artifacts, bundle, name, digest).select(bundle, F.col("bundle_digest").alias("found_digest"))
+    return sealed.join(now, bundle, "left").where(~F.col("bundle_digest").eqNullSafe(F.col("found_digest")))

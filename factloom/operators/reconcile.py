@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.session import materialize
+
 
 def by_quorum(candidates: DataFrame, keys: list[str], value: str, group: str, quorum: int) -> DataFrame:
     """Release a value that enough independent groups report (CDC-3, CDC-10, AG-14).
@@ -40,3 +42,80 @@ def detect_changes(previous: DataFrame, current: DataFrame, keys: list[str], val
     out = before.join(after, keys, "full_outer").withColumn("change_type", kind).where("change_type is not null")
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, "change_type", "before_value", "after_value")]
     return out.withColumn("event_id", F.sha2(F.concat_ws("|", *text), 256)).drop("__a", "__b")
+
+
+def independent(candidates: DataFrame, keys: list[str], order: list[str], shared: list[str]) -> DataFrame:
+    """The candidates of each key that share nothing with an earlier kept one (CDC-1).
+
+    Walks a key's candidates by `order` (unique within the key) and keeps one
+    if no kept one has the same value in any column of `shared`; null shares
+    nothing. Done in rounds: a candidate that comes first in all its groups is
+    kept, those that share with it go, the rest stays for the next round. So no
+    key is sorted or held in one task; a round ends at least one candidate of
+    each key, and most in practice.
+    """
+    names, at = candidates.columns, F.struct(*order)
+    left, kept = candidates.withColumn("__at", at), None
+    while True:
+        marked = left
+        for n, column in enumerate(shared):
+            first = left.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.min("__at").alias(f"__first{n}"))
+            marked = marked.join(first, [*keys, column], "left")
+        leads = F.lit(True)
+        for n in range(len(shared)):
+            leads = leads & F.coalesce(F.col("__at") == F.col(f"__first{n}"), F.lit(True))
+        marked = materialize(marked.select(*names, "__at", leads.alias("__leads")), "independent")
+        won = marked.where("__leads")
+        rest = marked.where("not __leads").drop("__leads")
+        for column in shared:
+            rest = rest.join(won.select(*keys, column).distinct(), [*keys, column], "left_anti")
+        kept = won.select(*names) if kept is None else kept.unionByName(won.select(*names))
+        left = materialize(rest.select(*names, "__at"), "undecided")
+        if left.limit(1).count() == 0:
+            return kept
+
+
+def by_policy(candidates: DataFrame, keys: list[str], value: str, order: list[Column], strategy: str, tolerance: float = 0.0, quorum: int = 2, conflict_on_disagreement: bool = True, keep_last: bool = True) -> DataFrame:
+    """Decide one value per key from independent candidates (CDC-2, CDC-3).
+
+    Values that are nearly equal to a group's first one, in the order of
+    `order` (best first), join that group; null values take no part. strategy:
+    authoritative or ordered_fallback (the best candidate), quorum (the
+    greatest group of at least `quorum`, the first of equals), human_review.
+    candidates come from `independent`, so a key has no more of them than there
+    are kinds of source, which bounds its array.
+
+    Returns keys, outcome (release, conflict, withhold,
+    continue_last_known_good), value, n_supporting, n_groups and reason.
+    """
+    if strategy not in {"authoritative", "ordered_fallback", "quorum", "human_review"}:
+        raise ValueError(f"unknown strategy {strategy}")
+    item = F.when(F.col(value).isNotNull(), F.struct(*[o.alias(f"o{n}") for n, o in enumerate(order)], F.col(value).cast("double").alias("v")))
+    lists = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    near = lambda a, b: F.abs(a - b) <= tolerance
+
+    def add(groups: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(groups, lambda g: near(g["v"], x["v"])), True)
+        grown = F.transform(groups, lambda g, i: F.struct(g["v"].alias("v"), (g["n"] + F.when(i + 1 == at, 1).otherwise(0)).alias("n")))
+        return F.when(at > 0, grown).otherwise(F.concat(groups, F.array(F.struct(x["v"].alias("v"), F.lit(1).alias("n")))))
+
+    none = F.expr("cast(array() as array<struct<v:double,n:int>>)")
+    grouped = lists.withColumn("__groups", F.aggregate("__items", none, add))
+    most = F.array_max(F.transform("__groups", lambda g: g["n"]))
+    winner = F.filter("__groups", lambda g: (g["n"] >= quorum) & (g["n"] == most))
+    best = F.try_element_at("__items", F.lit(1))["v"]
+    fallback = F.lit("continue_last_known_good" if keep_last else "withhold")
+    nothing, several = F.size("__items") == 0, F.size("__groups") > 1
+    disagree = several & F.lit(conflict_on_disagreement)
+    unmet = F.lit(strategy == "quorum") & (F.size(winner) == 0)
+    review = F.lit(strategy == "human_review")
+    outcome = F.when(nothing, fallback).when(review, F.when(several, "conflict").otherwise("withhold")).when(disagree, "conflict").when(unmet, fallback).otherwise("release")
+    met = {"authoritative": "highest_authority", "ordered_fallback": "fallback_selected", "quorum": "quorum_met", "human_review": "human_review"}[strategy]
+    reason = F.when(nothing, "no_candidate").when(review, "human_review").when(disagree, "disagreement").when(unmet, "quorum_not_met").otherwise(met)
+    chosen = F.try_element_at(winner, F.lit(1))["v"] if strategy == "quorum" else best
+    out = grouped.withColumn("outcome", outcome).withColumn("value", F.when(F.col("outcome") == "release", chosen))
+    supporting = F.size(F.filter("__items", lambda x: near(x["v"], F.col("value"))))
+    if strategy == "quorum":
+        supporting = F.try_element_at(winner, F.lit(1))["n"]
+    n = F.when(F.col("outcome") == "release", supporting).otherwise(0).cast("long")
+    return out.select(*keys, "outcome", "value", n.alias("n_supporting"), F.size("__groups").cast("long").alias("n_groups"), reason.alias("reason"))
