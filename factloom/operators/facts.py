@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factloom.operators.ordered import carry
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key (WN-1); order names the sort, newest first, with a tie-break."""
@@ -11,15 +13,15 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def as_versions(observations: DataFrame, keys: list[str], time: str, value: str, tie: str) -> DataFrame:
+def as_versions(observations: DataFrame, keys: list[str], time: str, value: str, tie: str, bucket: Column | None = None) -> DataFrame:
     """Append-only versions of a value: one row where it changes, valid until the next change (BT).
 
-    Adds valid_from and valid_to (null for the open version). Repeated equal values make no new version.
+    Adds valid_from and valid_to (null for the open version). Repeated equal values make no new version. bucket: see ordered.carry.
     """
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    changed = observations.withColumn("__before", F.lag(value).over(order)).withColumn("__n", F.row_number().over(order))
-    kept = changed.where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__before")))
-    return kept.withColumn("valid_from", F.col(time)).withColumn("valid_to", F.lead(time).over(order)).drop("__before", "__n")
+    order = [time, tie]
+    marked = carry(observations, "__last", keys, order, F.struct(F.col(value).alias("x")), F.lit(True), bucket)
+    kept = marked.where(F.col("__last").isNull() | ~F.col(value).eqNullSafe(F.col("__last.x"))).drop("__last").withColumn("valid_from", F.col(time))
+    return carry(kept, "valid_to", keys, order, F.col(time), F.lit(True), bucket, backward=True)
 
 
 def as_of(versions: DataFrame, keys: list[str], at: Column, time: str = "valid_from", tie: str | None = None) -> DataFrame:
@@ -37,25 +39,24 @@ def freshness(facts: DataFrame, verified: str, ttl_seconds: Column, now: Column)
 def reconcile(candidates: DataFrame, keys: list[str], priority: Column, tie: list[Column]) -> DataFrame:
     """Choose one candidate per key by source priority (RC) and tell whether the best sources disagree.
 
-    Returns keys, value, n_candidates, n_values and conflicted: several values at the best priority.
+    Returns keys, value, n_candidates, n_values and conflicted: several values
+    at the best priority. priority is never null. Aggregates with partial
+    results throughout, so a hot key is no hot task.
     """
-    ranked = candidates.withColumn("__p", priority)
-    best = F.min("__p").over(Window.partitionBy(*keys))
-    marked = ranked.withColumn("__best", F.col("__p") == best)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("__p", *tie))
-    marked = marked.withColumn("__first", first)
-    return marked.groupBy(*keys).agg(
-        F.max(F.when(F.col("__first") == 1, F.col("value"))).alias("value"),
-        F.count("*").alias("n_candidates"),
-        F.count_distinct("value").alias("n_values"),
-        (F.count_distinct(F.when(F.col("__best"), F.col("value"))) > 1).alias("conflicted"),
+    at = F.struct(priority.alias("p"), *[t.alias(f"t{n}") for n, t in enumerate(tie)])
+    per_value = candidates.groupBy(*keys, "value").agg(F.count("*").alias("__n"), F.min(at).alias("__at"))
+    # Each value now stands at its best priority, so counts of values add up over priorities.
+    per_priority = per_value.groupBy(*keys, F.col("__at.p").alias("__p")).agg(F.sum("__n").alias("__n"), F.count("value").alias("__values"), F.min(F.struct("__at", "value")).alias("__first"))
+    return per_priority.groupBy(*keys).agg(
+        F.min("__first")["value"].alias("value"),
+        F.sum("__n").alias("n_candidates"),
+        F.sum("__values").alias("n_values"),
+        (F.min_by("__values", "__p") > 1).alias("conflicted"),
     )
 
 
-def change_events(versions: DataFrame, keys: list[str], value: str, time: str = "valid_from") -> DataFrame:
-    """Semantic change events between versions: created, increased, decreased, with the relative change (CDC)."""
-    order = Window.partitionBy(*keys).orderBy(time)
-    before = F.lag(value).over(order)
-    out = versions.withColumn("before_value", before)
+def change_events(versions: DataFrame, keys: list[str], value: str, time: str = "valid_from", bucket: Column | None = None) -> DataFrame:
+    """Semantic change events between versions: created, increased, decreased, with the relative change (CDC). bucket: see ordered.carry."""
+    out = carry(versions, "before_value", keys, [time], F.col(value), F.lit(True), bucket)
     kind = F.when(F.col("before_value").isNull(), "created").when(F.col(value) > F.col("before_value"), "increased").otherwise("decreased")
     return out.withColumn("change_type", kind).withColumn("change_ratio", F.try_divide(F.col(value) - F.col("before_value"), F.abs("before_value")))

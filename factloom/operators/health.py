@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from factloom.operators.ordered import carry
 
 # The action for each class of failure.
 ACTIONS = {
@@ -45,10 +47,9 @@ def job_states(progress: DataFrame, job: str, time: str, now: Column, idle_secon
     return out.select(job, "n_attempts", idle.alias("idle_micros"), state.alias("state"))
 
 
-def jumps(df: DataFrame, keys: list[str], order: list[str], value: str, verified: Column, ratio: float = 0.5) -> DataFrame:
-    """Add last_verified (before this row) and jumped: a relative change of at least `ratio` against it (WN-2)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("last_verified", F.last(F.when(verified, F.col(value)), ignorenulls=True).over(w))
+def jumps(df: DataFrame, keys: list[str], order: list[str], value: str, verified: Column, ratio: float = 0.5, bucket: Column | None = None) -> DataFrame:
+    """Add last_verified (before this row) and jumped: a relative change of at least `ratio` against it (WN-2). bucket: see ordered.carry."""
+    out = carry(df, "last_verified", keys, order, F.col(value), verified & F.col(value).isNotNull(), bucket)
     change = F.try_divide(F.abs(F.col(value) - F.col("last_verified")), F.abs("last_verified"))
     return out.withColumn("jumped", F.coalesce(change >= ratio, F.lit(False)))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from factloom.operators.ordered import carry, running_sum
 
 
 def gate(df: DataFrame, critical: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
@@ -17,26 +19,23 @@ def gate(df: DataFrame, critical: dict[str, Column], warnings: dict[str, Column]
     return out.withColumn("violations", F.concat("__bad", "__doubtful")).withColumn("decision", decision).drop("__bad", "__doubtful")
 
 
-def last_known_good(df: DataFrame, keys: list[str], order: list[str], value: str, good: Column) -> DataFrame:
-    """Add released_value: the row's value where good, else the key's last good one before it (DQ-3)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("released_value", F.last(F.when(good, F.col(value)), ignorenulls=True).over(w))
+def last_known_good(df: DataFrame, keys: list[str], order: list[str], value: str, good: Column, bucket: Column | None = None) -> DataFrame:
+    """Add released_value: the row's value where good, else the key's last good one before it (DQ-3). bucket: see ordered.carry."""
+    return carry(df, "released_value", keys, order, F.col(value), good & F.col(value).isNotNull(), bucket, inclusive=True)
 
 
-def failure_streaks(df: DataFrame, keys: list[str], order: list[str], failed: Column) -> DataFrame:
-    """Add streak: failures in a row up to and with this row, 0 on success (WN-4)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.withColumn("__island", island)
-    inner = Window.partitionBy(*keys, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("streak", F.sum(F.when(failed, 1).otherwise(0)).over(inner)).drop("__island")
+def failure_streaks(df: DataFrame, keys: list[str], order: list[str], failed: Column, bucket: Column | None = None) -> DataFrame:
+    """Add streak: failures in a row up to and with this row, 0 on success (WN-4); null counts as success. bucket: see ordered.carry."""
+    bad = F.coalesce(failed, F.lit(False))
+    counted = running_sum(df.withColumn("__bad", bad), "__n", keys, order, F.when(F.col("__bad"), 1).otherwise(0), bucket)
+    marked = carry(counted, "__since", keys, order, F.col("__n"), ~F.col("__bad"), bucket, inclusive=True)
+    return marked.withColumn("streak", F.col("__n") - F.coalesce("__since", F.lit(0))).drop("__bad", "__n", "__since")
 
 
-def audit_transitions(df: DataFrame, keys: list[str], order: list[str], state: str, allowed: list[tuple[str, str]]) -> DataFrame:
-    """Rows whose step from the key's previous state is not allowed (WN-3), with that state as from_state."""
-    before = F.lag(state).over(Window.partitionBy(*keys).orderBy(*order))
-    steps = [(F.col("from_state") == a) & (F.col(state) == b) for a, b in allowed]
+def audit_transitions(df: DataFrame, keys: list[str], order: list[str], state: str, allowed: list[tuple[str, str]], bucket: Column | None = None) -> DataFrame:
+    """Rows whose step from the key's previous state is not allowed (WN-3), with that state as from_state. bucket: see ordered.carry."""
     fine = F.lit(False)
-    for s in steps:
-        fine = fine | s
-    return df.withColumn("from_state", before).where(F.col("from_state").isNotNull() & ~fine)
+    for a, b in allowed:
+        fine = fine | ((F.col("from_state") == a) & (F.col(state) == b))
+    out = carry(df, "from_state", keys, order, F.col(state), F.lit(True), bucket)
+    return out.where(F.col("from_state").isNotNull() & ~fine)

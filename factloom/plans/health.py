@@ -101,7 +101,7 @@ def st5_job_states(spark, sf_dir):
     SELECT event_id, user_id, last_verified, coalesce(abs(value - last_verified) / nullif(abs(last_verified), 0) >= 0.5, false) AS jumped FROM l""",
 )
 def wn2_value_jumps(spark, sf_dir):
-    out = health.jumps(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", F.col("value") < 100)
+    out = health.jumps(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", F.col("value") < 100, bucket=F.to_date("ts"))
     return out.select("event_id", "user_id", "last_verified", "jumped")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import bitemporal, dossier, identity, mapping, progress, provenance, reconcile
+from factloom.operators import bitemporal, dossier, identity, mapping, ordered, progress, provenance, reconcile
 from factloom.plans.registry import query
 from factloom.session import table
 from factloom.sources import ingest as sources
@@ -306,7 +306,7 @@ def _usage(spark, sf_dir):
     """SELECT event_id, user_id, CAST(coalesce(sum(CAST(json_extract(props, '$.k') AS BIGINT)) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS running_total FROM events""",
 )
 def ag16_running_units(spark, sf_dir):
-    return progress.running_total(_usage(spark, sf_dir), ["user_id"], "day", ["ts", "event_id"], "units").select("event_id", "user_id", "running_total")
+    return ordered.running_sum(_usage(spark, sf_dir), "running_total", ["user_id"], ["ts", "event_id"], F.col("units"), F.col("day")).select("event_id", "user_id", "running_total")
 
 
 @query(

@@ -72,7 +72,7 @@ def wn1_latest_order_per_customer(spark, sf_dir):
            lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM k""",
 )
 def bt1_status_versions(spark, sf_dir):
-    versions = facts.as_versions(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderstatus", "o_orderkey")
+    versions = facts.as_versions(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderstatus", "o_orderkey", F.date_trunc("month", "o_orderdate"))
     return versions.select("o_custkey", "o_orderkey", "o_orderstatus", "valid_from", "valid_to")
 
 
@@ -139,10 +139,10 @@ def rc1_reconcile_part_price(spark, sf_dir):
 )
 def cdc1_value_changes(spark, sf_dir):
     events = table(spark, sf_dir, "events").where(F.col("value").isNotNull())
-    versions = facts.as_versions(events, ["user_id", "event_type"], "ts", "value", "event_id")
+    versions = facts.as_versions(events, ["user_id", "event_type"], "ts", "value", "event_id", F.to_date("ts"))
     # Ties in time are ordered by event_id as the versions are.
     versions = versions.withColumn("at", F.struct("ts", "event_id"))
-    return facts.change_events(versions, ["user_id", "event_type"], "value", "at").select("event_id", "user_id", "event_type", "value", "before_value", "change_type")
+    return facts.change_events(versions, ["user_id", "event_type"], "value", "at", F.to_date("ts")).select("event_id", "user_id", "event_type", "value", "before_value", "change_type")
 
 
 @query(
@@ -168,7 +168,7 @@ def dq2_price_contract(spark, sf_dir):
       PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS released_value FROM events""",
 )
 def dq3_last_known_good(spark, sf_dir):
-    out = quality.last_known_good(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", F.col("value") < 100)
+    out = quality.last_known_good(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", F.col("value") < 100, F.to_date("ts"))
     return out.select("event_id", "user_id", "released_value")
 
 
@@ -182,7 +182,7 @@ def dq3_last_known_good(spark, sf_dir):
 )
 def wn4_failure_streaks(spark, sf_dir):
     failed = (F.col("event_type") == "error") | (F.col("value") < 5) | F.col("value").isNull()
-    return quality.failure_streaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], failed).select("event_id", "user_id", "streak")
+    return quality.failure_streaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], failed, F.to_date("ts")).select("event_id", "user_id", "streak")
 
 
 @query(
@@ -194,7 +194,7 @@ def wn4_failure_streaks(spark, sf_dir):
 )
 def wn3_transition_audit(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
-    out = quality.audit_transitions(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus", [("O", "P"), ("P", "F"), ("O", "O")])
+    out = quality.audit_transitions(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus", [("O", "P"), ("P", "F"), ("O", "O")], F.date_trunc("month", "o_orderdate"))
     return out.select("o_orderkey", "o_custkey", "o_orderstatus", "from_state")
 
 
