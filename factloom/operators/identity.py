@@ -84,16 +84,16 @@ def check_operations(entities: DataFrame, operations: DataFrame) -> DataFrame:
     """Add problem to merges, splits and reversals (ID-4, ID-5, ID-6).
 
     entities: entity_id, provider; operations: op_id, kind, source_id,
-    target_id, one row for each merge and for each child of a split (op_id
-    repeats); a reversal names the op it undoes as target_id. problem, on all
+    target_id, undoes, one row for each merge and for each child of a split
+    (op_id repeats); a reversal only names the op it undoes. problem, on all
     rows of the op: unknown_entity, same_entity, other_provider, few_children
     (under 2), unknown_operation, unknown_kind or null.
     """
     one = entities.select("entity_id", "provider").distinct()
     source = one.select(F.col("entity_id").alias("source_id"), F.col("provider").alias("__p"))
     target = one.select(F.col("entity_id").alias("target_id"), F.col("provider").alias("__q"))
-    undone = operations.where(F.col("kind").isin("merge", "split")).select(F.col("op_id").alias("target_id"), F.lit(True).alias("__known")).distinct()
-    rows = operations.join(source, "source_id", "left").join(target, "target_id", "left").join(undone, "target_id", "left")
+    undone = operations.where(F.col("kind").isin("merge", "split")).select(F.col("op_id").alias("undoes"), F.lit(True).alias("__known")).distinct()
+    rows = operations.join(source, "source_id", "left").join(target, "target_id", "left").join(undone, "undoes", "left")
     problem = (
         F.when(F.coalesce(~F.col("kind").isin("merge", "split", "reverse"), F.lit(True)), "unknown_kind")
         .when(F.col("kind") == "reverse", F.when(F.col("__known").isNull(), "unknown_operation"))
@@ -118,7 +118,7 @@ def apply_operations(entities: DataFrame, checked: DataFrame) -> tuple[DataFrame
     entity, that of the smallest op_id counts.
     """
     sound = checked.where("problem is null")
-    undone = sound.where("kind = 'reverse'").select(F.col("target_id").alias("op_id")).distinct()
+    undone = sound.where("kind = 'reverse'").select(F.col("undoes").alias("op_id")).distinct()
     stands = sound.where(F.col("kind").isin("merge", "split")).join(undone, "op_id", "left_anti")
     merged = F.min(F.when(F.col("kind") == "merge", F.struct("op_id", "target_id"))).alias("__merge")
     what = stands.groupBy(F.col("source_id").alias("entity_id")).agg(merged, F.count_if(F.col("kind") == "split").alias("__splits"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def _marked(df: DataFrame, keys: list[str], bucket: Column, per_bucket: Column, over: Column, backward: bool) -> DataFrame:
@@ -53,3 +55,34 @@ def running_sum(df: DataFrame, name: str, keys: list[str], order: list[str], amo
     if bucket is not None:
         total = total + F.coalesce("__before", F.lit(0))
     return work.withColumn(name, total).drop("__amount", "__before", "__bucket")
+
+
+def fold(df: DataFrame, key: str, order: list[str], inputs: list[str], outputs: dict[str, T.DataType], start: Callable, step: Callable) -> DataFrame:
+    """Walk each key's rows in order with a small state and add output columns; for recurrences that no window expresses.
+
+    start(first input values) gives the state before a key's first row;
+    step(state, input values) gives the next state and the outputs. Nulls come as
+    None; rows with a null key are one key. Rows are spread by key and sorted by
+    Spark, on disk where needed, then read batch by batch, so the memory of a
+    task doesn't grow with its keys; one key is still walked by one task.
+    """
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in outputs.items()]])
+    work = df.repartition(F.col(key)).sortWithinPartitions(key, *order)
+
+    def walk(batches: Iterator) -> Iterator:
+        state, current, begun = None, None, False
+        for batch in batches:
+            plain = [batch[c].astype(object).where(batch[c].notna(), None) for c in (key, *inputs)]
+            made = []
+            for k, *values in zip(*plain):
+                if not begun or k != current:
+                    state, current, begun = start(*values), k, True
+                state, *out = step(state, *values)
+                made.append(out)
+            out = batch[names].copy()
+            for n, name in enumerate(outputs):
+                out[name] = [m[n] for m in made]
+            yield out
+
+    return work.mapInPandas(walk, schema)

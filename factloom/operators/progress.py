@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from pyspark.sql import DataFrame, functions as F
+from factloom.operators.ordered import fold
 
 
 def circuit_states(calls: DataFrame, key: str, time: str, tie: str, outcome: str, threshold: int, cooldown_seconds: float) -> DataFrame:
@@ -16,42 +16,46 @@ def circuit_states(calls: DataFrame, key: str, time: str, tie: str, outcome: str
     until one comes at least cooldown_seconds after it opened: that probe closes
     it (success) or opens it again. Rows with a null key share one circuit.
 
-    The recurrence needs each key in order: rows are spread by key, sorted by
-    Spark on disk where needed, and folded batch by batch with three numbers of
-    state, so memory is bounded for a key of any length.
+    A recurrence of three numbers: see ordered.fold for its bounds.
     """
-    names = calls.columns
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    schema = calls.withColumn("circuit", F.lit("")).withColumn("allowed", F.lit(True)).schema
     cooldown = int(cooldown_seconds * 1_000_000)
-    work = calls.withColumn("__at", at).repartition(F.col(key)).sortWithinPartitions(key, "__at", tie)
-
-    def fold(batches: Iterator) -> Iterator:
-        current, state, failures, opened, begun = None, "closed", 0, 0, False
-        for batch in batches:
-            states, allowed = [], []
-            keys = batch[key].astype(object).where(batch[key].notna(), None)
-            for k, t, result in zip(keys, batch["__at"], batch[outcome]):
-                if not begun or k != current:
-                    current, state, failures, opened, begun = k, "closed", 0, 0, True
-                if state == "open" and t - opened < cooldown:
-                    states.append(state)
-                    allowed.append(False)
-                    continue
-                probe = state == "open"
-                if result == "success":
-                    state, failures = "closed", 0
-                else:
-                    failures += 1
-                    if probe or result == "config_error" or failures >= threshold:
-                        state, opened = "open", t
-                states.append(state)
-                allowed.append(True)
-            out = batch[names].copy()
-            out["circuit"], out["allowed"] = states, allowed
-            yield out
-
-    return work.mapInPandas(fold, schema)
+
+    def step(now, t, result):
+        state, failures, opened = now
+        if state == "open" and t - opened < cooldown:
+            return now, state, False
+        if result == "success":
+            return ("closed", 0, 0), "closed", True
+        failures += 1
+        trips = state == "open" or result == "config_error" or failures >= threshold
+        after = ("open", failures, t) if trips else ("closed", failures, opened)
+        return after, after[0], True
+
+    work = calls.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
+    outputs = {"circuit": T.StringType(), "allowed": T.BooleanType()}
+    return fold(work, key, ["__at", tie], ["__at", outcome], outputs, lambda *_: ("closed", 0, 0), step).drop("__at")
+
+
+def released_values(rows: DataFrame, key: str, order: list[str], value: str, good: str, ratio: float = 0.5, start: str | None = None) -> DataFrame:
+    """Carry releases forward through a gate that looks at the last release (BT-7, DQ-2, DQ-3).
+
+    A row whose `good` isn't true, or whose value is null, is quarantined; one
+    that differs from the last release by `ratio` of it or more needs review;
+    any other is verified and becomes the release. After a release of 0 only 0
+    is verified. Adds gate_decision and released_value (null before the first).
+    start: a column with the release before the key's first row.
+    """
+
+    def step(last, v, fine, *_):
+        if not fine or v is None:
+            return last, "quarantined", last
+        if last is not None and (abs(v - last) >= ratio * abs(last) if last else v != 0):
+            return last, "needs_review", last
+        return v, "verified", v
+
+    outputs = {"gate_decision": T.StringType(), "released_value": T.DoubleType()}
+    inputs = [value, good, *([start] if start else [])]
+    return fold(rows, key, order, inputs, outputs, lambda *values: values[2] if start else None, step)
 
 
 def stage_progress(results: DataFrame, key: str, time: str, tie: str, stage: str, passed: str, stages: list[str]) -> DataFrame:

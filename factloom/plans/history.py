@@ -8,6 +8,7 @@ from factloom.operators import bitemporal, dossier, identity, mapping, ordered,
 from factloom.plans.registry import query
 from factloom.session import table
 from factloom.sources import ingest as sources
+from factloom.streaming import jobs
 
 
 def _history(spark, sf_dir):
@@ -215,8 +216,8 @@ def _identity_log(spark, sf_dir):
     child = lambda n: (F.col("o_custkey") % n + 1)
     merges = orders.where("s = 'F'").select(op, F.lit("merge").alias("kind"), source, child(97).alias("target_id"))
     splits = orders.where("s = 'O'").select(op, F.lit("split").alias("kind"), source, F.explode(F.array(child(89), child(83))).alias("target_id"))
-    undone = orders.where("s = 'P'").select(op, F.lit("reverse").alias("kind"), F.lit(None).cast("bigint").alias("source_id"), (F.col("o_orderkey") - 1).alias("target_id"))
-    return entities, identity.check_operations(entities, merges.unionByName(splits).unionByName(undone))
+    undone = orders.where("s = 'P'").select(op, F.lit("reverse").alias("kind"), (F.col("o_orderkey") - 1).alias("undoes"))
+    return entities, identity.check_operations(entities, merges.unionByName(splits).unionByName(undone, allowMissingColumns=True))
 
 
 _SQL_IDENTITY = """e AS (SELECT c_custkey AS id, c_nationkey % 3 AS p FROM customer),
@@ -442,3 +443,37 @@ def gr1_supply_graph(spark, sf_dir):
 )
 def src4_page_links(spark, sf_dir):
     return sources.page_links(table(spark, sf_dir, "pages"))
+
+
+_SQL_RELEASES = """WITH RECURSIVE c AS (SELECT event_id, user_id, value, event_type <> 'error' AND value IS NOT NULL AS fine, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+    s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS d, NULL::DOUBLE AS r FROM c
+      UNION ALL SELECT user_id, n, event_id, d, CASE WHEN d = 'verified' THEN value ELSE r END FROM (SELECT c.*, r, CASE WHEN NOT fine THEN 'quarantined'
+        WHEN r IS NOT NULL AND CASE WHEN r = 0 THEN c.value <> 0 ELSE abs(c.value - r) >= 0.5 * abs(r) END THEN 'needs_review' ELSE 'verified' END AS d FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1))
+    SELECT event_id, user_id, d AS gate_decision, r AS released_value FROM s WHERE n > 0"""
+
+
+def _gate_rows(events):
+    return events.where("user_id is not null").select("event_id", "user_id", "ts", "value", (F.col("event_type") != "error").alias("good"))
+
+
+@query("bt7_released_values", _SQL_RELEASES)
+def bt7_released_values(spark, sf_dir):
+    out = progress.released_values(_gate_rows(table(spark, sf_dir, "events")), "user_id", ["ts", "event_id"], "value", "good")
+    return out.select("event_id", "user_id", "gate_decision", "released_value")
+
+
+@query("st3_streaming_gate", _SQL_RELEASES)
+def st3_streaming_gate(spark, sf_dir):
+    stream = _gate_rows(jobs.read_stream(spark, f"{sf_dir}/events.parquet"))
+    return jobs.gated_releases(stream, "user_id", ["ts", "event_id"], "value", "good").select("event_id", "user_id", "gate_decision", "released_value")
+
+
+@query(
+    "st4_expired_facts",
+    """WITH m AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, event_type, max(ts) AS v FROM events GROUP BY 1, 2)
+    SELECT user_id, event_type, v::TIMESTAMP + INTERVAL 72 HOUR AS deadline FROM l, m WHERE now > v + INTERVAL 72 HOUR""",
+)
+def st4_expired_facts(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    facts = events.groupBy("user_id", "event_type").agg(F.max("ts").alias("verified_at"))
+    return jobs.expired(facts, "verified_at", 72 * 3600, events, "ts").select("user_id", "event_type", F.col("deadline").cast("timestamp_ntz").alias("deadline"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.operators.progress import released_values
 from factloom.session import shared_dir
 
 
@@ -37,3 +38,44 @@ def deliveries(stream: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """
     wanted = subscriptions.select("subscription_id", F.explode("kinds").alias("event_type"))
     return stream.join(wanted, "event_type").withColumn("delivery_key", F.concat_ws(":", "subscription_id", "event_id"))
+
+
+def gated_releases(stream: DataFrame, key: str, order: list[str], value: str, good: str, ratio: float = 0.5) -> DataFrame:
+    """A stream's available rows through the gate with last-known-good (ST-3), as progress.released_values does for a table.
+
+    The state is the last release of each key, a table that every batch reads
+    and writes anew under its batch id, so a batch that is run again after a
+    failure gives the same rows. Rows of one batch are in event order; a row
+    that comes in a later batch counts as later. Null keys are one key.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/gated-{uuid.uuid4().hex}"
+    last_of = F.max_by(F.col("released_value"), F.when(F.col("released_value").isNotNull(), F.struct(*order)))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        rows = batch.withColumn("__start", F.lit(None).cast("double"))
+        if number > 0:
+            state = session.read.parquet(f"{path}/state/{number - 1}").select(F.col(key).alias("__key"), "__last")
+            rows = batch.join(state, F.col(key).eqNullSafe(F.col("__key")), "left").withColumnRenamed("__last", "__start").drop("__key")
+        done = released_values(rows, key, order, value, good, ratio, "__start").drop("__start")
+        done.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        fresh = session.read.parquet(f"{path}/rows/batch={number}").groupBy(key).agg(last_of.alias("__last"))
+        if number > 0:
+            before = session.read.parquet(f"{path}/state/{number - 1}")
+            unseen = before.join(fresh.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+            fresh = fresh.unionByName(unseen)
+        fresh.write.mode("overwrite").parquet(f"{path}/state/{number}")
+
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+def expired(facts: DataFrame, verified: str, ttl_seconds: int, clock: DataFrame, time: str) -> DataFrame:
+    """Facts that turned stale without any new row of their own (ST-4): past the deadline by a stream's latest event time.
+
+    clock: what has arrived so far; no clock, no expiry. Adds deadline.
+    """
+    now = clock.agg(F.max(F.col(time).cast("timestamp"))).first()[0]
+    due = facts.withColumn("deadline", F.timestamp_micros(F.unix_micros(F.col(verified).cast("timestamp")) + ttl_seconds * 1_000_000))
+    return due.where(F.col("deadline") < F.lit(now).cast("timestamp"))
