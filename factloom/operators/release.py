@@ -55,10 +55,11 @@ def risk_score(df: DataFrame, text: str) -> DataFrame:
     """Add risk_score, risk_status (pass, needs_review, deferred without text) and matched_rules (DQ-6)."""
     source = F.col(text)
     hit = lambda pattern: F.coalesce(source.rlike(pattern), F.lit(False))
-    score = sum((F.when(hit(p), points).otherwise(0) for _, points, p in RISK_RULES), F.lit(0))
     rules = F.array_compact(F.array(*[F.when(hit(p), F.lit(label)) for label, _, p in RISK_RULES]))
+    # The score reads the matched labels, so each pattern runs once.
+    score = sum((F.when(F.array_contains("matched_rules", label), points).otherwise(0) for label, points, _ in RISK_RULES), F.lit(0))
     empty = source.isNull() | (source == "")
-    out = df.withColumn("risk_score", score).withColumn("matched_rules", rules)
+    out = df.withColumn("matched_rules", rules).withColumn("risk_score", score)
     return out.withColumn("risk_status", F.when(empty, "deferred").when(F.col("risk_score") >= RISK_PASS, "pass").otherwise("needs_review"))
 
 
