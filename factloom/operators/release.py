@@ -238,3 +238,22 @@ def resolve_keys(inputs: DataFrame, levels: list[tuple[str, DataFrame]]) -> Data
     level, entity, several = F.col("__hit.n"), F.col("__hit.a"), F.col("__hit.a") != F.col("__hit.b")
     state = F.when(level.isNull(), "new").when(several, "ambiguous").otherwise("linked")
     return out.select(*inputs.columns, level.alias("level"), F.when(~several, entity).alias("entity_id"), state.alias("state"))
+
+
+def proposals(events: DataFrame) -> DataFrame:
+    """What a consumer may do about released events (CDC-12), once for each event_id.
+
+    events: event_id, event_type, state, n_evidence. Events that aren't released
+    or lack evidence give none; of repeated ids one counts. Returns event_id and
+    action: add, deprecate, update or review.
+    """
+    kind = F.col("event_type")
+    action = F.when(kind == "fact_created", "add").when(kind.isin("entity_deprecated", "fact_removed"), "deprecate").when(kind.isin("fact_updated", "fact_corrected"), "update").otherwise("review")
+    usable = events.where((F.col("state") == "released") & (F.col("n_evidence") > 0) & F.col("event_id").isNotNull())
+    return usable.groupBy("event_id").agg(F.min(action).alias("action"))
+
+
+def apply_resolutions(conflicts: DataFrame, resolutions: DataFrame, key: str, time: str, tie: str, verdict: str) -> DataFrame:
+    """Add status (open, resolved) and the latest resolution of each conflict (CDC-11)."""
+    latest = resolutions.groupBy(key).agg(F.max_by(verdict, F.struct(time, tie)).alias("resolution"))
+    return conflicts.join(latest, key, "left").withColumn("status", F.when(F.col("resolution").isNull(), "open").otherwise("resolved"))

@@ -180,3 +180,30 @@ def jn3_key_chain(spark, sf_dir):
     known = lambda rows, column: (column, rows.select(column, F.col("p_size").alias("entity_id")))
     levels = [known(part.where("p_partkey % 3 = 0"), "p_partkey"), known(part.where("p_partkey % 7 = 0"), "p_name"), known(part.where("p_partkey % 11 = 0 and p_size > 40"), "p_type")]
     return release.resolve_keys(part.select("p_partkey", "p_name", "p_type"), levels).select("p_partkey", "level", "entity_id", "state")
+
+
+@query(
+    "cdc12_proposals",
+    """WITH n AS (SELECT l_orderkey, count(*) FILTER (l_quantity >= 20) AS n FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS event_id, CASE o_orderpriority[1] WHEN '1' THEN 'add' WHEN '2' THEN 'deprecate' WHEN '3' THEN 'update' ELSE 'review' END AS action
+    FROM orders JOIN n ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND n > 0""",
+)
+def cdc12_proposals(spark, sf_dir):
+    level = F.substring("o_orderpriority", 1, 1)
+    kind = F.when(level == "1", "fact_created").when(level == "2", "entity_deprecated").when(level == "3", "fact_corrected").otherwise("entity_renamed")
+    evidence = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_quantity") >= 20).alias("n_evidence"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("event_type"), F.when(F.col("o_orderstatus") != "P", "released").alias("state"))
+    return release.proposals(orders.join(evidence, "o_orderkey").withColumnRenamed("o_orderkey", "event_id"))
+
+
+@query(
+    "cdc11_resolved_conflicts",
+    """WITH c AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1),
+    r AS (SELECT l_partkey, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS resolution FROM lineitem WHERE l_quantity >= 45 GROUP BY 1)
+    SELECT l_partkey, resolution, CASE WHEN resolution IS NULL THEN 'open' ELSE 'resolved' END AS status FROM c LEFT JOIN r USING (l_partkey)""",
+)
+def cdc11_resolved_conflicts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    conflicts = lines.groupBy("l_partkey").agg(F.count_distinct("l_returnflag").alias("n")).where("n > 1").select("l_partkey")
+    verdicts = lines.where("l_quantity >= 45").withColumn("tie", F.struct("l_orderkey", "l_linenumber", "l_suppkey"))
+    return release.apply_resolutions(conflicts, verdicts, "l_partkey", "l_shipdate", "tie", "l_suppkey").select("l_partkey", "resolution", "status")
