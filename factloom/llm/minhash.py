@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm.common import materialize, mix64, query, row_chunks, text_bytes, words
 
 _CHUNK = 1 << 20
+#: Places of the counts that order units by how common they are; any order gives the same links.
+_SLOTS = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,6 +160,98 @@ def _similarity():
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose unit sets have a similarity of at least `threshold`."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("units").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("units").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_similarity(), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
+
+
+def _slot_counts():
+    """How many units of all texts fall on each slot."""
+
+    def run(batches):
+        total = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += 0 if not len(x.as_buffer()) else np.bincount(np.frombuffer(x.as_buffer(), np.uint32) % _SLOTS, minlength=_SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(level: np.ndarray, threshold: float):
+    """The rarest units of each text, one of which every similar text must have among its own rarest."""
+
+    def run(batches):
+        for batch in batches:
+            keys, places, sizes = [], [], []
+            for x in batch.column(1):
+                units = np.frombuffer(x.as_buffer(), np.uint32)
+                n = len(units)
+                probe = n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0
+                keys.append(units[np.lexsort((units, level[units % _SLOTS]))[:probe]])
+                places.append(np.arange(len(keys[-1]), dtype=np.int32))
+                sizes.append(n)
+            count = np.array([len(k) for k in keys], np.int64)
+            ids, n = batch.column(0).to_numpy(zero_copy_only=False), np.array(sizes, np.int32)
+            key, place = (np.concatenate(v) if v else np.zeros(0, np.int32) for v in (keys, places))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.repeat(ids, count), pa.int64()), pa.array(np.repeat(n, count)), pa.array(place)], names=["key", "doc_id", "n", "place"])
+
+    return run
+
+
+def _may_be_similar(x: str, y: str, threshold: float):
+    """Whether two texts can reach the threshold if the unit at x's and y's place is the first that they share."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
+    return most >= threshold / (1 + threshold) * (n + m) - 1e-6
+
+
+def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: float, size: int, hot: int = 1000) -> DataFrame:
+    """Links between texts of `rest` (doc_id, part) whose parts, the components of `links`, differ.
+
+    The prefix filter is exact: in one order of all units, similar texts share
+    a unit among the first of each. Rare units come first, so texts of a family
+    meet where they share more than its passage. Stars in each unit's group
+    join most parts; the pairs of parts that are left are all compared. Groups
+    of more than `hot` texts are split.
+    """
+    sets = docs.join(rest.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
+    sets = materialize(sets, "rest-units")
+    counts = sets.select("units").mapInArrow(_slot_counts(), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    level = np.zeros(_SLOTS, np.uint8)
+    level[counts["slot"].to_numpy(np.int64)] = 6 * np.log2(counts["n"].to_numpy(float))
+    entries = materialize(sets.mapInArrow(_prefixes(level, threshold), "key long, doc_id long, n int, place int"), "prefixes")
+
+    def mixed(parts):
+        """Entries of the units that texts of several parts have."""
+        own = entries.join(parts, "doc_id")
+        groups = own.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "n", "place", "part")).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high"))
+        return own, groups.where(F.col("low") < F.col("high")).select("key", "texts", "lead")
+
+    def ordered(x, y):
+        return F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b")
+
+    own, groups = mixed(rest)
+    near = own.alias("x").join(groups, "key").where((F.col("x.part") != F.col("lead.part")) & _may_be_similar("x", "lead", threshold))
+    stars = materialize(_verified(near.select(*ordered("x", "lead")).distinct(), sets, threshold), "rest-stars")
+    labels = components(links.unionByName(stars))
+    parts = rest.join(labels.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "part").alias("part"))
+    own, groups = mixed(materialize(parts, "rest-parts"))
+    pieces = F.ceil(F.col("texts") / hot).cast("int")
+    own = own.join(groups.select("key", pieces.alias("pieces")), "key")
+    # The shorter text's share is shorter: more than it needs units in common with a text that is no shorter.
+    short = own.where(F.col("place") <= F.col("n") - 2 * threshold / (1 + threshold) * F.col("n") + 1e-6)
+    short = short.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    all_of = own.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
+    x, y = short.alias("x"), all_of.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece"))
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    pairs = x.join(y, same & order & (F.col("x.part") != F.col("y.part")) & _may_be_similar("x", "y", threshold)).select(*ordered("x", "y")).distinct()
+    return stars.unionByName(materialize(_verified(pairs, sets, threshold), "rest-links"))
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, band_rows: int = 5, slack: float = 0.2) -> DataFrame:
     """doc_id, class_id and n_links of every document.
 
@@ -168,10 +262,12 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
 
     Copies are first put together by the digest of their text. In a bucket of
     equal band hashes each text is joined to the bucket's smallest and largest
-    doc_id, never to all others, so large groups give a row for each member.
-    Pairs whose signatures agree on less than threshold - slack (more than
-    five standard errors) are left; the others are verified on their whole
-    shingle sets.
+    doc_id, so large groups give a row for each member. Pairs whose signatures
+    agree on less than threshold - slack (more than five standard errors) are
+    left; the others are verified on their whole shingle sets. Where other
+    members of a bucket stay in several components, these members go to an
+    exact join by their rarest shingles (_rest_links). n_links counts the links
+    that were needed and verified, not all similar pairs of a class.
 
     Null texts have no copies and no links; texts without words are linked by
     equal text only. Repeated doc_ids count as one document. An empty table
@@ -186,9 +282,10 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     signed = materialize(docs.mapInArrow(_sign(size, bands, band_rows), "doc_id long, bands array<long>, signature binary, weight long"), "signatures")
     distinct = members.where(F.col("doc_id") == F.col("rep")).select("doc_id")
     buckets = signed.where(F.col("weight") > 0).join(distinct, "doc_id").select("doc_id", F.explode("bands").alias("key"))
-    leads = buckets.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(F.col("low") < F.col("high"))
+    leads = buckets.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
     pair = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("high").alias("b"))))
-    pairs = buckets.join(leads, "key").select(pair.alias("p")).select("p.a", "p.b").where(F.col("a") < F.col("b")).distinct()
+    stars = materialize(buckets.join(leads, "key"), "stars")
+    pairs = stars.select(pair.alias("p")).select("p.a", "p.b").where(F.col("a") < F.col("b")).distinct()
     sign = signed.select("doc_id", "signature")
     compared = pairs.join(sign.select(F.col("doc_id").alias("a"), F.col("signature").alias("s")), "a").join(sign.select(F.col("doc_id").alias("b"), F.col("signature").alias("t")), "b")
     likely = compared.select("a", "b", "s", "t").mapInArrow(_agreement(), "a long, b long, agreement double").where(F.col("agreement") >= threshold - slack).select("a", "b").distinct()
@@ -197,10 +294,16 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     # The join is the same at every size: the wanted ids grow with the documents.
     sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, "units")
-    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("units").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("units").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_similarity(), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
-    links = materialize(links, "links")
+    links = materialize(_verified(likely, sets, threshold), "links")
     labels = components(links)
+    # Leads are compared with all members, so a bucket is open where others of several components are in it.
+    others = stars.where((F.col("n") > 3) & (F.col("doc_id") > F.col("low")) & (F.col("doc_id") < F.col("high")))
+    others = others.join(labels.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("part"))
+    open_keys = others.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where(F.col("first") < F.col("last")).select("key")
+    rest = materialize(others.join(open_keys, "key", "left_semi").select("doc_id", "part").distinct(), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_rest_links(docs, rest, links, threshold, size)).distinct()
+        labels = components(links)
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = members.join(labels, "rep", "left").join(n_links, "rep", "left")
     return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

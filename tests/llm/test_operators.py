@@ -90,6 +90,19 @@ def test_near_duplicates_match_brute_force(docs, texts, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_inside_a_family_that_shares_a_passage(spark):
+    """Texts under 0.8 to each other fill the buckets; the copies among them lie between a bucket's leads."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(400)]
+    texts = {}
+    for i, doc_id in enumerate(rng.permutation(240).tolist()):
+        texts[doc_id] = " ".join(passage + [f"q{i // 2}x{j}" for j in range(14)] + [f"r{i}x{j}" for j in range(41)])
+    want = brute_classes(texts, set())
+    assert len(set(want.values())) == 120
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     common, left, right = (rng.integers(1, 2**63, n, np.uint64) for n in (600, 100, 100))
