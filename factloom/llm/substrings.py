@@ -78,6 +78,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     close = _close_repeats(grams, width)
     at = np.searchsorted(close, starts[first] - width)
     inner = (at < len(close)) & (np.append(close, len(data) + 2 * width)[at] <= starts[last] + width)
+    # Windows that are further apart in one segment are not among the close ones.
+    inner |= last - first >= width
     return rows[first], starts[first], starts[last], anchors[first], inner
 
 

@@ -54,6 +54,29 @@ def test_repeats_match_brute_force(docs, texts, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_formulaic_lines_repeat_far_inside_a_segment(spark):
+    """A phrase on every line is the anchor of long segments, in which windows repeat more than 85 bytes later."""
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda n: "".join(rng.choice(letters, n))
+    texts = {}
+    for i in range(1500):
+        phrase, own = word(24), [word(int(rng.integers(30, 40))) for _ in range(8)]
+        lines = own[:5] + own[1:4] + own[5:]
+        texts[i] = "".join(phrase + x + "\n" for x in lines)
+    want = {}
+    for i, t in texts.items():
+        b, seen = t.encode(), set()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        want[i] = bytes(x for x, g in zip(b, gone) if not g)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substrings.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_levels_grow_geometrically():
     levels = substrings.Levels()
     for i in range(16):
