@@ -1,7 +1,8 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
 All of it is DataFrame functions and Spark ML in the JVM. A candidate is a
-stretch of at least 12 key characters with a digit in it. Its features are its
+stretch of at least 12 key characters with a digit in it, or a value of any
+length that is assigned to a word that announces a secret. Its features are its
 length, how often its characters change class, how much of it (and of what
 stands beside it) a dictionary covers, whether it stands in a path, and the
 words next to it. The forest learns from labelled findings.
@@ -19,6 +20,8 @@ from factloom.llm.common import materialize, query
 # What a candidate looks like, words that announce secrets, well-known key formats.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 ANNOUNCES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+# The value is group 1: to the closing quote, or, without quotes, to white space but for marks at its end.
+ASSIGNED = ANNOUNCES.replace("(pass(", "(?:pass(?:") + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,8}[=:]{1,3}\s{0,8}[\"']?((?<=\")[^\"\n]+|(?<=')[^'\n]+|(?<![\"'])[^\s\"']*[^\s\"'.,;:)\]}])"
 KEY_FORMATS = r"^(AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|xox[bap]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{24,})$"
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|your[_-]|dummy|x{6,}|0{8,}|123456)"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -34,16 +37,24 @@ def _count(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)).cast("double")
 
 
+def _places(text: Column, pattern: str, group: int) -> Column:
+    """start and candidate of every match of a pattern in a text; the group ends where the match ends."""
+    whole, values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+    steps = F.transform(whole, lambda m, i: F.length(F.get(between, i)) + F.length(m))
+    ends = F.aggregate(steps, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    return F.zip_with(F.slice(ends, F.lit(2), F.size(whole)), values, lambda end, v: F.struct((end - F.length(v) + 1).alias("start"), v.alias("candidate")))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, start (1-based, in characters), candidate, before and after of every distinct candidate of a text.
+    """doc_id, start (1-based, in characters), candidate, before and after of every candidate of a text.
 
-    A candidate that stands several times in a text is one row, with its first
-    place. Null and empty texts have none; repeated documents stay repeated.
+    Each place is a row with its own context. A value that both patterns find
+    at one place is one row; a longer value and a part of it are two. Null and
+    empty texts have none; repeated documents stay repeated.
     """
-    found = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CANDIDATE))
-    found = found.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
-    start = F.instr("text", F.col("candidate"))
-    found = found.select("doc_id", "text", "candidate", start.alias("start"))
+    found = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
+    places = F.array_distinct(F.concat(_places(F.col("text"), CANDIDATE, 0), _places(F.col("text"), ASSIGNED, 1)))
+    found = found.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.*")
     low = F.greatest(F.lit(1), F.col("start") - BEFORE)
     return found.select(
         "doc_id", "start", "candidate",
@@ -94,13 +105,14 @@ def labelled_findings(found: DataFrame, max_rows: int = 20000) -> DataFrame:
 
     Well-known key formats, and announced, assigned values of mixed characters,
     are secrets. Plain numbers, UUIDs, placeholders, parts of paths and words
-    with a number at the end are not. Candidates of neither kind get no label.
+    with a number at the end that nothing announces are not. Candidates of neither kind get no label.
     """
     c = F.col("candidate")
-    no = c.rlike("^[0-9]+$") | c.rlike(UUID) | c.rlike(PLACEHOLDER) | c.rlike("^[A-Za-z]+[-_]?[0-9]{1,4}$") | F.col("before").rlike(r"://\S*$")
-    yes = c.rlike(KEY_FORMATS) | (F.col("before").rlike(ANNOUNCES + r"\S{0,16}\s*[=:]\s*[\"']?$") & c.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
+    assigned = F.col("before").rlike(ANNOUNCES + r"\S{0,16}\s*[=:]\s*[\"']?$")
+    no = c.rlike("^[0-9]+$") | c.rlike(UUID) | c.rlike(PLACEHOLDER) | (c.rlike("^[A-Za-z]+[-_]?[0-9]{1,4}$") & ~assigned) | F.col("before").rlike(r"://\S*$")
+    yes = c.rlike(KEY_FORMATS) | (assigned & c.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
     known = found.withColumn("label", F.when(no, 0.0).when(yes, 1.0)).where(F.col("label").isNotNull())
-    order = (F.xxhash64("candidate"), F.col("candidate"), F.col("doc_id"))
+    order = (F.xxhash64("candidate"), F.col("candidate"), F.col("doc_id"), F.col("start"))
     return known.where("label = 1").orderBy(*order).limit(max_rows).unionByName(known.where("label = 0").orderBy(*order).limit(max_rows))
 
 
@@ -137,13 +149,17 @@ def scan(documents: DataFrame, threshold: float = 0.5, findings: DataFrame | Non
 def redact(documents: DataFrame, scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Documents whose secrets are replaced by a mask, everywhere in the text; n_chars, where present, follows.
 
-    Documents without secrets are returned as they are. doc_ids must be distinct.
+    A value is a secret of its text if it is one at any place. Announced values
+    that are no key-like stretches are replaced where they stand as words of
+    their own, as short ones also occur inside other words. Documents without secrets are returned as they are. doc_ids must be distinct.
     """
     secrets = scanned.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("candidate")).alias("__secrets"))
     joined = documents.join(secrets, "doc_id", "left")
     # Longer ones first, so that a secret inside another goes with it.
     ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mask))))
+    alone = lambda s: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    masked = lambda t, s: F.when(s.rlike(f"^{CANDIDATE}$"), F.replace(t, s, F.lit(mask))).otherwise(F.regexp_replace(t, alone(s), F.lit(mask)))
+    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), masked))
     out = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType

@@ -176,6 +176,25 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_every_place_of_a_secret_and_announced_passwords(spark):
+    hexes = "be8a8e7152a5c568b612dc7f4042dd9566113270"
+    rows = [(i, f'see {hexes[:-2]}{i:02d} é in the list, then api_key = "{hexes[:-2]}{i:02d}" of 4047054433953522') for i in range(30)]
+    rows += [(50, 'password = "Tr0ub4dor&3" and passwords'), (51, "pwd: a\\Eb$c, next"), (52, "x\npassphrase='correct horse'\n"), (53, "no secret here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = secrets.scan(table)
+    text, places = dict(rows), defaultdict(list)
+    for r in scanned.collect():
+        assert text[r["doc_id"]][r["start"] - 1 :].startswith(r["candidate"])
+        places[r["doc_id"], r["candidate"]].append(r["start"])
+    for i in range(30):
+        value = f"{hexes[:-2]}{i:02d}"
+        assert sorted(places[i, value]) == [text[i].index(value) + 1, text[i].rindex(value) + 1]
+    assert {k for k in places if k[0] >= 50} == {(50, "Tr0ub4dor&3"), (51, "a\\Eb$c"), (52, "correct horse")}
+    judged = scanned.withColumn("is_secret", F.col("is_secret") | (F.col("doc_id") >= 50))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(table, judged).collect()}
+    assert hexes[:-2] not in out[0] and out[50] == 'password = "[SECRET]" and passwords' and out[51] == "pwd: [SECRET], next" and out[52] == "x\npassphrase='[SECRET]'\n"
+
+
 def test_language_held_out(spark, empty):
     table = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(0))
     model = language.train(table.where("doc_id % 3 <> 0"))
