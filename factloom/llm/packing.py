@@ -1,8 +1,9 @@
 """Lexical retrieval packing of tokenised documents into fixed windows.
 
 Documents are tokenised once and written. Document frequencies of all tokens
-are summed over the corpus. The written documents are packed in index shards:
-each shard holds an inverted index of BM25 weights over its documents; a seed
+are summed over the corpus. The written documents are dealt by a MinHash of
+their heaviest shared tokens, so that likely neighbours come together whatever
+file they are in, and packed in index shards: each shard holds an inverted index of BM25 weights over its documents; a seed
 opens a window, its best unused neighbours fill it, and the neighbour that is
 cut at the window's end goes on as the next window's seed.
 """
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import bounded_batches, materialize, query
+from factloom.llm.common import bounded_batches, materialize, mix64, query
 
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_WORDS = 600_000
@@ -227,12 +228,44 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, average: float, window: i
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _lexical_keys(df: np.ndarray, idf: np.ndarray, average: float, terms: int = 12, k1: float = 1.2, b: float = 0.75):
+    """Rows with the two smallest hashes of each document's heaviest tokens that another document has; 0 without any."""
+
+    def run(batches):
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(1)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            found = np.zeros((2, len(ids)), np.int64)
+            if sizes.sum():
+                pairs = np.sort((np.repeat(np.arange(len(ids)), sizes) << 32) | np.concatenate(ids))
+                new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+                tf = np.diff(np.append(new, len(pairs)))
+                row, term = pairs[new] >> 32, pairs[new] & 0xFFFFFFFF
+                shared = df[term] > 1
+                row, term, tf = row[shared], term[shared], tf[shared]
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / average))
+                order = np.lexsort((term, -weight, row))
+                row, term = row[order], term[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < terms
+                row, hashes = row[top], (mix64((term[top].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                for j in range(2):
+                    found[j, row[place == j]] = hashes[place == j]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found[0]), pa.array(found[1])], names=["doc_id", "ids", "key", "second"])
+
+    return run
+
+
 def pack(tokenized: DataFrame, window: int = 2048, shard_tokens: int = 1 << 20, shard_docs: int = 2048) -> DataFrame:
     """Pieces of all documents in windows of `window` tokens.
 
-    tokenized: doc_id, ids, tokens as from tokenize(), already written. An
-    index shard is a run of a partition's documents of about shard_tokens
-    tokens; sequence_id is the partition's number times 2^32 plus a count.
+    tokenized: doc_id, ids, tokens as from tokenize(), already written. They
+    are sorted by lexical keys over all partitions; many documents of one key
+    are split by doc_id. An index shard is a run of a partition's documents, up
+    to about shard_tokens tokens or shard_docs documents, and neighbours are
+    looked for in it alone; sequence_id is the partition's number times 2^32 plus a count.
     Every token lies in exactly one piece. An empty table gives no rows.
     """
     df, n = document_frequencies(tokenized)
@@ -266,7 +299,10 @@ def pack(tokenized: DataFrame, window: int = 2048, shard_tokens: int = 1 << 20,
         if docs:
             yield flush()
 
-    return tokenized.select("doc_id", "ids").mapInArrow(run, _PIECES)
+    keyed = tokenized.select("doc_id", "ids").mapInArrow(_lexical_keys(df, idf, average), "doc_id long, ids binary, key long, second long")
+    order = ("key", "second", "doc_id")
+    near = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return near.select("doc_id", "ids").mapInArrow(run, _PIECES)
 
 
 @query("op10_lexical_packing")

@@ -301,3 +301,16 @@ def test_packing_holds_every_token_once(spark, docs, texts, empty):
             end += length
         assert end <= 2048 and end & (end - 1) == 0
     assert packing.pack_documents(empty).count() == 0
+
+
+def test_packing_brings_related_documents_of_other_files_together(spark):
+    """40 topics of 10 documents, far apart in the table, in shards of 20 documents and windows of two."""
+    rng = np.random.default_rng(7)
+    rows = [(i, np.concatenate([rng.permutation(np.arange(12)) + 1000 + 12 * (i % 40), rng.integers(0, 100, 20)]).astype("<u4").tobytes(), 32) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, ids binary, tokens int").repartition(4)
+    windows = defaultdict(set)
+    for r in packing.pack(table, window=64, shard_docs=20).collect():
+        windows[r["sequence_id"]].add(r["doc_id"])
+    pairs = [w for w in windows.values() if len(w) == 2]
+    assert np.mean([len({i % 40 for i in w}) == 1 for w in pairs]) > 0.6
+    assert sorted(i for w in windows.values() for i in w) == list(range(400))
