@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import materialize, mix64, query, row_chunks, text_bytes, words
+from factloom.llm.common import discard, materialize, mix64, query, row_chunks, text_bytes, words
 
 _CHUNK = 1 << 20
 #: Places of the counts that order units by how common they are; any order gives the same links.
@@ -252,7 +252,7 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     return stars.unionByName(materialize(_verified(pairs, sets, threshold), "rest-links"))
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, band_rows: int = 5, slack: float = 0.2) -> DataFrame:
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, band_rows: int = 5, slack: float = 0.2, copy_parts: int = 64) -> DataFrame:
     """doc_id, class_id and n_links of every document.
 
     A class holds the documents that are linked, directly or in steps, by equal
@@ -275,9 +275,13 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.when(F.col("text").isNotNull(), F.sha2("text", 256))
-    ids = materialize(docs.select("doc_id", digest.alias("digest")), "digests")
-    first = ids.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = ids.join(first, "digest", "left").groupBy("doc_id").agg(F.coalesce(F.min("rep"), F.col("doc_id")).alias("rep"))
+    ids = docs.select("doc_id", digest.alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(copy_parts)).cast("int").alias("part"))
+    ids = materialize(ids, "digests")
+    # Each text has at most copy_parts rows here, and the joins go by text and part, so no text's copies meet in one task.
+    parts = materialize(ids.where(F.col("digest").isNotNull()).groupBy("digest", "part").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "copies")
+    first = parts.groupBy("digest").agg(F.min("low").alias("rep"), F.sum("n").alias("n")).where("n > 1").select("digest", "rep")
+    first = parts.join(first, "digest").select("digest", "part", "rep")
+    members = ids.join(first, ["digest", "part"], "left").groupBy("doc_id").agg(F.coalesce(F.min("rep"), F.col("doc_id")).alias("rep"))
     members = materialize(members, "members")
     signed = materialize(docs.mapInArrow(_sign(size, bands, band_rows), "doc_id long, bands array<long>, signature binary, weight long"), "signatures")
     distinct = members.where(F.col("doc_id") == F.col("rep")).select("doc_id")
@@ -325,7 +329,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where(F.col("u") != F.col("v")).distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct(), "edges")
+        last, edges = edges, materialize(small.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("rep"), F.col("v").alias("class_id")).unionByName(edges.select(F.col("v").alias("rep"), F.col("v").alias("class_id"))).distinct()

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
+from factloom.llm.common import text_bytes
 from factloom.llm import chat, decontaminate, language, minhash, packing, secrets, sharding, substrings, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -140,12 +142,38 @@ def test_top_k_matches_brute_force(spark):
     rows = [*vectors.items(), (500, None), (501, [float("nan")] * 8), (502, [None] * 8)]
     table = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = defaultdict(list)
-    for r in topk.top_k(table, table.where("vec_id % 100 = 0"), range_rows=64, query_rows=2, block_rows=8).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(table, table.where("vec_id % 100 = 0"), pivots=9, query_rows=2, block_rows=8).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     q = {i: np.floor(1024 * np.array(v, "float64")).astype(int) for i, v in vectors.items()}
     for a in (0, 100, 200, 300, 400):
         assert got[a] == sorted(((b, int(q[a] @ v)) for b, v in q.items() if b != a), key=lambda x: (-x[1], x[0]))[:10]
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
+    twice = table.unionByName(table.where("vec_id = 7")).unionByName(spark.createDataFrame([(900, [1, 2]), (901, [3, 4])], "vec_id long, q array<long>"))
+    rows = topk.top_k(twice, twice.where("vec_id in (0, 900)")).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == 900] == [(900, 901, 11)]
+    assert sum(r["query_id"] == 0 for r in rows) == 10
+
+
+def test_blocks_of_near_vectors_are_left_out():
+    """On clustered vectors most blocks are never scored; scores at the edge of 64 bits stay exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(50, 16)) * 1000
+    rows = np.rint(np.repeat(centres, 64, axis=0) + rng.normal(size=(3200, 16)) * 20).astype(np.int64)
+    blocks = [(np.arange(a, a + 64), m := rows[a : a + 64], m.max(axis=0), m.min(axis=0)) for a in range(0, 3200, 64)]
+    search = topk.Search(np.array([0, 640]), rows[[0, 640]], np.full(2, -np.inf), 10)
+    for at in range(0, 50, 5):
+        search.add(blocks[at : at + 5])
+        search.best()
+    assert search.scored < 0.5 * search.seen
+    asks, ids, scores = search.best()
+    for n, q in enumerate((0, 640)):
+        want = sorted(((int(rows[i] @ rows[q]), -i) for i in range(3200) if i != q), reverse=True)[:10]
+        assert list(zip(scores[asks == n].tolist(), (-ids[asks == n]).tolist(), strict=True)) == want
+    large = np.array([[2**30, 2**31 + 1], [2**30, 2**31]], np.int64)
+    search = topk.Search(np.array([9]), large[:1], np.full(1, -np.inf), 1)
+    search.add([(np.arange(2), large, large.max(axis=0), large.min(axis=0))])
+    assert search.best()[2].tolist() == [2**60 + (2**31 + 1) ** 2]
+
 
 
 def test_shards_are_contiguous_and_equal(docs, texts, empty):
@@ -176,6 +204,32 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_forest_on_held_out_findings(spark):
+    """Labelled findings of one half teach; the other half is judged. No rule of labelled_findings() takes part."""
+    rng = np.random.default_rng(10)
+    hexes, letters = list("0123456789abcdef"), list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789")
+    pick = lambda kind, n: "".join(rng.choice(kind, n))
+    rows, truth = [], {}
+    for i in range(400):
+        kinds = [
+            (True, f'the service reads credential = "{(v := "7" + pick(letters, 31))}" at start', v),
+            (True, f"export TOKEN: {(v := '9f' + pick(hexes, 38))} before you run it", v),
+            (False, f"see the file named {(v := 'report-' + pick(list('0123456789'), 8))}.html for more", v),
+            (False, f"the order number {(v := pick(list('0123456789'), 16))} was sent on Monday", v),
+            (False, f"commit {(v := '9f' + pick(hexes, 38))} changes the parser and the tests", v),
+        ]
+        secret, text, value = kinds[i % 5]
+        rows.append((i, text))
+        truth[i, value] = secret
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, v, float(s)) for (i, v), s in truth.items()], "doc_id long, candidate string, label double")
+    findings = secrets.candidates(table.where("doc_id < 200")).join(marks, ["doc_id", "candidate"])
+    got = {(r["doc_id"], r["candidate"]): r["is_secret"] for r in secrets.scan(table.where("doc_id >= 200"), findings=findings).collect()}
+    held = {k: s for k, s in truth.items() if k[0] >= 200}
+    hit = sum(got[k] and s for k, s in held.items())
+    assert hit / sum(held.values()) >= 0.95 and hit / sum(got[k] for k in held) >= 0.95
+
+
 def test_every_place_of_a_secret_and_announced_passwords(spark):
     hexes = "be8a8e7152a5c568b612dc7f4042dd9566113270"
     rows = [(i, f'see {hexes[:-2]}{i:02d} é in the list, then api_key = "{hexes[:-2]}{i:02d}" of 4047054433953522') for i in range(30)]
@@ -205,6 +259,41 @@ def test_language_held_out(spark, empty):
     assert language.train(empty) is None
 
 
+def test_words_of_code_switched_texts(spark):
+    """Texts of held-out documents whose language changes every 15 words; equal tables give equal models."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null")
+    model = language.train(table.where("doc_id % 3 <> 0"))
+    again = language.train(table.where("doc_id % 3 <> 0").repartition(7))
+    assert (model.tables == again.tables).all() and (model.transitions == again.transitions).all()
+    assert (np.diag(model.transitions) > 0.8).all()
+    runs = defaultdict(list)
+    for r in table.where("doc_id % 3 = 0").orderBy("doc_id").collect():
+        w = WORD.findall(r["text"] or "")
+        runs[r["lang"]].extend(" ".join(w[a : a + 15]) for a in range(0, min(len(w) - 14, 90), 15))
+    mixed, truth = [], []
+    for group in zip(*runs.values()):
+        mixed.append(" ".join(group))
+        truth.append([lang for lang in runs for _ in range(15)])
+    flat = [x for t in truth for x in t]
+    right = lambda m: np.mean([a == b for a, b in zip(flat, (x for t in language.label_words(m, mixed) for x in t), strict=True)])
+    uniform = language.Model(model.labels, model.tables, np.full_like(model.transitions, 1 / len(model.labels)))
+    assert right(model) > 0.9 and right(model) > right(uniform)
+
+
+def test_expected_pairs_are_those_of_the_chain():
+    rng = np.random.default_rng(4)
+    potentials, moves, n = rng.normal(size=(5, 2)), rng.dirichlet(np.ones(2), 2), np.zeros((2, 2))
+    language.marginals(potentials, np.zeros(5, int), 1, moves, n)
+    want = np.zeros((2, 2))
+    total = 0.0
+    for path in np.ndindex(*[2] * 5):
+        p = moves[:, path[0]].mean() * np.exp(sum(potentials[t, y] for t, y in enumerate(path))) * np.prod([moves[a, b] for a, b in zip(path, path[1:])])
+        total += p
+        for a, b in zip(path, path[1:]):
+            want[a, b] += p
+    assert np.allclose(n, want / total, atol=1e-4)
+
+
 def test_marginals_are_those_of_the_chain():
     rng = np.random.default_rng(3)
     rows = np.array([0] * 300 + [2] * 5)
@@ -269,8 +358,8 @@ def test_contamination_matches_brute_force(spark, docs, texts, empty):
                     items |= own
                     hit[a : a + n] = [1] * n
         want[i] = (len(w), sum(hit), sorted(items))
-    for bound in (8 << 20, 2000):
-        rows = decontaminate.find_contamination(docs, bench, max_item_bytes=bound).collect()
+    for bound in (4 << 20, 300):
+        rows = decontaminate.find_contamination(docs, bench, max_windows=bound).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == want
     found = decontaminate.find_contamination(docs, bench)
     cut = decontaminate.cut_spans(docs, found)
@@ -282,6 +371,51 @@ def test_contamination_matches_brute_force(spark, docs, texts, empty):
     assert decontaminate.find_contamination(empty, bench).count() == 0 and decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_blocks_of_items_change_no_result(spark):
+    """Rows without an id, and rows of one id and several texts, keep their own spans with one block and with many."""
+    items = spark.createDataFrame([(i, " ".join(f"b{i}w{j}" for j in range(14))) for i in range(6)], "item_id long, text string")
+    rows = [(1, "x b0w0 " + " ".join(f"b0w{j}" for j in range(12)) + " y", 9, 0), (1, " ".join(f"b3w{j}" for j in range(14)) + ", " + " ".join(f"b4w{j}" for j in range(14)), 9, 1), (None, "é " + " ".join(f"B2W{j}" for j in range(10)), 9, 2), (None, None, None, 3), (2, "", 0, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans int")
+    plain = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    found = [plain(decontaminate.find_contamination(docs, items, max_windows=n)) for n in (1000, 8)]
+    assert found[0] == found[1] and len(found[0]) == 5
+    cut = [plain(decontaminate.remove_contamination(docs, items, max_windows=n)) for n in (1000, 8)]
+    assert cut[0] == cut[1]
+    assert {r["spans"]: (r["text"], r["n_chars"]) for r in decontaminate.remove_contamination(docs, items).collect()} == {0: ("x b0w0  y", 9), 1: ("", 0), 2: ("é ", 2), 3: (None, None), 4: ("", 0)}
+
+
+def test_packing_ids_are_the_tokenizers_for_all_letters():
+    from tokenizers import Tokenizer
+
+    tokenizer, known = Tokenizer.from_file(packing.tokenizer_path()), packing.PieceIds(packing.tokenizer_path(), size=5000)
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    rng = np.random.default_rng(8)
+    signs = list("aAzZ 'sS'tReE'llvVdD<|>endoftext\n\t09é E\u0301×÷İŒœ.,&#ßñ٣中👍")
+    fuzz = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(20000)]
+    for texts in ([c + "." for c in letters], [c + "," for c in letters], ["a" + c + "'s" for c in letters], [*fuzz, "<|endoftext|>.", "x<|ENDOFTEXT|>a", None]):
+        for lo in range(0, len(texts), 20000):
+            part = texts[lo : lo + 20000]
+            ids, edges = known.ids(*text_bytes(pa.array(part, pa.string())), 1)
+            want = tokenizer.encode_batch_fast([t or "" for t in part], add_special_tokens=False)
+            assert all(ids[a:b].tolist() == [*w.ids, 1] for a, b, w in zip(edges[:-1], edges[1:], want, strict=True))
+
+
+def test_packing_neighbours_are_those_of_bm25():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 60, rng.integers(5, 40)).astype("<u4") for _ in range(80)]
+    df = np.zeros(60)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf, average = np.log1p((80 - df + 0.5) / (df + 0.5)).astype(np.float32), np.mean([len(d) for d in docs])
+    index = packing.Bm25Shard(docs, idf, average)
+    weight = lambda t, d: float(idf[t]) * (n := int((d == t).sum())) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / average))
+    for seed in range(0, 80, 7):
+        terms = sorted((t for t in set(docs[seed].tolist()) if sum(t in d for d in docs) > 1), key=lambda t: -weight(t, docs[seed]))[:12]
+        want = {i: sum(weight(t, d) for t in terms) for i, d in enumerate(docs)}
+        found, scores = index.neighbours(seed)
+        assert np.allclose(scores, [want[i] for i in found.tolist()], rtol=1e-4) and {i for i, x in want.items() if x > 0} == set(found.tolist())
+
+
 def test_packing_holds_every_token_once(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
