@@ -11,13 +11,13 @@ spans.
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import query, row_chunks, text_bytes, words
+from factloom.llm.common import materialize, query, row_chunks, text_bytes, words
 
 _CHUNK = 1 << 20
 _SAMPLE = 8
@@ -123,27 +123,37 @@ class FmIndex:
 
 
 class Phrases:
-    """The windows of a block of test items as word numbers."""
+    """The windows of test items as places in one sequence of word numbers."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
+        data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
         _, _, rows, hashes = words(data, offsets)
-        self.words = np.unique(hashes)
-        symbols = np.searchsorted(self.words, hashes) + 1
-        found: dict[tuple[int, ...], set[str]] = {}
-        for row, (item, _) in enumerate(items):
-            own = tuple(symbols[np.searchsorted(rows, row) : np.searchsorted(rows, row, side="right")].tolist())
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(own[at : at + window], set()).add(item)
-        keys = list(found)
-        self.items = [sorted(found[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        width = int(self.lengths.max(initial=1))
-        self.matrix = np.array([(0,) * (width - len(k)) + k for k in keys], np.int64).reshape(len(keys), width)
+        self.words, numbers = np.unique(hashes, return_inverse=True)
+        self.symbols = (numbers + 1).astype(np.int32)
+        count = np.bincount(rows, minlength=len(items))
+        windows = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        self.names = [name for name, _ in items]
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+        first = (np.cumsum(count) - count)[self.item]
+        self.at = (first + np.arange(len(self.item)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+        self.lengths = np.minimum(count[self.item], window).astype(np.int32)
+        self.width = int(self.lengths.max(initial=1))
         self.shortest = int(self.lengths.min(initial=1))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.words & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def matrix(self, pick: np.ndarray) -> np.ndarray:
+        """The words of these windows, right-aligned."""
+        places = self.at[pick, None].astype(np.int64) + self.lengths[pick, None] - self.width + np.arange(self.width)
+        return self.symbols[np.maximum(places, 0)].astype(np.int64)
+
+    def possible(self, sequence: np.ndarray) -> np.ndarray:
+        """The windows all of whose words stand in a sequence."""
+        present = np.zeros(len(self.words) + 1, bool)
+        present[sequence] = True
+        missing = np.append(0, np.cumsum(~present[self.symbols], dtype=np.int32))
+        return np.flatnonzero(missing[self.at + self.lengths] == missing[self.at])
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers, 0 for words of no phrase."""
         out = np.zeros(len(hashes), np.int64)
@@ -175,53 +185,96 @@ def _indexed_runs(symbols: np.ndarray, rows: np.ndarray, shortest: int) -> tuple
     return np.append(sequence, 0), np.append(word, -1)
 
 
-def _scan(phrases: Phrases):
+def _occurrences(phrases: Phrases, index: FmIndex, sequence: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows in an indexed sequence, and the windows' numbers."""
+    places, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    possible = phrases.possible(sequence)
+    for lo in range(0, len(possible), step):
+        pick = possible[lo : lo + step]
+        low, high = index.search(phrases.matrix(pick), phrases.lengths[pick])
+        count = np.maximum(high - low, 0)
+        suffix = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        places.append(index.locate(suffix))
+        windows.append(np.repeat(pick, count))
+    return np.concatenate(places), np.concatenate(windows)
+
+
+def _hits(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
+    """n_words, n_hit, items and spans of one shard's texts, through its FM-index."""
+    data, offsets = text_bytes(column)
+    n = len(column)
+    n_words, parts = np.zeros(n, np.int64), []
+    for lo, hi in row_chunks(offsets, _CHUNK):
+        starts, ends, rows, hashes = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        n_words[lo:hi] = np.bincount(rows, minlength=hi - lo)
+        sequence, word = _indexed_runs(phrases.numbers(hashes), rows, phrases.shortest)
+        if len(word):
+            text = word[:-1]  # the last separator is added once for the shard
+            parts.append((sequence[:-1], rows[text] + lo, starts[text] + offsets[lo] - offsets[lo + rows[text]], ends[text] + offsets[lo] - offsets[lo + rows[text]]))
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    items: list[list[str]] = [[] for _ in range(n)]
+    n_hit = np.zeros(n, np.int64)
+    if parts:
+        sequence, rows, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        place, which = _occurrences(phrases, FmIndex(np.append(sequence, 0), len(phrases.words)), sequence)
+        cover = np.bincount(place, minlength=len(sequence) + 1) - np.bincount(place + phrases.lengths[which], minlength=len(sequence) + 1)
+        hit = np.cumsum(cover)[: len(sequence)] > 0
+        n_hit = np.bincount(rows[hit], minlength=n)
+        first, last = hit.copy(), hit.copy()
+        first[1:] &= ~hit[:-1]
+        last[:-1] &= ~hit[1:]
+        for row, x, y in zip(rows[first].tolist(), starts[first].tolist(), ends[last].tolist(), strict=True):
+            spans[row].append({"start": x, "end": y})
+        pairs = np.unique(rows[place] * len(phrases.names) + phrases.item[which])
+        for row, w in zip((pairs // len(phrases.names)).tolist(), (pairs % len(phrases.names)).tolist(), strict=True):
+            items[row].append(phrases.names[w])
+    return n_words, n_hit, [sorted(set(x)) for x in items], spans
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(shared):
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            n = batch.num_rows
-            n_words, parts = np.zeros(n, np.int64), []
-            for lo, hi in row_chunks(offsets, _CHUNK):
-                starts, ends, rows, hashes = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                n_words[lo:hi] = np.bincount(rows, minlength=hi - lo)
-                sequence, word = _indexed_runs(phrases.numbers(hashes), rows, phrases.shortest)
-                if len(word):
-                    text = word[:-1]  # the last separator is added once for the shard
-                    parts.append((sequence[:-1], rows[text] + lo, starts[text] + offsets[lo] - offsets[lo + rows[text]], ends[text] + offsets[lo] - offsets[lo + rows[text]]))
-            spans: list[list[dict]] = [[] for _ in range(n)]
-            items: list[list[str]] = [[] for _ in range(n)]
-            n_hit = np.zeros(n, np.int64)
-            if parts and len(phrases.matrix):
-                sequence, rows, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
-                index = FmIndex(np.append(sequence, 0), len(phrases.words))
-                low, high = index.search(phrases.matrix, phrases.lengths)
-                count = np.maximum(high - low, 0)
-                which = np.repeat(np.arange(len(low)), count)
-                suffix = np.repeat(low, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                place = index.locate(suffix)
-                cover = np.bincount(place, minlength=len(sequence) + 1) - np.bincount(place + phrases.lengths[which], minlength=len(sequence) + 1)
-                hit = np.cumsum(cover)[: len(sequence)] > 0
-                n_hit = np.bincount(rows[hit], minlength=n)
-                first, last = hit.copy(), hit.copy()
-                first[1:] &= ~hit[:-1]
-                last[:-1] &= ~hit[1:]
-                for row, a, b in zip(rows[first].tolist(), starts[first].tolist(), ends[last].tolist(), strict=True):
-                    spans[row].append({"start": a, "end": b})
-                pairs = np.unique(rows[place] * len(phrases.items) + which)
-                for row, w in zip((pairs // len(phrases.items)).tolist(), (pairs % len(phrases.items)).tolist(), strict=True):
-                    items[row].extend(phrases.items[w])
+            n_words, n_hit, items, spans = _hits(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)],
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
     return run
 
 
+def _cut(shared):
+    """Batches of documents without their spans."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            spans = _hits(shared.value, batch.column(at))[3]
+            texts = {i: _without(batch.column(at)[i].as_py(), own) for i, own in enumerate(spans) if own}
+            if texts:
+                for name, value in (("text", lambda t: t), ("n_chars", len)):
+                    if (k := batch.schema.get_field_index(name)) >= 0:
+                        new = batch.column(k).to_pylist()
+                        for i, text in texts.items():
+                            new[i] = value(text)
+                        batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
+            yield batch
+
+    return run
+
+
+def _without(text: str, spans: list[dict]) -> str:
+    data = text.encode()
+    return b"".join(data[a:b] for a, b in zip([0, *(s["end"] for s in spans)], [*(s["start"] for s in spans), len(data)], strict=True)).decode()
+
+
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_item_bytes: int = 8 << 20) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 4 << 20) -> DataFrame:
     """Benchmark windows in documents: doc_id, n_words, n_hit, items (ids as strings, sorted), spans.
 
     Words are lower-cased runs of ASCII letters and digits and non-ASCII
@@ -229,53 +282,82 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     fewer words is one window. Every word inside an occurrence is hit; spans
     are merged byte ranges of the text in UTF-8.
 
-    The test set goes to all tasks, so its size is checked first: beyond
-    max_item_bytes the items are searched in several blocks, each in a pass of
-    its own, and the blocks' spans are merged by document. Null texts hold no
-    words; items without words match nothing. Repeated documents stay repeated
-    with one block (several blocks need distinct doc_ids). Empty tables on
-    either side are fine. Other columns are left out.
+    The windows go to all tasks as a broadcast, so they are counted first:
+    beyond max_windows the items are dealt into several blocks, each in a pass
+    of its own, and the blocks' results are merged by a row number that is
+    written with the documents. The number of blocks changes no result. Null
+    texts hold no words; items without words match nothing; items without an id
+    count as one of the empty name. Every row of documents gives a row, also where ids are null
+    or repeated. Empty tables on either side are fine. Other columns are left out.
+    """
+    docs, blocks = documents.select(F.col("doc_id").cast("long"), "text"), _blocks(benchmark, window, max_windows)
+    if len(blocks) == 1:
+        return docs.mapInArrow(_scan(_shared(blocks[0], window)), _SCHEMA)
+    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = [docs.select("row", "text").mapInArrow(_scan(_shared(b, window)), _SCHEMA) for b in blocks]
+    return _merged(docs, reduce(DataFrame.unionByName, found))
+
+
+def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> list[DataFrame]:
+    """The items in blocks of about max_windows windows each."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    count = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(F.greatest(count - window + 1, F.least(count, F.lit(1))))).first()[0] or 0
+    n = -(-total // max_windows) or 1
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _shared(items: DataFrame, window: int):
+    """The phrases of a block as a broadcast; its windows are counted, so its size is bounded."""
+    return items.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in items.collect()], window))
+
+
+def remove_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 4 << 20) -> DataFrame:
+    """Documents without the bytes of their spans; n_chars, where present, follows the new text.
+
+    Each row is searched and cut in its task, so null and repeated ids don't
+    matter. With more than max_windows windows the spans of all blocks are
+    found first and joined by a row number; the result is the same. Rows
+    without spans come back as they are, in the same columns.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // max_item_bytes) or 1
-    found = None
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        phrases = Phrases([(r[0], r[1]) for r in own.collect()], window)
-        part = docs.mapInArrow(_scan(phrases), _SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found if blocks == 1 else _merged(docs, found)
+    blocks = _blocks(benchmark, window, max_windows)
+    if len(blocks) == 1:
+        return documents.mapInArrow(_cut(_shared(blocks[0], window)), documents.schema)
+    numbered = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = find_contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, max_windows)
+    return cut_spans(numbered, found.withColumnRenamed("doc_id", "__row"), "__row").select(*documents.columns)
 
 
 def _merged(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per document from the results of several blocks."""
-    grouped = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    """One row per row number from the results of several blocks."""
+    found = found.withColumnRenamed("doc_id", "row")
+    grouped = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches):
         for batch in batches:
             out, hits = [], []
             for text, spans in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 starts, ends, _, _ = words(*text_bytes(pa.array([text], pa.string())))
-                hit = np.zeros(len(starts), bool)
-                for s in spans:
-                    hit |= (starts >= s["start"]) & (ends <= s["end"])
+                cover = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(cover, np.searchsorted(starts, [s["start"] for s in spans]), 1)
+                np.add.at(cover, np.searchsorted(ends, [s["end"] for s in spans], side="right"), -1)
+                hit = np.cumsum(cover)[:-1] > 0
                 edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                 out.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)])
                 hits.append(int(hit.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(2), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    return grouped.join(docs, "doc_id").select("doc_id", "n_words", "items", "text", "spans").mapInArrow(run, _SCHEMA)
+    return docs.join(grouped, "row").select("doc_id", "n_words", "items", "text", "spans").mapInArrow(run, _SCHEMA)
 
 
-def cut_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
+def cut_spans(documents: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents with the bytes of their spans removed from text; n_chars, where present, follows the new text.
 
-    Documents without spans are returned as they are. doc_ids must be distinct.
+    Documents without spans are returned as they are. Ids must be distinct;
+    remove_contamination() has no such condition.
     """
-    hits = found.where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans"))
-    joined = documents.join(hits, "doc_id", "left")
+    hits = found.where(F.size("spans") > 0).select(id_col, F.col("spans").alias("__spans"))
+    joined = documents.join(hits, id_col, "left")
     data = F.col("text").cast("binary")
     # The kept pieces lie between the end of one span and the start of the next.
     edges = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: F.struct(

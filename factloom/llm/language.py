@@ -26,7 +26,7 @@ _GRAM_CODE = np.where(WORD_BYTE, LOWER, 0).astype(np.uint32)
 
 @dataclass
 class Model:
-    """Potentials of a chain over `labels`: word, 3-gram and 4-gram tables (size, labels), transitions, start."""
+    """Potentials of a chain over `labels`: word, 3-gram and 4-gram tables (size, labels) and transitions; all labels start alike."""
 
     labels: list[str]
     tables: np.ndarray
@@ -65,9 +65,11 @@ def emissions(model_tables: np.ndarray, lexicon: np.ndarray, first: np.ndarray,
     return model_tables[0][lexicon] + np.add.reduceat(grams, first, axis=0)
 
 
-def marginals(potentials: np.ndarray, rows: np.ndarray, n: int, transitions: np.ndarray) -> np.ndarray:
+def marginals(potentials: np.ndarray, rows: np.ndarray, n: int, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities of all words of n rows by forward-backward.
 
+    The expected counts of the labels of neighbours in one block are added to `pairs`.
+
     Rows are cut into blocks, and the blocks' transfer matrices are chained
     first, so the number of steps does not follow the longest row. Padding has
     flat potentials and, as transitions are probabilities, no weight backwards.
@@ -84,6 +86,9 @@ def marginals(potentials: np.ndarray, rows: np.ndarray, n: int, transitions: np.
     grid = np.ones((total * _BLOCK, labels), np.float32)
     grid[at] = np.exp(potentials - potentials.max(axis=1, keepdims=True))
     grid = grid.reshape(total, _BLOCK, labels)
+    filled = np.zeros(total * _BLOCK, bool)
+    filled[at] = True
+    filled = filled.reshape(total, _BLOCK)
     step = transitions.astype(np.float32)
     transfer = np.broadcast_to(np.eye(labels, dtype=np.float32), (total, labels, labels)).copy()
     for t in range(_BLOCK):
@@ -108,26 +113,27 @@ def marginals(potentials: np.ndarray, rows: np.ndarray, n: int, transitions: np.
     v, back = leave, step.T.copy()
     for t in range(_BLOCK - 1, -1, -1):
         p = forward[:, t] * v
+        if pairs is not None and t:
+            both = (forward[:, t - 1, :, None] * step) * (grid[:, t] * v)[:, None, :]
+            pairs += (both / both.sum(axis=(1, 2), keepdims=True))[filled[:, t]].sum(axis=0)
         v = (v * grid[:, t]) @ back
         v = v / v.max(axis=1, keepdims=True)
         forward[:, t] = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-30)
     return forward.reshape(-1, labels)[at]
 
 
-def _train(labels: list[str], batch_rows: int, epochs: int, rate: float, seed: int):
-    """Stochastic gradient steps of one task on its labelled texts; yields the task's weights."""
+def _train(labels: list[str], batch_rows: int, epochs: int, rate: float, seed: int, run_words: int):
+    """Stochastic gradient steps on one group of labelled texts; gives the group's weights."""
     width = len(labels)
 
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
         rng = np.random.default_rng(seed)
-        texts, gold = [], []
-        for batch in batches:
-            texts.extend(batch.column(0).to_pylist())
-            gold.extend(labels.index(x) for x in batch.column(1).to_pylist())
-        tables, moves = np.zeros((3, _SIZE, width), np.float32), np.zeros((width, width))
-        squares = np.full_like(tables, 1e-3)
-        switches = np.full((width, width), 1.0) + np.eye(width) * 20
-        for _ in range(epochs if texts else 0):
+        # The same texts in the same order, however they arrived.
+        table = table.sort_by([("text", "ascending"), ("lang", "ascending")])
+        texts, gold = table["text"].to_pylist(), np.array([labels.index(x) for x in table["lang"].to_pylist()])
+        tables, moves = np.zeros((3, _SIZE, width), np.float32), np.eye(width) * 2
+        squares, move_squares = np.full_like(tables, 1e-3), np.full_like(moves, 1e-3)
+        for _ in range(epochs):
             order = rng.permutation(len(texts))
             for lo in range(0, len(order), batch_rows):
                 pick = order[lo : lo + batch_rows]
@@ -137,18 +143,24 @@ def _train(labels: list[str], batch_rows: int, epochs: int, rate: float, seed: i
                     continue
                 # Code-switched sequences: runs of words of all texts, shuffled into chains of a block each.
                 size = np.append(np.diff(first), len(tri) - first[-1])
-                cut = np.flatnonzero((rng.random(len(rows)) < 1 / 40) | np.append(True, rows[1:] != rows[:-1]))
+                cut = np.flatnonzero((rng.random(len(rows)) < 1 / run_words) | np.append(True, rows[1:] != rows[:-1]))
                 length = np.diff(np.append(cut, len(rows)))
                 runs = rng.permutation(len(cut))
                 n = length[runs]
                 word = np.repeat(cut[runs], n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                truth = np.array(gold)[pick][rows[word]]
+                truth = gold[pick][rows[word]]
                 chain = np.arange(len(word)) // _BLOCK
                 potentials = emissions(tables, lexicon, first, tri, four)[word]
-                wrong = -marginals(potentials, chain, int(chain[-1]) + 1, switches / switches.sum(axis=1, keepdims=True))
+                steps, expected = _rows_to_one(moves), np.zeros((width, width))
+                wrong = -marginals(potentials, chain, int(chain[-1]) + 1, steps, expected)
                 wrong[np.arange(len(word)), truth] += 1
-                np.add.at(moves, (truth[:-1], truth[1:]), 1)
-                switches = moves + 1
+                # Transitions follow the gradient as well: pairs that stand in the chains less those expected.
+                joined = np.flatnonzero(chain[1:] == chain[:-1])
+                pulled = -expected
+                np.add.at(pulled, (truth[joined], truth[joined + 1]), 1)
+                gradient = (pulled - steps * pulled.sum(axis=1, keepdims=True)) / batch_rows
+                move_squares += gradient**2
+                moves += rate * gradient / np.sqrt(move_squares)
                 by_word = np.empty_like(wrong)
                 by_word[word] = wrong
                 by_byte = np.repeat(by_word, size, axis=0)
@@ -156,29 +168,48 @@ def _train(labels: list[str], batch_rows: int, epochs: int, rate: float, seed: i
                     gradient = np.stack([np.bincount(index, g[:, j], _SIZE) for j in range(width)], axis=1) / batch_rows
                     squares[k] += gradient**2
                     tables[k] += rate * gradient / np.sqrt(squares[k])
-        if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([tables.tobytes()], pa.binary()), pa.array([moves.tobytes()], pa.binary())], names=["tables", "moves"])
+        return pa.table({"tables": pa.array([tables.tobytes()], pa.binary()), "moves": pa.array([moves.tobytes()], pa.binary()), "task": table["task"].slice(0, 1)})
 
     return run
 
 
-def train(documents: DataFrame, max_rows: int = 2400, tasks: int = 4, epochs: int = 2) -> Model | None:
+def _rows_to_one(moves: np.ndarray) -> np.ndarray:
+    """Transition probabilities of a matrix of weights."""
+    e = np.exp(moves - moves.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def train(documents: DataFrame, max_rows: int = 2400, tasks: int = 4, epochs: int = 2, run_words: int = 40) -> Model | None:
     """A chain learned from text and lang of at most max_rows labelled documents, the first by the hash of their id.
 
-    Each of `tasks` tasks learns from its share; the weights are averaged.
-    Null texts and null langs are left out; without any labelled row there is no model.
+    The labelled texts are in one language each, so they are cut into runs of
+    run_words words on average and shuffled into code-switched chains; how
+    often labels change is taken from there. Emissions and transitions follow
+    the gradient of the chains' likelihood. Documents are dealt to `tasks`
+    groups by their id; the groups' weights are averaged in their order, so
+    equal tables give equal models. Null texts, langs and ids are left out;
+    without any labelled row there is no model.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # max_rows bounds what is broadcast.
-    sample = known.join(F.broadcast(ids), "doc_id").select("text", "lang")
+    sample = known.join(F.broadcast(ids), "doc_id").select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(tasks)).cast("int").alias("task"))
     labels = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not labels:
         return None
-    parts = sample.repartition(tasks).mapInArrow(_train(labels, 32, epochs, 0.3, 7), "tables binary, moves binary").collect()
-    tables = np.mean([np.frombuffer(p[0], np.float32) for p in parts], axis=0).reshape(3, _SIZE, len(labels))
-    moves = sum(np.frombuffer(p[1], np.float64) for p in parts).reshape(len(labels), len(labels)) + 1
-    return Model(labels, tables.astype(np.float32), moves / moves.sum(axis=1, keepdims=True))
+    parts = sample.groupBy("task").applyInArrow(_train(labels, 32, epochs, 0.3, 7, run_words), "tables binary, moves binary, task int").collect()
+    parts.sort(key=lambda p: p["task"])
+    tables = np.mean([np.frombuffer(p["tables"], np.float32) for p in parts], axis=0).reshape(3, _SIZE, len(labels))
+    moves = np.mean([np.frombuffer(p["moves"], np.float64) for p in parts], axis=0).reshape(len(labels), len(labels))
+    return Model(labels, tables.astype(np.float32), _rows_to_one(moves))
+
+
+def label_words(model: Model, texts: list[str]) -> list[list[str]]:
+    """The likeliest label of each word of some texts, also where the language changes inside one."""
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    rows, lexicon, first, tri, four = features(data, offsets)
+    best = marginals(emissions(model.tables, lexicon, first, tri, four), rows, len(texts), model.transitions).argmax(axis=1)
+    return [[model.labels[i] for i in best[rows == r].tolist()] for r in range(len(texts))]
 
 
 def _no_letters(text: str | None) -> bool:

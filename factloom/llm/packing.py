@@ -10,6 +10,7 @@ cut at the window's end goes on as the next window's seed.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import struct
@@ -19,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import bounded_batches, materialize, mix64, query
+from factloom.llm.common import LOWER, bounded_batches, materialize, mix64, query, row_chunks, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 600_000
-_ROWS = 256
+_CACHE_PIECES = 400_000
+_CACHE_BYTES = 64 << 20
+_CHUNK = 2 << 20
 
 
 def _tokenizer(path: str):
@@ -44,87 +46,149 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-
-class WordIds:
-    """Ids of stretches without blanks as bytes; stretches that come again are kept longer than those seen once."""
-
-    def __init__(self, path: str, size: int = _CACHE_WORDS) -> None:
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_B = np.arange(256)
+#: Letters are those of ASCII and of U+00C0 to U+017F in UTF-8; other bytes above ASCII are odd.
+_KIND = np.select(
+    [(_B == 32) | (_B == 10), (_B >= 48) & (_B <= 57), ((_B | 32) >= 97) & ((_B | 32) <= 122) | (_B >= 128) & (_B < 192) | (_B >= 0xC3) & (_B <= 0xC5), (_B > 32) & (_B < 127)],
+    [_BLANK, _DIGIT, _LETTER, _MARK],
+    _ODD,
+).astype(np.uint8)
+_CONTRACTED = np.isin(_B | 32, np.frombuffer(b"stmdrvl", np.uint8)) & (_B < 128)
+#: Two bytes that are no such letter, or whose letter changes its length in lower case: the signs of times and division, U+0130.
+_NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches that the tokenizer never joins: their sizes, rows, oddness, and their bytes end to end.
+
+    Words are cut at blanks and line ends. In a word of letters from U+0000 to
+    U+017F, digits and ASCII marks, normalising changes nothing but case, and
+    the tokenizer splits it into runs of letters, single digits and runs of
+    marks, which come in lower-case ASCII. A word is odd, and stays whole, if it has any other byte, an
+    apostrophe before a letter that may be contracted, or the start of a
+    special token.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    odd = kind == _ODD
+    if n > 1:
+        a, b = data[:-1], data[1:]
+        odd[:-1] |= (a == 39) & _CONTRACTED[b] | (a == 60) & (b == 124)
+        for lead, follow in _NO_LETTERS:
+            odd[:-1] |= (a == lead) & (b == follow)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    inside = kind != _BLANK
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    word, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    odds = np.append(0, np.cumsum(odd, dtype=np.int32))
+    odd_word = odds[end] > odds[word]
+    step = np.zeros(n + 1, np.int8)
+    step[word[odd_word]] += 1
+    step[end[odd_word]] -= 1
+    whole = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    # Inside words that are not odd, a new kind or a digit starts a new piece.
+    first[1:] |= inside[1:] & ~whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    starts = np.flatnonzero(first)
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    packed = np.where(whole, data, LOWER[data])[inside]
+    return np.diff(np.flatnonzero(first[inside]), append=len(packed)), rows, whole[starts], packed
+
+
+class PieceIds:
+    """Ids of pieces as bytes, in two generations: what is not asked for while the younger one fills is forgotten."""
+
+    def __init__(self, path: str, size: int = _CACHE_PIECES) -> None:
         self.tokenizer, self.size = _tokenizer(path), size
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.once: set[str] = set()
-
-    def encode(self, words: list[str]) -> None:
-        """Words of plain Latin letters go to the model at once, as normalising and splitting leave them whole."""
-        known, tokens, odd = self.known, self.model.tokenize, []
-        for word in words:
-            if word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word)):
-                plain = word.lower()
-                if not plain.isascii():
-                    plain = plain.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                known[word] = struct.pack(f"<{len(got)}I", *got) if (got := [t.id for t in tokens(plain)]) else b""
-            else:
-                odd.append(word)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def get(self, keys: list[str], whole: list[bool]) -> list[bytes]:
+        """Ids of each key: a piece in lower-case ASCII, or an odd word as it is."""
+        young, old, tokens, odd = self.young, self.old, self.model.tokenize, []
+        # The many short-lived tokens would start the collector again and again, which finds no cycles here.
+        collecting = gc.isenabled()
+        gc.disable()
+        for key, as_it_is in zip(keys, whole, strict=True):
+            if key in young:
+                continue
+            got = old.get(key)
+            if got is None:
+                if as_it_is:
+                    odd.append(key)
+                    continue
+                found = [t.id for t in tokens(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                got = struct.pack(f"<{len(found)}I", *found)
+            young[key] = got
+            self.held += len(key) + len(got)
+        if collecting:
+            gc.enable()
         if odd:
-            self.encode_any(odd)
-
-    def encode_any(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-
-    def learn(self, seen: set[str]) -> None:
-        """Make every stretch of `seen` known."""
-        known = self.known
-        if len(known) + len(seen) > self.size:
-            for word in self.once:
-                del known[word]
-            self.once.clear()
-            if len(known) + len(seen) > self.size:
-                known.clear()
-        self.once -= seen
-        fresh = seen.difference(known)
-        if not fresh:
-            return
-        # The tokenizer splits letters from one closing mark and lowers case, so these stretches have their core's ids.
-        cores = {}
-        for word in fresh:
-            core, mark = (word[:-1], word[-1]) if word[-1:] in {".", ","} and word[-2:-1].isalpha() else (word, "")
-            if core.isascii():
-                core = core.lower()
-            if mark or core != word:
-                cores[word] = (core, mark)
-        wanted = (fresh.difference(cores) | {c for c, _ in cores.values()} | {".", ","}).difference(known)
-        self.encode(list(wanted))
-        for word, (core, mark) in cores.items():
-            known[word] = known[core] + known[mark] if mark else known[core]
-        self.once |= fresh
-        self.once |= wanted
-        self.once -= {".", ","}
-
-    def ids(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        group = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        self.learn(set().union(*group))
-        return [b"".join(map(self.known.__getitem__, x)) + end for x in group]
+            for key, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                young[key] = np.array(got.ids, "<u4").tobytes()
+                self.held += len(key) + len(young[key])
+        out = [young[key] for key in keys]
+        if len(young) > self.size or self.held > _CACHE_BYTES:
+            self.young, self.old, self.held = {}, young, 0
+        return out
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each row's followed by end_id, and the n + 1 offsets of the rows in them."""
+        n = len(offsets) - 1
+        size, rows, odd, packed = pieces(data, offsets)
+        if not len(size):
+            return np.full(n, end_id, "<u4"), np.arange(n + 1)
+        # A dictionary of Arrow finds the different pieces; an odd word's bytes never equal those of a piece that is not.
+        edges = np.append(0, np.cumsum(size))
+        words = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(packed)]).dictionary_encode()
+        which = words.indices.to_numpy()
+        whole = np.zeros(len(words.dictionary), bool)
+        whole[which[odd]] = True
+        found = self.get(words.dictionary.to_numpy(zero_copy_only=False).tolist(), whole.tolist())
+        count = np.array([len(x) for x in found], np.int64) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begin = np.cumsum(count) - count
+        n_ids = count[which]
+        total = np.cumsum(n_ids)
+        take = np.repeat(begin[which] - (total - n_ids), n_ids) + np.arange(total[-1])
+        out = np.full(int(total[-1]) + n, end_id, "<u4")
+        out[np.arange(total[-1]) + np.repeat(rows, n_ids)] = flat[take]
+        by_row = np.bincount(rows, n_ids, n).astype(np.int64) + 1
+        return out, np.append(0, np.cumsum(by_row))
+
+
+_READY: dict[str, PieceIds] = {}
+
+
+def piece_ids(path: str) -> PieceIds:
+    """The tokenizer and its bounded memory of pieces, kept by the process for its next tasks."""
+    if path not in _READY:
+        _READY[path] = PieceIds(path)
+    return _READY[path]
 
 
 def tokenize(documents: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """doc_id long, ids binary (little-endian unsigned 32-bit ids of the whole text, then end_id), tokens int.
 
-    The tokenizer splits words at white space and never joins over it, so each
-    distinct stretch between blanks and line ends is tokenised once a task and
-    then looked up. Null texts count as empty and hold end_id alone. Repeated
-    rows stay repeated; an empty table gives no rows.
+    Texts are cut into pieces that the tokenizer never joins; each different
+    piece of a batch is looked up or tokenised once. Null texts count as empty
+    and hold end_id alone. Repeated rows stay repeated; an empty table gives no
+    rows.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = WordIds(path)
+        known = piece_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                out = words.ids(part.column(1).to_pylist(), end)
-                sizes = pa.array([len(x) // 4 for x in out], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), sizes], names=["doc_id", "ids", "tokens"])
+            data, offsets = text_bytes(batch.column(1))
+            for lo, hi in row_chunks(offsets, _CHUNK):
+                out, edges = known.ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end_id)
+                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, pa.array(np.diff(edges), pa.int32())], names=["doc_id", "ids", "tokens"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, tokens int")
 

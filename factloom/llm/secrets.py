@@ -5,13 +5,16 @@ stretch of at least 12 key characters with a digit in it, or a value of any
 length that is assigned to a word that announces a secret. Its features are its
 length, how often its characters change class, how much of it (and of what
 stands beside it) a dictionary covers, whether it stands in a path, and the
-words next to it. The forest learns from labelled findings.
+words next to it, hashed. The forest learns from labelled findings. Those that
+labelled_findings() takes from well-known formats and announced assignments are
+no features themselves: the forest sees characters and words, and so also
+judges candidates that no rule labels.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,8 +32,10 @@ BEFORE, AFTER = 48, 24
 
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_switches", "f_distinct", "f_hex", "f_vowels",
-    "f_covered", "f_context_covered", "f_path", "f_announced", "f_assigned", "f_quoted",
+    "f_covered", "f_context_covered", "f_path",
 ]
+#: Places of the hashed neighbouring words among the forest's inputs.
+WORD_PLACES = 64
 
 
 def _count(value: Column, pattern: str) -> Column:
@@ -94,34 +99,44 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         (covered(c) / n).alias("f_covered"),
         (covered(context) / (F.length(context) + 1.0)).alias("f_context_covered"),
         flag(F.col("before").rlike(r"(://\S*|[/\\.])$") | F.col("after").rlike(r"^\.[a-z]{2,4}\b") | c.contains("/")).alias("f_path"),
-        flag(F.col("before").rlike(ANNOUNCES)).alias("f_announced"),
-        flag(F.col("before").rlike(r"[=:]\s*[\"']?$")).alias("f_assigned"),
-        flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).alias("f_quoted"),
+        _neighbours().alias("f_neighbours"),
     )
 
 
+def _neighbours(words_before: int = 3, words_after: int = 2) -> Column:
+    """The words next to a candidate, each with its side."""
+    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{2,}|[=:]"), F.lit(0))
+    last, first = F.reverse(found("before")), found("after")
+    return F.concat(F.transform(F.slice(last, 1, words_before), lambda w: F.concat(F.lit("<"), w)), F.transform(F.slice(first, 1, words_after), lambda w: F.concat(F.lit(">"), w)))
+
+
+def _inputs(rows: DataFrame) -> DataFrame:
+    """Rows of with_features() with the forest's vector `inputs`."""
+    hashed = HashingTF(inputCol="f_neighbours", outputCol="f_words", numFeatures=WORD_PLACES, binary=True).transform(rows)
+    return VectorAssembler(inputCols=[*FEATURES, "f_words"], outputCol="inputs").transform(hashed)
+
+
 def labelled_findings(found: DataFrame, max_rows: int = 20000) -> DataFrame:
     """Candidates with a certain `label`: at most max_rows of each class, the first by the hash of the candidate.
 
     Well-known key formats, and announced, assigned values of mixed characters,
-    are secrets. Plain numbers, UUIDs, placeholders, parts of paths and words
+    are secrets. Plain numbers, UUIDs, placeholders and words
     with a number at the end that nothing announces are not. Candidates of neither kind get no label.
     """
     c = F.col("candidate")
     assigned = F.col("before").rlike(ANNOUNCES + r"\S{0,16}\s*[=:]\s*[\"']?$")
-    no = c.rlike("^[0-9]+$") | c.rlike(UUID) | c.rlike(PLACEHOLDER) | (c.rlike("^[A-Za-z]+[-_]?[0-9]{1,4}$") & ~assigned) | F.col("before").rlike(r"://\S*$")
+    no = c.rlike("^[0-9]+$") | c.rlike(UUID) | c.rlike(PLACEHOLDER) | (c.rlike("^[A-Za-z]+[-_]?[0-9]{1,4}$") & ~assigned)
     yes = c.rlike(KEY_FORMATS) | (assigned & c.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
     known = found.withColumn("label", F.when(no, 0.0).when(yes, 1.0)).where(F.col("label").isNotNull())
     order = (F.xxhash64("candidate"), F.col("candidate"), F.col("doc_id"), F.col("start"))
     return known.where("label = 1").orderBy(*order).limit(max_rows).unionByName(known.where("label = 0").orderBy(*order).limit(max_rows))
 
 
-def train(labelled: DataFrame, trees: int = 20, depth: int = 5, seed: int = 11):
-    """A random forest over FEATURES from rows with `label`; None without rows."""
+def train(labelled: DataFrame, trees: int = 30, depth: int = 6, seed: int = 11):
+    """A random forest over FEATURES and neighbouring words from rows with `label`; None without rows."""
     if labelled.limit(1).count() == 0:
         return None
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="inputs").transform(labelled)
-    return RandomForestClassifier(featuresCol="inputs", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    return RandomForestClassifier(featuresCol="inputs", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(_inputs(labelled))
 
 
 def scan(documents: DataFrame, threshold: float = 0.5, findings: DataFrame | None = None) -> DataFrame:
@@ -139,22 +154,23 @@ def scan(documents: DataFrame, threshold: float = 0.5, findings: DataFrame | Non
     if forest is None:
         scored = rows.withColumn("probability", F.col("candidate").rlike(KEY_FORMATS).cast("double"))
     else:
-        scored = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="inputs").transform(rows))
+        scored = forest.transform(_inputs(rows))
         p = vector_to_array("probability")
         # A forest that saw one class has one probability.
         scored = scored.withColumn("probability", F.when(F.size(p) > 1, F.element_at(p, 2)).otherwise(0.0))
     return scored.select("doc_id", "start", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
-def redact(documents: DataFrame, scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact(documents: DataFrame, scanned: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id") -> DataFrame:
     """Documents whose secrets are replaced by a mask, everywhere in the text; n_chars, where present, follows.
 
     A value is a secret of its text if it is one at any place. Announced values
     that are no key-like stretches are replaced where they stand as words of
-    their own, as short ones also occur inside other words. Documents without secrets are returned as they are. doc_ids must be distinct.
+    their own, as short ones also occur inside other words. Documents without
+    secrets are returned as they are. Values of id_col must be distinct.
     """
-    secrets = scanned.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("candidate")).alias("__secrets"))
-    joined = documents.join(secrets, "doc_id", "left")
+    secrets = scanned.where("is_secret").groupBy(id_col).agg(F.array_sort(F.collect_set("candidate")).alias("__secrets"))
+    joined = documents.join(secrets, id_col, "left")
     # Longer ones first, so that a secret inside another goes with it.
     ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
     alone = lambda s: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
