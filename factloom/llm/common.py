@@ -35,7 +35,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, end to end, and the n + 1 offsets of its rows; null counts as empty."""
+    """The bytes of a string or binary column, end to end, and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

@@ -11,7 +11,6 @@ cut at the window's end goes on as the next window's seed.
 from __future__ import annotations
 
 import gc
-import heapq
 import os
 import struct
 import zlib
@@ -23,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm.common import LOWER, bounded_batches, materialize, mix64, query, row_chunks, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_PIECES = 400_000
-_CACHE_BYTES = 64 << 20
+_CACHE_PIECES = 600_000
+_CACHE_BYTES = 96 << 20
 _CHUNK = 2 << 20
 
 
@@ -193,18 +192,27 @@ def tokenize(documents: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, tokens int")
 
 
+def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number * 2^32 + id of the different ids of each row, in order, and how often each occurs in its row."""
+    data, offsets = text_bytes(column)
+    ids = data.view("<u4")
+    pairs = np.sort((np.repeat(np.arange(len(column)), np.diff(offsets) // 4) << 32) | ids)
+    new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[new], np.diff(np.append(new, len(pairs)))
+
+
 def document_frequencies(tokenized: DataFrame) -> tuple[np.ndarray, int]:
     """In how many documents each id occurs, and the number of documents. The vocabulary bounds what the driver gets."""
 
     def run(batches):
         counts, rows = np.zeros(0, np.int64), 0
         for batch in batches:
-            for x in batch.column(0):
-                ids = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
-                if ids[-1] >= len(counts):
-                    counts = np.append(counts, np.zeros(int(ids[-1]) + 1 - len(counts), np.int64))
-                counts[ids] += 1
-                rows += 1
+            pairs, _ = _distinct(batch.column(0))
+            found = np.bincount(pairs & 0xFFFFFFFF)
+            if len(found) > len(counts):
+                counts, found = found, counts
+            counts[: len(found)] += found
+            rows += batch.num_rows
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], rows))], names=["id", "n"])
 
@@ -216,7 +224,10 @@ def document_frequencies(tokenized: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Bm25Shard:
-    """Inverted index of one shard's documents with BM25 weights from corpus-wide frequencies."""
+    """Inverted index of one shard's documents with BM25 weights from corpus-wide frequencies.
+
+    A document asks with the query_terms of its own terms that weigh most, of those that another document of the shard has.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, average: float, k1: float = 1.2, b: float = 0.75, query_terms: int = 12) -> None:
         sizes = np.array([len(x) for x in ids], np.int64)
@@ -259,12 +270,12 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, average: float, window: i
     sequence, offset = 0, 0
     room = min(window, 1 << (left.bit_length() - 1)) if left else 0
     following = 0
-    seed, queue = -1, []
+    queue: list[int] = []
     while left:
         # The best unused neighbour of the window's seed, else the next unused document.
         doc = -1
         while queue:
-            candidate = heapq.heappop(queue)[1]
+            candidate = queue.pop()
             if not used[candidate]:
                 doc = candidate
                 break
@@ -283,10 +294,9 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, average: float, window: i
                 sequence, offset = sequence + 1, 0
                 room = min(window, 1 << (left.bit_length() - 1)) if left else 0
             elif opened:
-                seed = doc
-                found, scores = index.neighbours(seed)
-                queue = list(zip((-scores).tolist(), found.tolist(), strict=True))
-                heapq.heapify(queue)
+                # The window's seed; its best neighbours come last, of equal ones the first document.
+                found, scores = index.neighbours(doc)
+                queue = found[np.argsort(-scores, kind="stable")[::-1]].tolist()
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -297,18 +307,15 @@ def _lexical_keys(df: np.ndarray, idf: np.ndarray, average: float, terms: int =
 
     def run(batches):
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(1)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            found = np.zeros((2, len(ids)), np.int64)
+            sizes = np.diff(text_bytes(batch.column(1))[1]) // 4
+            found = np.zeros((2, batch.num_rows), np.int64)
             if sizes.sum():
-                pairs = np.sort((np.repeat(np.arange(len(ids)), sizes) << 32) | np.concatenate(ids))
-                new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-                tf = np.diff(np.append(new, len(pairs)))
-                row, term = pairs[new] >> 32, pairs[new] & 0xFFFFFFFF
+                pairs, tf = _distinct(batch.column(1))
+                row, term = pairs >> 32, pairs & 0xFFFFFFFF
                 shared = df[term] > 1
                 row, term, tf = row[shared], term[shared], tf[shared]
                 weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / average))
-                order = np.lexsort((term, -weight, row))
+                order = np.lexsort((-weight, row))  # terms are in order already
                 row, term = row[order], term[order]
                 top = np.arange(len(row)) - np.searchsorted(row, row) < terms
                 row, hashes = row[top], (mix64((term[top].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
