@@ -42,7 +42,7 @@ def normalize_boolean(c: Column) -> Column:
 
 def normalize_list(c: Column) -> Column:
     """A comma list as trimmed, non-empty, distinct items in order (FN-9)."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def backoff_seconds(attempt: Column, base: int = 60, most: int = 86400) -> Column:
@@ -104,9 +104,13 @@ def combine(separator: str, *parts: Column) -> Column:
     return F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])
 
 
+# Fixed value: a year of these two centuries, with a month and a day where they follow.
+VERSION = r"(?<![0-9])(?:19|20)\d{2}(?:[-_]?(?:0[1-9]|1[0-2])(?:[-_]?(?:0[1-9]|[12]\d|3[01]))?)?(?![0-9])"
+
+
 def version_token(c: Column) -> Column:
-    """An explicit version such as 2024, 2024-05 or 2024-05-01, else null (FN-14)."""
-    return F.nullif(F.regexp_extract(c, r"(?<![0-9])(20[0-9]{2}(?:-[0-9]{2}(?:-[0-9]{2})?)?)(?![0-9])", 1), F.lit(""))
+    """The first date-like version of a text, such as 2024, 2024-05 or 20240501, else null (FN-14)."""
+    return F.nullif(F.regexp_extract(c, VERSION, 0), F.lit(""))
 
 
 def digest(c: Column) -> Column:
@@ -129,3 +133,46 @@ SECRET_PAIR = r'(?i)\b(token|secret|password|api_key|apikey)\s*[=:]\s*"[^"]+"'
 def mask_secret_pairs(c: Column) -> Column:
     """Values assigned to secret names in a text become [REDACTED] (FN-17)."""
     return F.regexp_replace(c, SECRET_PAIR, '$1="[REDACTED]"')
+
+
+def equivalent(left: Column, right: Column, rule: dict) -> Column:
+    """Whether two values are the same under a rule (FN-18).
+
+    rule: kind exact (of equal text), numeric (absolute, percent), text or
+    identifier (collapse_whitespace, case_insensitive, aliases) or set
+    (case_insensitive; arrays of text, in any order, repeats count once). Two
+    nulls are the same but for numbers and sets; a null differs from any value.
+    """
+    kind = rule["kind"]
+    if kind == "numeric":
+        gap = F.abs(left - right)
+        scale = F.greatest(F.abs(left), F.abs(right), F.lit(2.220446049250313e-16))
+        return F.coalesce((gap <= rule.get("absolute", 0.0)) | (gap / scale * 100 <= rule.get("percent", 0.0)), F.lit(False))
+    fold = F.lower if rule.get("case_insensitive") else (lambda c: c)
+    if kind == "set":
+        items = lambda c: F.array_sort(F.array_distinct(F.transform(c, fold)))
+        return F.coalesce(items(left) == items(right), F.lit(False))
+    if kind == "exact":
+        return left.eqNullSafe(right)
+
+    def plain(c: Column) -> Column:
+        out = fold(normalize_whitespace(c) if rule.get("collapse_whitespace") else c)
+        aliases = rule.get("aliases") or {}
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), out), out) if aliases else out
+
+    return plain(left).eqNullSafe(plain(right))
+
+
+# Phrases of attempts to give orders to a model.
+INJECTION = r"(?i)ignore previous|system prompt|developer message|tool call"
+
+
+def injection_state(c: Column, most: int = 20000) -> Column:
+    """too_large beyond `most` characters, blocked if a text holds an injection phrase, else accepted (FN-19); null is accepted."""
+    return F.when(F.length(c) > most, "too_large").when(c.rlike(INJECTION), "blocked").otherwise("accepted")
+
+
+def union_of(*arrays: Column) -> Column:
+    """The distinct values of several arrays, in order of their first place (SET-2); a null array counts as empty."""
+    empty = F.array()
+    return F.array_distinct(F.concat(*[F.coalesce(a, empty) for a in arrays]))

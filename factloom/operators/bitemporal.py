@@ -94,3 +94,17 @@ def intervals(versions: DataFrame, transitions: DataFrame) -> DataFrame:
     ended = F.when(F.col("kind") == "correction", "corrected").when(F.col("kind") == "retraction", "retracted").otherwise("changed")
     first = transitions.groupBy(F.col("previous_version_id").alias("version_id")).agg(F.min(F.struct(F.col("transaction_at").alias("t"), ended.alias("k"))).alias("__end"))
     return versions.join(first, "version_id", "left").withColumn("transaction_to", F.col("__end.t")).withColumn("ended_as", F.col("__end.k")).drop("__end")
+
+
+def retract(requests: DataFrame, versions: DataFrame, transitions: DataFrame, version_id: str = "fact_version_id") -> DataFrame:
+    """Retraction transitions to append (BT-2); versions themselves never change.
+
+    requests: version_id, operation_key, transaction_at; versions: version_id;
+    transitions: operation_key of what is stored. Requests for unknown versions
+    are left out, as are operation keys that are stored; of requests that share
+    a key the earliest counts. Adds transition_id and kind.
+    """
+    known = requests.join(versions.select(version_id), version_id, "left_semi").join(transitions.select("operation_key"), "operation_key", "left_anti")
+    first = known.where(F.col("operation_key").isNotNull()).groupBy("operation_key").agg(F.min(F.struct("transaction_at", version_id)).alias("__first"))
+    out = first.select("operation_key", f"__first.{version_id}", "__first.transaction_at")
+    return out.withColumn("transition_id", F.sha2(F.concat_ws("|", F.lit("fact-retraction"), "operation_key"), 256)).withColumn("kind", F.lit("retraction"))

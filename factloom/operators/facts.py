@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.operators.ordered import carry
+from factloom.session import materialize
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -16,11 +17,14 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def as_versions(observations: DataFrame, keys: list[str], time: str, value: str, tie: str, bucket: Column | None = None) -> DataFrame:
     """Append-only versions of a value: one row where it changes, valid until the next change (BT).
 
-    Adds valid_from and valid_to (null for the open version). Repeated equal values make no new version. bucket: see ordered.carry.
+    Adds valid_from, valid_to (null for the open version) and before_value (null
+    for the first). Repeated equal values make no new version. The versions are
+    written once, as they are read twice. bucket: see ordered.carry.
     """
     order = [time, tie]
     marked = carry(observations, "__last", keys, order, F.struct(F.col(value).alias("x")), F.lit(True), bucket)
-    kept = marked.where(F.col("__last").isNull() | ~F.col(value).eqNullSafe(F.col("__last.x"))).drop("__last").withColumn("valid_from", F.col(time))
+    kept = marked.where(F.col("__last").isNull() | ~F.col(value).eqNullSafe(F.col("__last.x"))).withColumn("before_value", F.col("__last.x")).drop("__last").withColumn("valid_from", F.col(time))
+    kept = materialize(kept, "versions") if bucket is not None else kept
     return carry(kept, "valid_to", keys, order, F.col(time), F.lit(True), bucket, backward=True)
 
 
@@ -56,7 +60,7 @@ def reconcile(candidates: DataFrame, keys: list[str], priority: Column, tie: lis
 
 
 def change_events(versions: DataFrame, keys: list[str], value: str, time: str = "valid_from", bucket: Column | None = None) -> DataFrame:
-    """Semantic change events between versions: created, increased, decreased, with the relative change (CDC). bucket: see ordered.carry."""
-    out = carry(versions, "before_value", keys, [time], F.col(value), F.lit(True), bucket)
+    """Semantic change events between versions: created, increased, decreased, with the relative change (CDC). before_value is taken from as_versions() where it is there. bucket: see ordered.carry."""
+    out = versions if "before_value" in versions.columns else carry(versions, "before_value", keys, [time], F.col(value), F.lit(True), bucket)
     kind = F.when(F.col("before_value").isNull(), "created").when(F.col(value) > F.col("before_value"), "increased").otherwise("decreased")
     return out.withColumn("change_type", kind).withColumn("change_ratio", F.try_divide(F.col(value) - F.col("before_value"), F.abs("before_value")))

@@ -78,15 +78,28 @@ def delivery_states(attempts: DataFrame, key: str, time: str, tie: str, max_atte
     return done.withColumn("wait_seconds", F.when(F.col("state") == "retrying", F.element_at(ladder, step).cast("long"))).drop("__last")
 
 
-def subscribed(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Pairs of events and matching subscriptions (JN-8); an empty list of kinds matches every kind.
+def subscribed(events: DataFrame, subscriptions: DataFrame, salts: int = 64) -> DataFrame:
+    """Pairs of events and matching subscriptions (JN-8).
 
-    The subscriptions are split into one row per kind, so this stays an equi-join; wildcards join on a null kind.
+    events: kind, and optionally predicate and correction (boolean);
+    subscriptions: kinds and optionally predicates (arrays; empty or null
+    matches all) and corrections (boolean, false by default). A null predicate
+    matches no list; corrections go to those that ask for them.
+
+    Subscriptions with kinds are split into one row for each, so this stays an
+    equi-join; wildcards are dealt to `salts` copies, one for each part of the
+    events, so that no task gets all events.
     """
-    kinds = subscriptions.withColumn("__kind", F.explode_outer("kinds"))
-    named = events.join(kinds.where("__kind is not null"), F.col("kind") == F.col("__kind"))
-    wild = events.withColumn("__one", F.lit(1)).join(kinds.where("__kind is null").withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return named.unionByName(wild).drop("__kind")
+    listed = F.coalesce(F.size("kinds"), F.lit(0)) > 0
+    named = events.join(subscriptions.where(listed).withColumn("__kind", F.explode(F.array_distinct("kinds"))), F.col("kind") == F.col("__kind")).drop("__kind")
+    wild = subscriptions.where(~listed).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = events.withColumn("__salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
+    out = named.unionByName(salted.join(wild, "__salt").drop("__salt"))
+    if "predicates" in subscriptions.columns:
+        out = out.where((F.coalesce(F.size("predicates"), F.lit(0)) <= 0) | F.coalesce(F.array_contains("predicates", F.col("predicate")), F.lit(False)))
+    if "corrections" in subscriptions.columns:
+        out = out.where(~F.coalesce("correction", F.lit(False)) | F.coalesce("corrections", F.lit(False)))
+    return out
 
 
 def freshness_report(facts: DataFrame, scope: str) -> DataFrame:

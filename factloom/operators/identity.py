@@ -4,56 +4,93 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factloom.functions.columns import normalize_identity
+
 # Points of each kind of agreement or conflict.
-POINTS = {"provider": 40, "model_id": 40, "external_id": 40, "alias": 35, "name": 20, "family": 15, "version": 15, "version_conflict": -60}
+POINTS = {
+    "provider": 40, "provider_conflict": -100, "model_id": 40, "external_id": 40, "alias": 35, "name": 20, "family": 15, "version": 15, "version_conflict": -60,
+    "critical_conflict": -20, "lifecycle_conflict": -40,
+}
 
 
 def _same(left: Column, right: Column) -> Column:
     return F.coalesce(left == right, F.lit(False))
 
 
+def _alike(left: Column, right: Column) -> Column:
+    return _same(normalize_identity(left.cast("string")), normalize_identity(right.cast("string")))
+
+
+def _candidate_pairs(inputs: DataFrame, entities: DataFrame, block: str) -> DataFrame:
+    """Inputs beside the entities of their block, and those of other blocks that share a model id or an external id.
+
+    Only such a shared id lifts an entity of another provider above 0. Inputs
+    without any entity come once, with nulls.
+    """
+    right = entities.select(*[F.col(c).alias(f"__e_{c}") for c in entities.columns])
+    other = ~F.col(block).eqNullSafe(F.col(f"__e_{block}"))
+    by_block = inputs.join(right, F.col(block) == F.col(f"__e_{block}"), "left")
+    by_model = inputs.join(right, (F.col("model_id") == F.col("__e_model_id")) & other)
+    ids = inputs.withColumn("__id", F.explode("external_ids")).join(right.withColumn("__e_id", F.explode("__e_external_ids")), (F.col("__id") == F.col("__e_id")) & other)
+    return by_block.unionByName(by_model.unionByName(ids.drop("__id", "__e_id")).distinct())
+
+
 def resolve(inputs: DataFrame, entities: DataFrame, block: str = "provider") -> DataFrame:
     """One decision per distinct input (ID-1, ID-2, TK-4).
 
-    inputs: provider, model_id, external_ids, key, name, family, version;
-    entities: the same with entity_id and aliases (array). Only pairs with the
-    same block are scored; entities are meant to be canonical, so few share a
-    block. Equal inputs are scored once. Null attributes agree with nothing.
-
-    Returns the input columns, score long, entity_id (null unless auto_link)
-    and decision: auto_link (the best is unique and a deterministic key
-    matched), needs_review, rejected (the best conflicts), create_new.
+    inputs: provider, model_id, external_ids, key, name, family, version, and
+    optionally critical_conflict (boolean), lifecycle and candidate_source;
+    entities: the same with entity_id and aliases (array), key and lifecycle
+    optional. Pairs are scored within a block, and over blocks where a model id
+    or an external id is shared; entities are meant to be canonical, so few
+    share a block. Names, families and aliases are compared normalised. Equal
+    inputs are scored once. Null attributes agree with nothing.
+
+    Returns the input columns, score long (0 without a candidate), entity_id
+    (null unless auto_link) and decision: needs_review for AI suggestions,
+    else create_new (no score above 0), rejected (the best has another provider
+    or version), auto_link (the best is unique and a deterministic key
+    matched) or needs_review.
     """
     distinct = inputs.distinct()
     names = distinct.columns
-    right = entities.select(*[F.col(c).alias(f"__e_{c}") for c in entities.columns])
-    pairs = distinct.join(right, F.col(block) == F.col(f"__e_{block}"), "left")
-    conflict = F.coalesce(F.col("version") != F.col("__e_version"), F.lit(False))
+    pairs = _candidate_pairs(distinct, entities, block)
+    there, same_version = F.col("__e_entity_id").isNotNull(), _same(F.col("version"), F.col("__e_version"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in names else F.lit(False)
+    retired = _same(F.col("lifecycle"), F.lit("active")) & _same(F.col("__e_lifecycle"), F.lit("retired")) if "lifecycle" in names and "lifecycle" in entities.columns else F.lit(False)
     features = {
         "provider": _same(F.col("provider"), F.col("__e_provider")),
+        "provider_conflict": there & ~_same(F.col("provider"), F.col("__e_provider")),
         "model_id": _same(F.col("model_id"), F.col("__e_model_id")),
         "external_id": F.coalesce(F.arrays_overlap("external_ids", "__e_external_ids"), F.lit(False)),
-        "alias": F.coalesce(F.array_contains("__e_aliases", F.col("key")), F.lit(False)),
-        "name": _same(F.col("name"), F.col("__e_name")),
-        "family": _same(F.col("family"), F.col("__e_family")),
-        "version": _same(F.col("version"), F.col("__e_version")),
-        "version_conflict": conflict,
+        "alias": F.coalesce(F.array_contains(F.transform("__e_aliases", normalize_identity), normalize_identity(F.col("key").cast("string"))), F.lit(False)),
+        "name": _alike(F.col("name"), F.col("__e_name")),
+        "family": _alike(F.col("family"), F.col("__e_family")),
+        "version": same_version,
+        "version_conflict": F.coalesce(F.col("version") != F.col("__e_version"), F.lit(False)),
+        "critical_conflict": there & yes("critical_conflict"),
+        "lifecycle_conflict": retired & same_version,
     }
     score = sum((F.when(hit, POINTS[name]).otherwise(0) for name, hit in features.items()), F.lit(0)).cast("long")
-    strong = features["model_id"] | features["external_id"] | features["alias"]
-    scored = pairs.select(*names, F.col("__e_entity_id").alias("entity_id"), score.alias("score"), conflict.alias("__conflict"), strong.alias("__strong"))
+    same_key = _same(F.col("key"), F.col("__e_key")) if "key" in entities.columns else F.lit(False)
+    strong = features["model_id"] | features["external_id"] | features["alias"] | same_key
+    conflict = features["provider_conflict"] | features["version_conflict"]
+    scored = pairs.select(*names, F.col("__e_entity_id").alias("entity_id"), F.when(there, score).alias("score"), conflict.alias("__conflict"), strong.alias("__strong"))
     # Inputs are distinct, so the two best of each come from one aggregate with partial results.
     best = F.max(F.struct("score", (-F.col("entity_id")).alias("order"), "entity_id", "__conflict", "__strong")).alias("__best")
     ties = F.max_by(F.col("__ties"), F.col("score")).alias("__ties")
     by_score = scored.groupBy(*names, "score").agg(best, F.count("*").alias("__ties"))
     top = by_score.groupBy(*names).agg(F.max("__best").alias("__best"), ties)
+    suggested = _same(F.col("candidate_source"), F.lit("ai_suggestion")) if "candidate_source" in names else F.lit(False)
     decision = (
-        F.when(F.col("__best.entity_id").isNull() | (F.col("__best.score") <= 0), "create_new")
+        F.when(suggested, "needs_review")
+        .when(F.col("__best.entity_id").isNull() | (F.col("__best.score") <= 0), "create_new")
         .when(F.col("__best.__conflict"), "rejected")
         .when((F.col("__ties") == 1) & F.col("__best.__strong"), "auto_link")
         .otherwise("needs_review")
     )
-    out = top.select(*names, F.col("__best.score").alias("score"), F.col("__best.entity_id").alias("__id"), decision.alias("decision"))
+    shown = F.when(suggested, 0).otherwise(F.coalesce("__best.score", F.lit(0))).cast("long")
+    out = top.select(*names, shown.alias("score"), F.col("__best.entity_id").alias("__id"), decision.alias("decision"))
     return out.withColumn("entity_id", F.when(F.col("decision") == "auto_link", F.col("__id"))).drop("__id")
 
 

@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.session import materialize
 
 
-def evidence_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
+def evidence_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
     """The shortest directed path from every root to the first node of each target type (GR-2).
 
     edges: src, dst; roots: root; targets: node, kind. All roots advance at
     once; each node is entered once per root, ties go to the smallest path.
-    Returns root, kind, node, depth int and path (array). A root that is itself
+    The rounds end when no root reaches a new node, so paths have any length and
+    cycles end. Returns root, kind, node, depth int and path (array). A root that is itself
     a target has depth 0. Null ends take no part; repeated edges count once.
     """
     links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     frontier = roots.select("root").where("root is not null").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path"))
     seen = frontier
-    for _ in range(max_depth):
+    while True:
         onward = frontier.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         fresh = onward.groupBy("root", "node").agg(F.min("path").alias("path")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
         frontier = materialize(fresh, "frontier")
@@ -71,9 +72,12 @@ def graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     """
     made = nodes.where("ref is not null").select(node_id("kind", "ref").alias("node_id"), "kind", "ref").dropDuplicates(["node_id"])
     named = edges.select(F.sha2(F.concat_ws("|", "kind", F.coalesce("src", F.lit("")), F.coalesce("dst", F.lit(""))), 256).alias("edge_id"), "src", "dst", "kind").dropDuplicates(["edge_id"])
-    ids = made.select("node_id")
-    whole = named.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    return made, whole, named.join(whole.select("edge_id"), "edge_id", "left_anti")
+    # One pass marks both ends, and is written, so that neither table evaluates the edges again.
+    end = lambda name: made.select(F.col("node_id").alias(name), F.lit(True).alias(f"__{name}"))
+    marked = materialize(named.join(end("src"), "src", "left").join(end("dst"), "dst", "left"), "edges")
+    both = F.coalesce(F.col("__src") & F.col("__dst"), F.lit(False))
+    pick = lambda condition: marked.where(condition).select("edge_id", "src", "dst", "kind")
+    return made, pick(both), pick(~both)
 
 
 def node_id(kind: str, ref: str):

@@ -119,3 +119,20 @@ def by_policy(candidates: DataFrame, keys: list[str], value: str, order: list[Co
         supporting = F.try_element_at(winner, F.lit(1))["n"]
     n = F.when(F.col("outcome") == "release", supporting).otherwise(0).cast("long")
     return out.select(*keys, "outcome", "value", n.alias("n_supporting"), F.size("__groups").cast("long").alias("n_groups"), reason.alias("reason"))
+
+
+def conflict_rows(candidates: DataFrame, keys: list[str], observation: str, value: str, time: str) -> DataFrame:
+    """Open conflicts of keys with several values (CDC-4): keys, observation_ids (sorted), n_values, opened_at (the latest time), conflict_id.
+
+    A key's candidates are those of its sources, so the list is short. Null
+    values are no candidates; an observation that repeats counts once.
+    """
+    rows = candidates.where(F.col(value).isNotNull() & F.col(observation).isNotNull())
+    found = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(observation).cast("string"))).alias("observation_ids"), F.count_distinct(value).alias("n_values"), F.max(time).alias("opened_at")).where("n_values > 1")
+    name = F.concat_ws("|", F.lit("source-conflict"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.array_join("observation_ids", ","))
+    return found.withColumn("conflict_id", F.sha2(name, 256))
+
+
+def rejected(candidates: DataFrame, eligible: DataFrame, observation: str) -> DataFrame:
+    """The candidates that are not eligible (SET-3), by observation id; a null id is never eligible."""
+    return candidates.join(eligible.select(observation), observation, "left_anti")

@@ -17,7 +17,7 @@ _INNER, _OUTER = (bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x
 @query(
     "cdc3_quorum",
     """WITH c AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, CAST(floor(value / 50) AS BIGINT) AS bucket, event_id % 3 AS g
-      FROM events WHERE value IS NOT NULL AND event_id % 11 <> 0),
+      FROM events WHERE value IS NOT NULL),
     v AS (SELECT user_id, event_type, day, bucket, count(*) AS n, count(DISTINCT g) >= 2 AS enough FROM c GROUP BY ALL)
     SELECT user_id, event_type, day, CASE WHEN count(*) FILTER (enough) = 1 THEN max(bucket) FILTER (enough) END AS value,
       CAST(sum(n) AS BIGINT) AS n_candidates, count(*) AS n_values,
@@ -25,8 +25,7 @@ _INNER, _OUTER = (bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x
     FROM v GROUP BY user_id, event_type, day""",
 )
 def cdc3_quorum(spark, sf_dir):
-    trusted = table(spark, sf_dir, "events").where("event_id % 11 <> 0")
-    candidates = trusted.select("user_id", "event_type", F.to_date("ts").alias("day"), F.floor(F.col("value") / 50).alias("bucket"), (F.col("event_id") % 3).alias("g"))
+    candidates = table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), F.floor(F.col("value") / 50).alias("bucket"), (F.col("event_id") % 3).alias("g"))
     return reconcile.by_quorum(candidates, ["user_id", "event_type", "day"], "bucket", "g", 2)
 
 
@@ -105,24 +104,6 @@ def wn2_value_jumps(spark, sf_dir):
     return out.select("event_id", "user_id", "last_verified", "jumped")
 
 
-@query(
-    "ag9_schema_changes",
-    """WITH p AS (SELECT p_name AS path, min(p_type) AS t, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_partkey % 2 = 0 AND p_name NOT LIKE 'red%' GROUP BY 1),
-    n AS (SELECT p_name AS path, min(p_type) AS t, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_partkey % 2 = 1 AND p_name NOT LIKE 'small%' GROUP BY 1),
-    j AS (SELECT coalesce(p.path, n.path) AS path, p.path IS NULL AS added, n.path IS NULL AS removed, p.t <> n.t AS typed,
-      p.lo <> n.lo OR p.hi <> n.hi AS ranged, n.lo <= p.lo AND n.hi >= p.hi AS wider FROM p FULL JOIN n ON p.path = n.path),
-    r AS (SELECT path, concat_ws(',', CASE WHEN removed THEN 'field_removed' END, CASE WHEN added THEN 'field_added' END, CASE WHEN typed THEN 'type_changed' END,
-      CASE WHEN ranged AND wider THEN 'range_widened' END, CASE WHEN ranged AND NOT wider THEN 'range_narrowed' END) AS changes FROM j)
-    SELECT path, changes, CASE WHEN changes LIKE '%removed%' OR changes LIKE '%type_changed%' OR changes LIKE '%narrowed%' THEN 'breaking' ELSE 'backward_compatible' END AS classification
-    FROM r WHERE changes <> ''""",
-)
-def ag9_schema_changes(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    fields = lambda rows: rows.groupBy(F.col("p_name").alias("path")).agg(F.min("p_type").alias("data_type"), F.lit("mm").alias("unit"), F.min("p_size").alias("minimum"), F.max("p_size").alias("maximum"), F.lit(False).alias("required"), F.lit(True).alias("nullable"))
-    out = health.schema_changes(fields(part.where("p_partkey % 2 = 0 and p_name not like 'red%'")), fields(part.where("p_partkey % 2 = 1 and p_name not like 'small%'")))
-    return out.select("path", F.array_join("changes", ",").alias("changes"), "classification")
-
-
 @query(
     "pf4_page_urls",
     r"""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^([A-Za-z]+://[^/]+/.*[^/])/+$', '\1') AS url,

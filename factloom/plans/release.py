@@ -169,8 +169,8 @@ def jn7_first_rules(spark, sf_dir):
 
 @query(
     "jn3_key_chain",
-    """WITH x AS (SELECT p_partkey AS k, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), a AS (SELECT p_name AS k, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_partkey % 7 = 0 GROUP BY 1),
-    c AS (SELECT p_type AS k, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_partkey % 11 = 0 AND p_size > 40 GROUP BY 1),
+    """WITH x AS (SELECT p_partkey AS k, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_size <= 10 GROUP BY 1), a AS (SELECT p_name AS k, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_type = 'PROMO' GROUP BY 1),
+    c AS (SELECT p_type AS k, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_size > 40 GROUP BY 1),
     j AS (SELECT p_partkey, CASE WHEN x.k IS NOT NULL THEN 1 WHEN a.k IS NOT NULL THEN 2 WHEN c.k IS NOT NULL THEN 3 END AS level, coalesce(x.lo, a.lo, c.lo) AS lo, CASE WHEN x.k IS NOT NULL THEN x.hi WHEN a.k IS NOT NULL THEN a.hi ELSE c.hi END AS hi
       FROM part LEFT JOIN x ON p_partkey = x.k LEFT JOIN a ON p_name = a.k LEFT JOIN c ON p_type = c.k)
     SELECT p_partkey, level, CASE WHEN lo = hi THEN lo END AS entity_id, CASE WHEN level IS NULL THEN 'new' WHEN lo <> hi THEN 'ambiguous' ELSE 'linked' END AS state FROM j""",
@@ -178,7 +178,7 @@ def jn7_first_rules(spark, sf_dir):
 def jn3_key_chain(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     known = lambda rows, column: (column, rows.select(column, F.col("p_size").alias("entity_id")))
-    levels = [known(part.where("p_partkey % 3 = 0"), "p_partkey"), known(part.where("p_partkey % 7 = 0"), "p_name"), known(part.where("p_partkey % 11 = 0 and p_size > 40"), "p_type")]
+    levels = [known(part.where("p_size <= 10"), "p_partkey"), known(part.where("p_type = 'PROMO'"), "p_name"), known(part.where("p_size > 40"), "p_type")]
     return release.resolve_keys(part.select("p_partkey", "p_name", "p_type"), levels).select("p_partkey", "level", "entity_id", "state")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, whole_files: bool = False) -> DataFrame:
@@ -33,19 +33,22 @@ def ingest(new: DataFrame, stored: DataFrame, key: str, payload: str, order: lis
 
     accepted: the first row of a key that is not stored; duplicate: the key is
     stored or came before with an equal payload; rejected: with another
-    payload. A null key is rejected. stored holds each key once.
+    payload. A null key is rejected. stored holds each key once; order is unique within a key.
     """
     known = stored.select(key, F.col(payload).alias("__stored"), F.lit(True).alias("__known"))
-    w = Window.partitionBy(key).orderBy(*order)
-    joined = new.join(known, key, "left").withColumn("__n", F.row_number().over(w)).withColumn("__first", F.first(payload).over(w))
-    base = F.when(F.col("__known"), F.col("__stored")).otherwise(F.col("__first"))
+    # Rows without a key need no comparison, so they don't meet in one task; the first row of a key is a partial aggregate.
+    keyed = new.where(F.col(key).isNotNull())
+    at = F.struct(*order)
+    first = keyed.groupBy(key).agg(F.min(F.struct(at.alias("at"), F.struct(payload).alias("row"))).alias("__first"))
+    joined = keyed.join(known, key, "left").join(first, key)
+    base = F.when(F.col("__known"), F.col("__stored")).otherwise(F.col(f"__first.row.{payload}"))
     state = (
-        F.when(F.col(key).isNull(), "rejected")
-        .when(F.col("__known").isNull() & (F.col("__n") == 1), "accepted")
+        F.when(F.col("__known").isNull() & (at == F.col("__first.at")), "accepted")
         .when(F.col(payload).eqNullSafe(base), "duplicate")
         .otherwise("rejected")
     )
-    return joined.withColumn("ingest_state", state).drop("__stored", "__known", "__n", "__first")
+    none = new.where(F.col(key).isNull()).withColumn("ingest_state", F.lit("rejected"))
+    return joined.withColumn("ingest_state", state).select(*new.columns, "ingest_state").unionByName(none)
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -31,6 +31,13 @@ def deduplicated(stream: DataFrame, key: list[str], time: str, delay: str = "45
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
+def minute_counts(stream: DataFrame, key: str, time: str, limit: int, delay: str = "5 minutes") -> DataFrame:
+    """Requests of each key and minute, how many were within the limit and how many not (ST-1); a minute is given out when the watermark has passed it."""
+    counted = stream.withWatermark(time, delay).groupBy(F.window(time, "1 minute"), key).agg(F.count("*").alias("n_requests"))
+    over = F.greatest(F.col("n_requests") - limit, F.lit(0))
+    return counted.select(F.col("window.start").alias("minute"), key, "n_requests", (F.col("n_requests") - over).alias("n_authorized"), over.alias("n_limited"))
+
+
 def deliveries(stream: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Queue rows of a stream of events (ST-7): an equi-join with the subscriptions' kinds, with an idempotency key.
 

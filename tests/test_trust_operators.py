@@ -41,7 +41,7 @@ def test_identity_decisions(spark):
     )
     got = rows(identity.resolve(inputs, entities), "provider", "version", "score", "entity_id", "decision")
     assert got == sorted(
-        [("a", "2024", 130, 1, "auto_link"), ("a", "2030", 55, None, "rejected"), ("b", None, 75, None, "needs_review"), ("z", "2024", 0, None, "create_new")], key=repr
+        [("a", "2024", 130, 1, "auto_link"), ("a", "2030", 55, None, "rejected"), ("b", None, 75, None, "needs_review"), ("z", "2024", -10, None, "create_new")], key=repr
     )
     assert identity.resolve(inputs.limit(0), entities).count() == 0
     assert {r["decision"] for r in identity.resolve(inputs, entities.limit(0)).collect()} == {"create_new"}
