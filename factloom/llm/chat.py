@@ -153,7 +153,23 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _DIGEST_SCHEMA.split(", ")])
 
 
-@query("op7_chat_round_trip")
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), s AS (
+  SELECT *, len(regexp_extract_all(role, '[\\:<#]')) + len(regexp_extract_all(text, '### |</turn>'))
+    + len(text) - len(replace(text, '\', '')) AS escapes FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(len('### ') + len(role) + len(': ') + len(text) + len('</turn>') + 1 + escapes) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+@query("op7_chat_round_trip", OP7_SQL)
 def op7_chat_round_trip(spark, sf_dir):
     """All conversations, and one whose texts are control strings, formatted and read back."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")

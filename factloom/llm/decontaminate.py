@@ -373,7 +373,26 @@ def cut_spans(documents: DataFrame, found: DataFrame, id_col: str = "doc_id") ->
     return out.select(*documents.columns)
 
 
-@query("op9_fm_index_decontaminate")
+OP9_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i + 1:i + n], ' ') AS k
+  FROM (SELECT *, least(10, len(w)) AS n, unnest(range(greatest(1, len(w) - 9))) AS i FROM iw WHERE len(w) > 0)
+), dwin AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS k
+  FROM (SELECT dw.*, n, unnest(range(len(w) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM win) AS sizes)
+), hit AS (SELECT doc_id, i, n, item_id FROM dwin JOIN win USING (n, k)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op9_fm_index_decontaminate", OP9_SQL)
 def op9_fm_index_decontaminate(spark, sf_dir):
     """Benchmark windows of ten words in all documents."""
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

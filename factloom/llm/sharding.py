@@ -69,7 +69,22 @@ def _numbered(placed: DataFrame, size_col: str) -> DataFrame:
     return placed.mapInArrow(run, schema)
 
 
-@query("op4_shard_by_bytes")
+OP4_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, i AS c, 0 AS n FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8
+), crc AS (SELECT list(c ORDER BY byte) AS steps FROM bits WHERE n = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+sized AS (
+  SELECT doc_id, n + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc
+), placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized),
+cut AS (SELECT *, CAST(least(15, (2 * upto - size) * 16 // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
+
+
+@query("op4_shard_by_bytes", OP4_SQL)
 def op4_shard_by_bytes(spark, sf_dir):
     """All documents in 16 contiguous shards (by doc_id) of nearly equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
