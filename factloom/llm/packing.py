@@ -302,8 +302,8 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, average: float, window: i
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _lexical_keys(df: np.ndarray, idf: np.ndarray, average: float, terms: int = 12, k1: float = 1.2, b: float = 0.75):
-    """Rows with the two smallest hashes of each document's heaviest tokens that another document has; 0 without any."""
+def _lexical_keys(df: np.ndarray, idf: np.ndarray, average: float, kind: str, terms: int = 12, k1: float = 1.2, b: float = 0.75):
+    """Rows with the two smallest hashes of each document's heaviest tokens that another document has; 0 without any. Ids are sent on as `kind`."""
 
     def run(batches):
         for batch in batches:
@@ -324,7 +324,10 @@ def _lexical_keys(df: np.ndarray, idf: np.ndarray, average: float, terms: int =
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 for j in range(2):
                     found[j, row[place == j]] = hashes[place == j]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found[0]), pa.array(found[1])], names=["doc_id", "ids", "key", "second"])
+            data, offsets = text_bytes(batch.column(1))
+            ids = data.view("<u4").astype(kind)
+            sent = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets // 4 * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sent, pa.array(found[0]), pa.array(found[1])], names=["doc_id", "ids", "key", "second"])
 
     return run
 
@@ -342,6 +345,8 @@ def pack(tokenized: DataFrame, window: int = 2048, shard_tokens: int = 1 << 20,
     df, n = document_frequencies(tokenized)
     average = (tokenized.agg(F.avg("tokens")).first()[0]) or 1.0
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    # Ids of a vocabulary that 16 bits hold are sent in 16 bits.
+    kind = "<u2" if len(df) <= 1 << 16 else "<u4"
 
     def run(batches):
         from pyspark import TaskContext
@@ -362,7 +367,7 @@ def pack(tokenized: DataFrame, window: int = 2048, shard_tokens: int = 1 << 20,
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
-                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
+                ids.append(np.frombuffer(x.as_buffer(), kind).astype("<u4"))
                 held += len(ids[-1])
                 if held >= shard_tokens or len(docs) >= shard_docs:
                     yield flush()
@@ -370,7 +375,7 @@ def pack(tokenized: DataFrame, window: int = 2048, shard_tokens: int = 1 << 20,
         if docs:
             yield flush()
 
-    keyed = tokenized.select("doc_id", "ids").mapInArrow(_lexical_keys(df, idf, average), "doc_id long, ids binary, key long, second long")
+    keyed = tokenized.select("doc_id", "ids").mapInArrow(_lexical_keys(df, idf, average, kind), "doc_id long, ids binary, key long, second long")
     order = ("key", "second", "doc_id")
     near = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     return near.select("doc_id", "ids").mapInArrow(run, _PIECES)
