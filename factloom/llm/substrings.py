@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import mix64, query, row_chunks, text_bytes
+from factloom.llm.common import materialize, mix64, query, row_chunks, text_bytes
 
 GRAM = 16
 #: Segments overlap by nearly a window, so they are worth a slow compression before they are sent.
@@ -83,8 +83,57 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return rows[first], starts[first], starts[last], anchors[first], inner
 
 
-def _cut(length: int, buckets: int):
-    """Texts to segments. Of equal segments in a task only the first is sent on; the others repeat it for sure."""
+def _single_windows(data: np.ndarray, length: int, rows, first, last, anchor, inner, hot: np.ndarray):
+    """Segments of hot anchors as single windows, with a hash of the window for an anchor; the other segments as they are."""
+    is_hot = np.isin(anchor, hot)
+    if not is_hot.any():
+        return rows, first, last, anchor, inner
+    count = (last - first + 1)[is_hot]
+    start = np.repeat(first[is_hot], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    grams, key = _gram_hashes(data, GRAM), np.zeros(len(start), np.uint64)
+    for at in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + grams[start + at])
+    cold = ~is_hot
+    return (
+        np.concatenate([rows[cold], np.repeat(rows[is_hot], count)]), np.concatenate([first[cold], start]), np.concatenate([last[cold], start]),
+        np.concatenate([anchor[cold], key]), np.concatenate([inner[cold], np.zeros(len(start), bool)]),
+    )
+
+
+def _count_anchors(length: int):
+    """How many different segments of each batch have each anchor."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            found, seen = [np.zeros(0, np.uint64)], set()
+            for lo, hi in row_chunks(offsets, _CHUNK):
+                part = data[offsets[lo] : offsets[hi]]
+                _, first, last, anchor, _ = segments(part, offsets[lo : hi + 1] - offsets[lo], length)
+                raw = part.tobytes()
+                pieces = [hash(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                fresh = [i for i, p in enumerate(pieces) if not (p in seen or seen.add(p))]
+                found.append(anchor[fresh])
+            anchors, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, length: int, most: int, share: int = 64) -> np.ndarray:
+    """Anchors of more than `most` segments, by the documents of one in `share` hashes of the id.
+
+    This decides how work is dealt, never a result. There are at most 50,000: the bound rises with the table.
+    """
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    counts = materialize(sample.mapInArrow(_count_anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") > max(most / share, total / 50_000)).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _cut(length: int, buckets: int, hot: np.ndarray):
+    """Texts to segments. Of equal segments in a batch only the first is sent on; the others repeat it for sure."""
 
     def run(batches):
         for batch in batches:
@@ -98,7 +147,8 @@ def _cut(length: int, buckets: int):
             for lo, hi in row_chunks(offsets, _CHUNK):
                 at = offsets[lo]
                 part = data[at : offsets[hi]]
-                rows, first, last, anchor, inner = segments(part, offsets[lo : hi + 1] - at, length)
+                found = segments(part, offsets[lo : hi + 1] - at, length)
+                rows, first, last, anchor, inner = _single_windows(part, length, *found, hot) if len(hot) else found
                 raw = part.tobytes()
                 fresh = np.zeros(len(first), bool)
                 for i, (a, b) in enumerate(zip(first.tolist(), (last + length).tolist(), strict=True)):
@@ -176,9 +226,17 @@ class Levels:
         """Which of these windows, in sorted order, stand in a level: a merge scan against each."""
         found = np.zeros(len(sorted_windows), bool)
         for level in self.levels:
-            at = np.searchsorted(level, sorted_windows)
-            at[at == len(level)] = 0
-            found |= level[at] == sorted_windows
+            if len(level) > 8 * len(sorted_windows):
+                # A long level is skipped through: each window looks from where it would stand.
+                at = np.searchsorted(level, sorted_windows)
+                at[at == len(level)] = 0
+                found |= level[at] == sorted_windows
+            else:
+                both = np.concatenate([level, sorted_windows])
+                order = np.argsort(both, kind="stable")  # two sorted runs: a merge, of equal windows the level's first
+                merged = both[order]
+                again = np.flatnonzero(merged[1:] == merged[:-1]) + 1
+                found[order[again] - len(level)] = True
         return found
 
     def add(self, sorted_windows: np.ndarray) -> None:
@@ -262,32 +320,51 @@ def _hit_runs(hit: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(first), np.flatnonzero(last)
 
 
-def repeated_spans(documents: DataFrame, length: int = 100, bucket_bytes: int = 4 << 20, batch_windows: int = 1 << 17) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = 100, bucket_bytes: int = 4 << 20, batch_windows: int = 1 << 17, hot_segments: int = 1 << 18) -> DataFrame:
     """Byte runs of texts that are covered by windows with an earlier start: doc_id, start, end.
 
     Earlier is a smaller doc_id, or the same doc_id and an earlier start. The
     runs of one document may overlap. doc_ids must be distinct and not null.
     Null and empty texts and texts shorter than `length` have none.
+
+    A bucket holds about bucket_bytes of text. Windows of an anchor with more
+    than hot_segments different segments are dealt singly, by a hash of the
+    whole window, so that no gram of a template gathers its texts in one task.
     """
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, total // bucket_bytes)
-    cut = docs.mapInArrow(_cut(length, buckets), _BLOB)
+    cut = docs.mapInArrow(_cut(length, buckets, hot_anchors(docs, length, hot_segments)), _BLOB)
     # Runs found in the map tasks travel under keys of their own, spread over as many buckets.
     cut = cut.withColumn("key", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("docs"), F.lit(max(8, buckets)))).otherwise(F.col("bucket")))
     return cut.groupBy("key").applyInArrow(_find(length, batch_windows), "doc_id long, start long, end long")
 
 
-def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 100, hot_segments: int = 1 << 18) -> DataFrame:
     """doc_id, text bytes, kept bytes and the merged removed runs (array<struct<start,end>>) of every document.
 
     Texts count as UTF-8 bytes; kept bytes may cut a character, so they are
-    binary. Null texts count as empty. Documents with equal ids are refused by
-    no check; ids must be distinct. An empty table gives no rows. Other columns
+    binary. Null texts count as empty. Rows of equal ids are ordered by their
+    text, rows without an id come last; if there are any such rows, all rows are
+    numbered in that order first. An empty table gives no rows. Other columns
     are left out.
     """
-    spans = repeated_spans(documents, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows != ids:
+        order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+        # The numbers grow with the partitions, which are ranges of the order.
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+        docs = materialize(docs, "numbered")
+        out = _removed(docs.drop("__id"), length, hot_segments)
+        return out.join(docs.select("doc_id", "__id"), "doc_id").select(F.col("__id").alias("doc_id"), "bytes", "kept", "removed")
+    return _removed(docs, length, hot_segments)
+
+
+def _removed(documents: DataFrame, length: int, hot_segments: int) -> DataFrame:
+    """remove_repeats() for distinct ids."""
+    spans = repeated_spans(documents, length, hot_segments=hot_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
 
     def run(batches):
         for batch in batches:

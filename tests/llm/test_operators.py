@@ -56,6 +56,40 @@ def test_repeats_match_brute_force(docs, texts, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def brute_repeats(rows):
+    """What is left of (id, text) rows, in this order."""
+    seen, out = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+def test_templated_texts_with_hot_anchors(spark):
+    """A template around words of each document's own; its anchors count as hot, so their windows are dealt singly."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    parts = [word(90) for _ in range(4)]
+    rows = [(i, "".join(p + word(int(rng.integers(5, 60))) for p in parts) + (word(150) if i % 3 else "x" * 300)) for i in range(1500)]
+    rows += [(2000 + i, rows[i * 7][1][20:400]) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(substrings.hot_anchors(table, 100, 64)) > 0
+    got = sorted((r["doc_id"], bytes(r["kept"])) for r in substrings.remove_repeats(table, hot_segments=64).collect())
+    assert got == brute_repeats(rows)
+
+
+def test_repeats_of_rows_without_an_id_or_with_one_id(spark):
+    rows = [(1, "abc" * 50), (1, "abd" * 60), (1, None), (2, "abc" * 50), (None, "abd" * 60), (None, "zz" * 80)]
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["bytes"])), r["doc_id"], bytes(r["kept"])) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    assert [(i, k) for _, i, k in got] == brute_repeats(ordered)
+
+
 def test_formulaic_lines_repeat_far_inside_a_segment(spark):
     """A phrase on every line is the anchor of long segments, in which windows repeat more than 85 bytes later."""
     rng = np.random.default_rng(6)
