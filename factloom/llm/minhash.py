@@ -214,8 +214,8 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     The prefix filter is exact: in one order of all units, similar texts share
     a unit among the first of each. Rare units come first, so texts of a family
     meet where they share more than its passage. Stars in each unit's group
-    join most parts; the pairs of parts that are left are all compared. Groups
-    of more than `hot` texts are split.
+    join most parts; the pairs of parts that are left are all compared. Units
+    with the same texts count once. Groups of more than `hot` texts are split.
     """
     sets = docs.join(rest.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, "rest-units")
@@ -227,8 +227,12 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     def mixed(parts):
         """Entries of the units that texts of several parts have."""
         own = entries.join(parts, "doc_id")
-        groups = own.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "n", "place", "part")).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high"))
-        return own, groups.where(F.col("low") < F.col("high")).select("key", "texts", "lead")
+        members = (F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("sum"))
+        groups = own.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "n", "place", "part")).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high"), *members)
+        groups = groups.where(F.col("low") < F.col("high"))
+        # Units that the same texts have, such as those of a passage, would give the same pairs again; the first of them is enough.
+        firsts = groups.groupBy("texts", "mark", "sum").agg(F.min(F.struct("lead.place", "key", "lead")).alias("first"))
+        return own, firsts.select("first.key", "texts", "first.lead")
 
     def ordered(x, y):
         return F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b")
