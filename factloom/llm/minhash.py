@@ -253,7 +253,10 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece"))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     pairs = x.join(y, same & order & (F.col("x.part") != F.col("y.part")) & _may_be_similar("x", "y", threshold)).select(*ordered("x", "y")).distinct()
-    return stars.unionByName(materialize(_verified(pairs, sets, threshold), "rest-links"))
+    found = materialize(_verified(pairs, sets, threshold), "rest-links")
+    for done in (sets, entries):
+        discard(done)
+    return stars.unionByName(found)
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, band_rows: int = 5, slack: float = 0.2, copy_parts: int = 64) -> DataFrame:
@@ -287,6 +290,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     first = parts.join(first, "digest").select("digest", "part", "rep")
     members = ids.join(first, ["digest", "part"], "left").groupBy("doc_id").agg(F.coalesce(F.min("rep"), F.col("doc_id")).alias("rep"))
     members = materialize(members, "members")
+    for done in (ids, parts):
+        discard(done)
     signed = materialize(docs.mapInArrow(_sign(size, bands, band_rows), "doc_id long, bands array<long>, signature binary, weight long"), "signatures")
     distinct = members.where(F.col("doc_id") == F.col("rep")).select("doc_id")
     buckets = signed.where(F.col("weight") > 0).join(distinct, "doc_id").select("doc_id", F.explode("bands").alias("key"))
@@ -298,17 +303,21 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     compared = pairs.join(sign.select(F.col("doc_id").alias("a"), F.col("signature").alias("s")), "a").join(sign.select(F.col("doc_id").alias("b"), F.col("signature").alias("t")), "b")
     likely = compared.select("a", "b", "s", "t").mapInArrow(_agreement(), "a long, b long, agreement double").where(F.col("agreement") >= threshold - slack).select("a", "b").distinct()
     likely = materialize(likely, "candidates")
+    discard(signed)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # The join is the same at every size: the wanted ids grow with the documents.
     sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, "units")
     links = materialize(_verified(likely, sets, threshold), "links")
+    for done in (likely, sets):
+        discard(done)
     labels = components(links)
     # Leads are compared with all members, so a bucket is open where others of several components are in it.
     others = stars.where((F.col("n") > 3) & (F.col("doc_id") > F.col("low")) & (F.col("doc_id") < F.col("high")))
     others = others.join(labels.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("part"))
     open_keys = others.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where(F.col("first") < F.col("last")).select("key")
     rest = materialize(others.join(open_keys, "key", "left_semi").select("doc_id", "part").distinct(), "rest")
+    discard(stars)
     if not rest.isEmpty():
         links = links.unionByName(_rest_links(docs, rest, links, threshold, size)).distinct()
         labels = components(links)
