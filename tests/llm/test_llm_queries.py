@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents embeddings benchmark conversations".split():
+    for t in "documents embeddings benchmark conversations pages".split():
         path = f"{SF}/{t}.parquet" + ("/*.parquet" if os.path.isdir(f"{SF}/{t}.parquet") else "")
         con.sql(f"create view {t} as select * from '{path}'")
     ours = registry.QUERIES[name](spark, SF)
