@@ -269,7 +269,7 @@ def id8_first_reviews(spark, sf_dir):
 def wn5_circuit_states(spark, sf_dir):
     result = F.when(F.col("value") >= 30, "success").when((F.col("event_type") == "error") & (F.col("value") < 3), "config_error").otherwise("failure")
     calls = table(spark, sf_dir, "events").where("user_id is not null").select("event_id", "user_id", "ts", result.alias("outcome"))
-    return progress.circuit_states(calls, "user_id", "ts", "event_id", "outcome", 3, 21600).select("event_id", "user_id", "circuit", "allowed")
+    return progress.circuit_states(calls, "user_id", "ts", "event_id", "outcome", 3, 21600, F.to_date("ts")).select("event_id", "user_id", "circuit", "allowed")
 
 
 @query(
@@ -458,7 +458,7 @@ def _gate_rows(events):
 
 @query("bt7_released_values", _SQL_RELEASES)
 def bt7_released_values(spark, sf_dir):
-    out = progress.released_values(_gate_rows(table(spark, sf_dir, "events")), "user_id", ["ts", "event_id"], "value", "good")
+    out = progress.released_values(_gate_rows(table(spark, sf_dir, "events")), "user_id", ["ts", "event_id"], "value", "good", bucket=F.to_date("ts"))
     return out.select("event_id", "user_id", "gate_decision", "released_value")
 
 
@@ -474,6 +474,6 @@ def st3_streaming_gate(spark, sf_dir):
     SELECT user_id, event_type, v::TIMESTAMP + INTERVAL 72 HOUR AS deadline FROM l, m WHERE now > v + INTERVAL 72 HOUR""",
 )
 def st4_expired_facts(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    facts = events.groupBy("user_id", "event_type").agg(F.max("ts").alias("verified_at"))
-    return jobs.expired(facts, "verified_at", 72 * 3600, events, "ts").select("user_id", "event_type", F.col("deadline").cast("timestamp_ntz").alias("deadline"))
+    stream = jobs.read_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stale = jobs.expiries(stream, ["user_id", "event_type"], "ts", 72 * 3600)
+    return stale.select("user_id", "event_type", F.col("deadline").cast("timestamp_ntz").alias("deadline"))
