@@ -148,19 +148,20 @@ def equivalent(left: Column, right: Column, rule: dict) -> Column:
         gap = F.abs(left - right)
         scale = F.greatest(F.abs(left), F.abs(right), F.lit(2.220446049250313e-16))
         return F.coalesce((gap <= rule.get("absolute", 0.0)) | (gap / scale * 100 <= rule.get("percent", 0.0)), F.lit(False))
-    fold = F.lower if rule.get("case_insensitive") else (lambda c: c)
-    if kind == "set":
-        items = lambda c: F.array_sort(F.array_distinct(F.transform(c, fold)))
-        return F.coalesce(items(left) == items(right), F.lit(False))
-    if kind == "exact":
-        return left.eqNullSafe(right)
+    return canonical(left, rule).eqNullSafe(canonical(right, rule)) if kind != "set" else F.coalesce(canonical(left, rule) == canonical(right, rule), F.lit(False))
 
-    def plain(c: Column) -> Column:
-        out = fold(normalize_whitespace(c) if rule.get("collapse_whitespace") else c)
-        aliases = rule.get("aliases") or {}
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), out), out) if aliases else out
 
-    return plain(left).eqNullSafe(plain(right))
+def canonical(c: Column, rule: dict) -> Column:
+    """The form that all values equivalent under an exact, text, identifier or set rule share; see equivalent()."""
+    kind = rule["kind"]
+    fold = F.lower if rule.get("case_insensitive") else (lambda x: x)
+    if kind == "exact":
+        return c
+    if kind == "set":
+        return F.array_sort(F.array_distinct(F.transform(c, fold)))
+    out = fold(normalize_whitespace(c) if rule.get("collapse_whitespace") else c)
+    aliases = rule.get("aliases") or {}
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), out), out) if aliases else out
 
 
 # Phrases of attempts to give orders to a model.

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+from bisect import bisect_left
+from functools import reduce
+from operator import and_
 
-from factloom.session import materialize
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from factloom.functions.columns import canonical, equivalent
+from factloom.session import discard, materialize
 
 
 def by_quorum(candidates: DataFrame, keys: list[str], value: str, group: str, quorum: int) -> DataFrame:
@@ -121,6 +127,135 @@ def by_policy(candidates: DataFrame, keys: list[str], value: str, order: list[Co
     return out.select(*keys, "outcome", "value", n.alias("n_supporting"), F.size("__groups").cast("long").alias("n_groups"), reason.alias("reason"))
 
 
+def _cell(value: Column, absolute: float, percent: float) -> Column:
+    """A whole number that differs by at most 1 between values within the tolerance of each other."""
+    share, slack = percent / 100, 1 + 1e-9
+    if share >= 1:
+        return F.lit(0).cast("long")
+    if absolute > 0 and share == 0:
+        return F.floor(value / (absolute * slack))
+    # Both ends of a relative tolerance lie within -log(1 - share) of each other on a log scale.
+    width = -math.log1p(-share) * slack if share else 1.0
+    if absolute > 0:
+        return F.floor(F.signum(value) * F.log1p(F.abs(value) / absolute) / max(width, slack))
+    far = 4_000_000_000
+    scaled = F.floor(F.log(F.abs(value)) / width)
+    return F.when(value == 0, 0).when(value > 0, scaled + far).otherwise(-scaled - far).cast("long")
+
+
+def equivalence_groups(candidates: DataFrame, keys: list[str], order: list[str], value: str, rule: dict, walk_rows: int = 1_000_000) -> DataFrame:
+    """Add the value of the group that each candidate belongs to, and the group's size (CDC-2): group_value, group_size.
+
+    Walking a key's candidates by `order` (unique within the key), one joins the
+    earliest group whose first value, its leader, is equivalent under FN-18's
+    rule, else it leads a new group. Equivalence within a tolerance is not
+    transitive, so the order matters.
+
+    Exact, text and set rules have a canonical form, so the groups are plain
+    aggregates. For numbers, a key of up to walk_rows candidates is walked as a
+    sorted stream. For larger keys, values are dealt to cells so that
+    equivalents lie in the same or the next cell. In rounds, the first candidate
+    of a cell leads if the cells beside it hold no earlier one; those it covers
+    take no further part. So no such key is sorted or held in one task, and a
+    chain of candidates ends after as many rounds as their order turns. Both
+    ways give the same groups. Nulls and NaN are in no group and come back with
+    nulls.
+    """
+    kind = rule["kind"]
+    absolute, percent = rule.get("absolute", 0.0), rule.get("percent", 0.0)
+    at = F.struct(*order)
+    same_keys = lambda n: [F.col(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)]
+    if kind != "numeric" or (absolute == 0 and percent == 0):
+        form = canonical(F.col(value), rule) if kind != "numeric" else F.col(value)
+        work = candidates.withColumn("__form", form)
+        there = work.where(F.col(value).isNotNull())
+        first = there.groupBy(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__form").alias("__f")).agg(F.min_by(value, at).alias("group_value"), F.count("*").alias("group_size"))
+        on = reduce(and_, same_keys(0), F.col("__form") == F.col("__f")) & F.col(value).isNotNull()
+        return work.join(first, on, "left").select(*candidates.columns, "group_value", "group_size")
+    names, marks = [f"__k{n}" for n in range(len(keys))], [f"__o{n}" for n in range(len(order))]
+    number = F.col(value).cast("double")
+    points = candidates.where(number.isNotNull() & ~F.isnan(number)).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[F.col(o).alias(m) for o, m in zip(order, marks, strict=True)], number.alias("__v"))
+    same = lambda n: F.col(f"__a.{n}").eqNullSafe(F.col(f"__b.{n}"))
+    sizes = materialize(points.groupBy(*names).agg((F.count("*") > walk_rows).alias("__many")), "key-sizes")
+    many = sizes.where("__many")
+    on = reduce(and_, [same(n) for n in names])
+    if many.limit(1).count():
+        few = _walked(points.alias("__a").join(many.alias("__b"), on, "left_anti"), names, marks, rule)
+        own = few.unionByName(_in_rounds(points.alias("__a").join(many.alias("__b"), on, "left_semi"), names, marks, rule))
+    else:
+        own = _walked(points, names, marks, rule)
+    own = materialize(own, "members")
+    counts = own.groupBy(*names, "__lead").agg(F.count("*").alias("group_size"))
+    sized = own.alias("__a").join(counts.alias("__b"), on & (F.col("__a.__lead") == F.col("__b.__lead")))
+    sized = sized.select(*[F.col(f"__a.{n}").alias(n) for n in (*names, *marks)], F.col("__a.__lead").alias("group_value"), "group_size")
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip((*keys, *order), (*names, *marks), strict=True)])
+    return candidates.join(sized, on, "left").select(*candidates.columns, "group_value", "group_size")
+
+
+def _walked(points: DataFrame, names: list[str], marks: list[str], rule: dict) -> DataFrame:
+    """points with __lead, by a walk of each key in one task, which holds the leaders of one key."""
+    absolute, percent = rule.get("absolute", 0.0), rule.get("percent", 0.0)
+
+    def near(a: float, b: float) -> bool:
+        gap = abs(a - b)
+        return gap <= absolute or gap / max(abs(a), abs(b), 2.220446049250313e-16) * 100 <= percent
+
+    def walk(batches):
+        current, values, first = None, [], {}
+        for batch in batches:
+            keyed = list(zip(*[batch[n].astype(object).where(batch[n].notna(), None) for n in names], strict=True))
+            found = []
+            for key, v in zip(keyed, batch["__v"], strict=True):
+                if key != current:
+                    current, values, first = key, [], {}
+                i = bisect_left(values, v)
+                # Leaders are apart, so below 100 percent only the next one on each side can be near.
+                close = [x for x in (values[max(0, i - 1) : i + 1] if percent < 100 else values) if near(x, v)]
+                lead = min(close, key=first.__getitem__, default=None)
+                if lead is None:
+                    lead = v
+                    values.insert(i, v)
+                    first[v] = len(first)
+                found.append(lead)
+            batch["__lead"] = found
+            yield batch
+
+    schema = T.StructType([*points.schema.fields, T.StructField("__lead", T.DoubleType())])
+    return points.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names, *marks).mapInPandas(walk, schema)
+
+
+def _in_rounds(points: DataFrame, names: list[str], marks: list[str], rule: dict) -> DataFrame:
+    """points with __lead, by rounds of aggregates and joins over cells; no key is held or sorted in one task."""
+    points = materialize(points.withColumn("__at", F.struct(*marks)).withColumn("__cell", _cell(F.col("__v"), rule.get("absolute", 0.0), rule.get("percent", 0.0))), "points")
+    left, leaders = points, None
+    beside = F.explode(F.array(F.col("__cell") - 1, F.col("__cell"), F.col("__cell") + 1))
+
+    def meet(rows: DataFrame, leads: DataFrame, how: str, extra: Column | None = None) -> DataFrame:
+        """Rows beside the leaders that cover them."""
+        spread = leads.select(*[F.col(n).alias(f"{n}l") for n in names], F.col("__at").alias("__lead_at"), F.col("__v").alias("__lead"), beside.alias("__near"))
+        on = reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}l")) for n in names], F.col("__cell") == F.col("__near"))
+        on = on & equivalent(F.col("__lead"), F.col("__v"), rule)
+        return rows.join(spread, on if extra is None else on & extra, how)
+
+    while True:
+        firsts = left.groupBy(*names, "__cell").agg(F.min(F.struct("__at", "__v")).alias("__first"))
+        around = firsts.select(*names, F.col("__first.__at").alias("__at"), beside.alias("__cell")).groupBy(*names, "__cell").agg(F.min("__at").alias("__least"))
+        on = reduce(and_, [F.col(f"__a.{n}").eqNullSafe(F.col(f"__b.{n}")) for n in names], F.col("__a.__cell") == F.col("__b.__cell"))
+        won = firsts.alias("__a").join(around.alias("__b"), on).where(F.col("__a.__first.__at") == F.col("__b.__least"))
+        won = materialize(won.select(*[F.col(f"__a.{n}").alias(n) for n in names], F.col("__a.__cell").alias("__cell"), F.col("__a.__first.__at").alias("__at"), F.col("__a.__first.__v").alias("__v")), "leaders")
+        leaders = won if leaders is None else leaders.unionByName(won)
+        rest = materialize(meet(left, won, "left_anti"), "points")
+        if left is not points:
+            discard(left)
+        left = rest
+        if left.limit(1).count() == 0:
+            break
+    # A leader covers itself, so every point meets one.
+    met = meet(points, leaders, "inner", F.col("__lead_at") <= F.col("__at"))
+    own = met.groupBy(*names, *marks, "__v").agg(F.min(F.struct("__lead_at", "__lead"))["__lead"].alias("__lead"))
+    return own
+
+
 def conflict_rows(candidates: DataFrame, keys: list[str], observation: str, value: str, time: str) -> DataFrame:
     """Open conflicts of keys with several values (CDC-4): keys, observation_ids (sorted), n_values, opened_at (the latest time), conflict_id.
 

@@ -209,6 +209,34 @@ def cdc3_policy_decisions(spark, sf_dir):
     return reconcile.by_policy(kept, ["user_id"], "value", [-F.col("event_id")], "quorum", 12.0, 3, conflict_on_disagreement=False)
 
 
+_SQL_GROUPS = """g AS (SELECT DISTINCT key, 0::BIGINT AS n, []::DOUBLE[] AS leads, 0::BIGINT AS mine FROM i
+      UNION ALL SELECT key, n, CASE WHEN p = 0 THEN list_append(leads, value) ELSE leads END, CASE WHEN p = 0 THEN len(leads) + 1 ELSE p END
+      FROM (SELECT i.key, i.n, leads, value, coalesce(list_position([{near} for x in leads], true), 0)::BIGINT AS p FROM g JOIN i ON i.key = g.key AND i.n = g.n + 1)),
+    m AS (SELECT i.id, i.key, i.value, leads[mine] AS group_value FROM g JOIN i ON i.key = g.key AND i.n = g.n)"""
+
+
+@query(
+    "cdc2_value_groups",
+    f"""WITH RECURSIVE i AS (SELECT event_id AS id, event_type AS key, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL),
+    {_SQL_GROUPS.format(near="abs(x - value) <= 0.5 OR abs(x - value) / greatest(abs(x), abs(value), 2.220446049250313e-16) * 100 <= 10")}
+    SELECT id AS event_id, group_value, count(*) OVER (PARTITION BY key, group_value) AS group_size FROM m""",
+)
+def cdc2_value_groups(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("value is not null and event_type is not null")
+    grouped = reconcile.equivalence_groups(events, ["event_type"], ["ts", "event_id"], "value", {"kind": "numeric", "absolute": 0.5, "percent": 10.0})
+    return grouped.select("event_id", "group_value", "group_size")
+
+
+@query(
+    "cdc2_name_groups",
+    r"""WITH p AS (SELECT *, lower(trim(regexp_replace(p_type, '\s+', ' ', 'g'))) AS form FROM part)
+    SELECT p_partkey, first_value(p_type) OVER (PARTITION BY p_brand, form ORDER BY p_partkey) AS group_value, count(*) OVER (PARTITION BY p_brand, form) AS group_size FROM p""",
+)
+def cdc2_name_groups(spark, sf_dir):
+    rule = {"kind": "text", "collapse_whitespace": True, "case_insensitive": True}
+    return reconcile.equivalence_groups(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], "p_type", rule).select("p_partkey", "group_value", "group_size")
+
+
 def _identity_log(spark, sf_dir):
     entities = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_nationkey") % 3).alias("provider"))
     orders = table(spark, sf_dir, "orders").withColumn("s", F.col("o_orderstatus"))

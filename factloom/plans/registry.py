@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.operators import ranks
 from factloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,18 +35,8 @@ def query(name: str, sql: str | None = None):
     """,
 )
 def ag5_latency_distribution(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("value").isNotNull())
-        .groupBy("event_type")
-        .agg(
-            F.min("value").alias("min_value"),
-            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("median_value"),
-            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95_value"),
-            F.max("value").alias("max_value"),
-            F.count("*").alias("n"),
-        )
-    )
+    found = ranks.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"median_value": 0.5, "p95_value": 0.95})
+    return found.select("event_type", "min_value", "median_value", "p95_value", "max_value", "n")
 
 
 from factloom.functions import columns as C  # noqa: E402

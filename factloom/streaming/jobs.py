@@ -118,20 +118,20 @@ class _Expiry(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("verified", "ms long")
+        self.at = handle.getValueState("verified", "micros long")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max((int(t.value) // 1_000_000 for batch in rows for t in batch[self.verified] if not pd.isna(t)), default=None)
+        newest = max((t.value // 1000 for batch in rows for t in batch[self.verified] if not pd.isna(t)), default=None)
         before = self.at.get()[0] if self.at.exists() else None
         if newest is not None and (before is None or newest > before):
             if before is not None:
-                self.handle.deleteTimer(before + self.ttl_ms)
+                self.handle.deleteTimer(before // 1000 + self.ttl_ms)
             self.at.update((newest,))
-            self.handle.registerTimer(newest + self.ttl_ms)
+            self.handle.registerTimer(newest // 1000 + self.ttl_ms)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        deadline = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        deadline = pd.Timestamp(self.at.get()[0] + self.ttl_ms * 1000, unit="us")
         yield pd.DataFrame([[*key, deadline]], columns=[*self.keys, "deadline"])
 
     def close(self) -> None:
@@ -143,8 +143,8 @@ def expiries(stream: DataFrame, keys: list[str], verified: str, ttl_seconds: int
 
     Each fact has one event-time timer, ttl_seconds after it was last verified;
     a newer row moves the timer. It fires when the latest event time of the
-    whole stream, less `delay`, is past the deadline, in milliseconds; rows
-    later than that are not taken. Rows without a time change nothing. path: as
+    whole stream, less `delay`, is past the deadline, as timers do in whole
+    milliseconds; rows later than that are not taken. Rows without a time change nothing. path: as
     in gated_releases.
     """
     path = path or f"{shared_dir(stream.sparkSession)}/expiries-{uuid.uuid4().hex}"
