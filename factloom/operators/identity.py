@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.columns import normalize_identity
+from factloom.session import discard, materialize
 
 # Points of each kind of agreement or conflict.
 POINTS = {
@@ -17,34 +20,108 @@ def _same(left: Column, right: Column) -> Column:
     return F.coalesce(left == right, F.lit(False))
 
 
-def _alike(left: Column, right: Column) -> Column:
-    return _same(normalize_identity(left.cast("string")), normalize_identity(right.cast("string")))
+def _plain(c: str) -> Column:
+    return normalize_identity(F.col(c).cast("string"))
+
+
+def _classes(entities: DataFrame) -> DataFrame:
+    """Entities of equal scoring attributes as one row, prefixed __e_, with their number __n and smallest id."""
+    has = set(entities.columns)
+    rows = entities.select(
+        F.col("provider").alias("__e_provider"),
+        F.col("model_id").alias("__e_model_id"),
+        F.array_sort(F.array_distinct("external_ids")).alias("__e_external_ids"),
+        F.array_sort(F.array_distinct(F.transform("aliases", normalize_identity))).alias("__e_aliases"),
+        (F.col("key") if "key" in has else F.lit(None).cast("string")).alias("__e_key"),
+        _plain("name").alias("__e_name"),
+        _plain("family").alias("__e_family"),
+        F.col("version").alias("__e_version"),
+        (_same(F.col("lifecycle"), F.lit("retired")) if "lifecycle" in has else F.lit(False)).alias("__e_retired"),
+        F.col("entity_id"),
+    )
+    return rows.groupBy(*rows.columns[:-1]).agg(F.count("*").alias("__n"), F.min("entity_id").alias("entity_id"))
 
 
-def _candidate_pairs(inputs: DataFrame, entities: DataFrame, block: str) -> DataFrame:
-    """Inputs beside the entities of their block, and those of other blocks that share a model id or an external id.
+def _named_pairs(inputs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Inputs beside the classes that share more with them than provider, family and version, by equi-joins.
 
-    Only such a shared id lifts an entity of another provider above 0. Inputs
-    without any entity come once, with nulls.
+    A model id or an external id reaches classes of any provider; a name, an
+    alias or a key those of the input's own.
     """
-    right = entities.select(*[F.col(c).alias(f"__e_{c}") for c in entities.columns])
-    other = ~F.col(block).eqNullSafe(F.col(f"__e_{block}"))
-    by_block = inputs.join(right, F.col(block) == F.col(f"__e_{block}"), "left")
-    by_model = inputs.join(right, (F.col("model_id") == F.col("__e_model_id")) & other)
-    ids = inputs.withColumn("__id", F.explode("external_ids")).join(right.withColumn("__e_id", F.explode("__e_external_ids")), (F.col("__id") == F.col("__e_id")) & other)
-    return by_block.unionByName(by_model.unionByName(ids.drop("__id", "__e_id")).distinct())
+    own = F.col("provider") == F.col("__e_provider")
+    ids = inputs.withColumn("__id", F.explode("external_ids")).join(classes.withColumn("__e_id", F.explode("__e_external_ids")), F.col("__id") == F.col("__e_id"))
+    aliases = inputs.join(classes.withColumn("__e_alias", F.explode("__e_aliases")), own & (F.col("__key") == F.col("__e_alias")))
+    pairs = inputs.join(classes, F.col("model_id") == F.col("__e_model_id")).unionByName(ids.drop("__id", "__e_id"))
+    pairs = pairs.unionByName(aliases.drop("__e_alias")).unionByName(inputs.join(classes, own & (F.col("__name") == F.col("__e_name"))))
+    return pairs.unionByName(inputs.join(classes, own & (F.col("key") == F.col("__e_key")))).distinct()
 
 
-def resolve(inputs: DataFrame, entities: DataFrame, block: str = "provider") -> DataFrame:
+def _unnamed(shapes: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each (provider, __family, version, __active) the best score that its provider's entities reach by family and version alone.
+
+    Adds score, entity_id (the smallest of that score), __conflict and __n,
+    their number. Entities are only counted, by (provider, family, version) and
+    coarser; those of another family are the total without the own family, and
+    their smallest id is one of the two smallest of different families. A score
+    with a version conflict is never above 0, so its ids don't matter.
+    """
+    base = materialize(classes.groupBy("__e_provider", "__e_family", "__e_version", "__e_retired").agg(F.sum("__n").alias("__n"), F.min("entity_id").alias("entity_id")), "identity-counts")
+    shapes = materialize(shapes, "identity-shapes")
+    at = POINTS["provider"]
+    whole, none = ["provider", "__family", "version", "__active"], F.lit(None).cast(base.schema["entity_id"].dataType)
+    family = F.col("__family") == F.col("__e_family")
+    provider = F.col("provider") == F.col("__e_provider")
+    out = []
+
+    def add(rows: DataFrame, score: Column, entity: Column, n: Column, conflict: bool = False) -> None:
+        out.append(rows.select(*whole, score.cast("long").alias("score"), entity.alias("entity_id"), F.lit(conflict).alias("__conflict"), n.alias("__n")))
+
+    def level(asked: DataFrame, rows: DataFrame, keys: list[str], on: Column, points: Column) -> None:
+        """Groups that stand in one relation to the input's version, by own and other families."""
+        families = rows.groupBy(*keys, "__e_family").agg(F.sum("__n").alias("__n"), F.min("entity_id").alias("entity_id"))
+        same = asked.join(families, on & family)
+        add(same, points + POINTS["family"], F.col("entity_id"), F.col("__n"))
+        add(same, points, none, -F.col("__n"))
+        inside = Window.partitionBy(*keys)
+        ranked = families.withColumn("__all", F.sum("__n").over(inside)).withColumn("__rank", F.row_number().over(inside.orderBy("entity_id"))).where("__rank <= 2")
+        one, two = F.col("__rank") == 1, F.col("__rank") == 2
+        totals = ranked.groupBy(*keys).agg(F.max("__all").alias("__n"), F.max(F.when(one, F.col("entity_id"))).alias("__one"), F.max(F.when(one, F.col("__e_family"))).alias("__e_family"), F.max(F.when(two, F.col("entity_id"))).alias("__two"))
+        add(asked.join(totals, on), points, F.when(F.coalesce(family, F.lit(False)), F.col("__two")).otherwise(F.col("__one")), F.col("__n"))
+
+    dated, undated = shapes.where("version is not null"), shapes.where("version is null")
+    with_version, without = base.where("__e_version is not null"), base.where("__e_version is null")
+    version = provider & (F.col("version") == F.col("__e_version"))
+    retired = F.when(F.col("__active") & F.col("__e_retired"), POINTS["lifecycle_conflict"]).otherwise(0)
+    level(dated, with_version, ["__e_provider", "__e_version", "__e_retired"], version, F.lit(at + POINTS["version"]) + retired)
+    level(dated, without, ["__e_provider"], provider, F.lit(at))
+    level(undated, base, ["__e_provider"], provider, F.lit(at))
+    low, lower = F.lit(at + POINTS["version_conflict"] + POINTS["family"]), F.lit(at + POINTS["version_conflict"])
+    for keys, on, sign in ((["__e_provider"], provider, 1), (["__e_provider", "__e_version"], version, -1)):
+        n = F.lit(sign) * F.col("__n")
+        add(dated.join(with_version.groupBy(*keys).agg(F.sum("__n").alias("__n")), on), lower, none, n, True)
+        own = dated.join(with_version.groupBy(*keys, "__e_family").agg(F.sum("__n").alias("__n")), on & family)
+        add(own, low, none, n, True)
+        add(own, lower, none, -n, True)
+    scores = reduce(DataFrame.unionByName, out).groupBy(*whole, "score", "__conflict").agg(F.sum("__n").alias("__n"), F.min("entity_id").alias("entity_id")).where("__n > 0")
+    best = scores.groupBy(*whole).agg(F.max(F.struct("score", "entity_id", "__conflict", "__n")).alias("b"))
+    return best.select(*whole, "b.*")
+
+
+def resolve(inputs: DataFrame, entities: DataFrame) -> DataFrame:
     """One decision per distinct input (ID-1, ID-2, TK-4).
 
     inputs: provider, model_id, external_ids, key, name, family, version, and
     optionally critical_conflict (boolean), lifecycle and candidate_source;
     entities: the same with entity_id and aliases (array), key and lifecycle
-    optional. Pairs are scored within a block, and over blocks where a model id
-    or an external id is shared; entities are meant to be canonical, so few
-    share a block. Names, families and aliases are compared normalised. Equal
-    inputs are scored once. Null attributes agree with nothing.
+    optional. Names, families, aliases and keys are compared normalised; this
+    is done once per row, not per pair. Equal inputs are scored once, and so
+    are entities whose scoring attributes are equal. Null attributes agree with
+    nothing.
+
+    An input meets only the classes that share a model id, external id, name,
+    alias or key with it. All others of its provider differ in family and
+    version alone and are looked up as counts, so rows grow with the inputs, not
+    with inputs times entities.
 
     Returns the input columns, score long (0 without a candidate), entity_id
     (null unless auto_link) and decision: needs_review for AI suggestions,
@@ -52,62 +129,76 @@ def resolve(inputs: DataFrame, entities: DataFrame, block: str = "provider") ->
     or version), auto_link (the best is unique and a deterministic key
     matched) or needs_review.
     """
-    distinct = inputs.distinct()
-    names = distinct.columns
-    pairs = _candidate_pairs(distinct, entities, block)
-    there, same_version = F.col("__e_entity_id").isNotNull(), _same(F.col("version"), F.col("__e_version"))
+    names = inputs.columns
     yes = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in names else F.lit(False)
-    retired = _same(F.col("lifecycle"), F.lit("active")) & _same(F.col("__e_lifecycle"), F.lit("retired")) if "lifecycle" in names and "lifecycle" in entities.columns else F.lit(False)
+    active = _same(F.col("lifecycle"), F.lit("active")) if "lifecycle" in names else F.lit(False)
+    helpers = {"__name": _plain("name"), "__family": _plain("family"), "__key": _plain("key"), "__active": active}
+    distinct = materialize(inputs.distinct().withColumns(helpers), "identity-inputs")
+    classes = materialize(_classes(entities), "identity-classes")
+    same_provider, same_version = _same(F.col("provider"), F.col("__e_provider")), _same(F.col("version"), F.col("__e_version"))
     features = {
-        "provider": _same(F.col("provider"), F.col("__e_provider")),
-        "provider_conflict": there & ~_same(F.col("provider"), F.col("__e_provider")),
+        "provider": same_provider,
+        "provider_conflict": ~same_provider,
         "model_id": _same(F.col("model_id"), F.col("__e_model_id")),
         "external_id": F.coalesce(F.arrays_overlap("external_ids", "__e_external_ids"), F.lit(False)),
-        "alias": F.coalesce(F.array_contains(F.transform("__e_aliases", normalize_identity), normalize_identity(F.col("key").cast("string"))), F.lit(False)),
-        "name": _alike(F.col("name"), F.col("__e_name")),
-        "family": _alike(F.col("family"), F.col("__e_family")),
+        "alias": F.coalesce(F.array_contains("__e_aliases", F.col("__key")), F.lit(False)),
+        "name": _same(F.col("__name"), F.col("__e_name")),
+        "family": _same(F.col("__family"), F.col("__e_family")),
         "version": same_version,
         "version_conflict": F.coalesce(F.col("version") != F.col("__e_version"), F.lit(False)),
-        "critical_conflict": there & yes("critical_conflict"),
-        "lifecycle_conflict": retired & same_version,
+        "lifecycle_conflict": F.col("__active") & F.col("__e_retired") & same_version,
     }
     score = sum((F.when(hit, POINTS[name]).otherwise(0) for name, hit in features.items()), F.lit(0)).cast("long")
-    same_key = _same(F.col("key"), F.col("__e_key")) if "key" in entities.columns else F.lit(False)
-    strong = features["model_id"] | features["external_id"] | features["alias"] | same_key
-    conflict = features["provider_conflict"] | features["version_conflict"]
-    scored = pairs.select(*names, F.col("__e_entity_id").alias("entity_id"), F.when(there, score).alias("score"), conflict.alias("__conflict"), strong.alias("__strong"))
-    # Inputs are distinct, so the two best of each come from one aggregate with partial results.
-    best = F.max(F.struct("score", (-F.col("entity_id")).alias("order"), "entity_id", "__conflict", "__strong")).alias("__best")
-    ties = F.max_by(F.col("__ties"), F.col("score")).alias("__ties")
-    by_score = scored.groupBy(*names, "score").agg(best, F.count("*").alias("__ties"))
-    top = by_score.groupBy(*names).agg(F.max("__best").alias("__best"), ties)
+    strong = features["model_id"] | features["external_id"] | features["alias"] | _same(F.col("key"), F.col("__e_key"))
+    # A key of its own adds no points, so such a class is among the counted ones already.
+    counted = same_provider & ~(features["model_id"] | features["external_id"] | features["alias"] | features["name"])
+    named = _named_pairs(distinct, classes).select(
+        *names, score.alias("score"), "entity_id", (features["provider_conflict"] | features["version_conflict"]).alias("__conflict"), strong.alias("__strong"), F.when(counted, 0).otherwise(F.col("__n")).alias("__n")
+    )
+    shape = ["provider", "__family", "version", "__active"]
+    best = _unnamed(distinct.select(*shape).distinct(), classes)
+    best = best.select(*[F.col(c).alias(f"{c}__b") for c in shape], "score", "entity_id", "__conflict", F.lit(False).alias("__strong"), "__n")
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}__b")) for c in shape])
+    rows = distinct.join(best, on, "left").select(*names, "score", "entity_id", "__conflict", "__strong", "__n").unionByName(named)
+    # Inputs are distinct, so the best of each comes from one aggregate with partial results.
+    top = F.max(F.struct("score", (-F.col("entity_id")).alias("order"), "entity_id", "__conflict", "__strong")).alias("__best")
+    by_score = rows.groupBy(*names, "score").agg(top, F.sum("__n").alias("__ties"))
+    found = by_score.groupBy(*names).agg(F.max("__best").alias("__best"), F.max_by("__ties", "score").alias("__ties"))
+    total = F.col("__best.score") + F.when(yes("critical_conflict"), POINTS["critical_conflict"]).otherwise(0)
     suggested = _same(F.col("candidate_source"), F.lit("ai_suggestion")) if "candidate_source" in names else F.lit(False)
     decision = (
         F.when(suggested, "needs_review")
-        .when(F.col("__best.entity_id").isNull() | (F.col("__best.score") <= 0), "create_new")
+        .when(F.coalesce(total <= 0, F.lit(True)), "create_new")
         .when(F.col("__best.__conflict"), "rejected")
         .when((F.col("__ties") == 1) & F.col("__best.__strong"), "auto_link")
         .otherwise("needs_review")
     )
-    shown = F.when(suggested, 0).otherwise(F.coalesce("__best.score", F.lit(0))).cast("long")
-    out = top.select(*names, shown.alias("score"), F.col("__best.entity_id").alias("__id"), decision.alias("decision"))
+    shown = F.when(suggested, 0).otherwise(F.coalesce(total, F.lit(0))).cast("long")
+    out = found.select(*names, shown.alias("score"), F.col("__best.entity_id").alias("__id"), decision.alias("decision"))
     return out.withColumn("entity_id", F.when(F.col("decision") == "auto_link", F.col("__id"))).drop("__id")
 
 
-def survivors(merges: DataFrame, max_depth: int = 16) -> DataFrame:
+def survivors(merges: DataFrame) -> DataFrame:
     """Follow merges (entity_id, merged_into) to the surviving entity by pointer doubling (ID-7).
 
-    Returns entity_id and survivor_id of every merged entity. Entities on a
-    cycle, or deeper than 2^max_depth, keep the last one reached.
+    Returns entity_id, survivor_id and on_cycle of every merged entity. An
+    entity has one merge (of several the smallest counts). Rounds go on until
+    no chain grows, so chains may have any length. Entities that lead into a
+    cycle have no survivor: null, on_cycle true. Rows with nulls are left out.
     """
-    links = merges.select(F.col("entity_id"), F.col("merged_into").alias("survivor_id"))
-    for _ in range(max_depth):
+    links = merges.where("entity_id is not null and merged_into is not null").groupBy("entity_id").agg(F.min("merged_into").alias("survivor_id"))
+    links = materialize(links, "merges")
+    longest, reach = links.count(), 1  # a chain without a cycle has at most that many links
+    while True:
         onward = links.select(F.col("entity_id").alias("survivor_id"), F.col("survivor_id").alias("__next"))
-        step = links.join(onward, "survivor_id", "left")
-        if step.where(F.col("__next").isNotNull()).limit(1).count() == 0:
-            break
-        links = step.select("entity_id", F.coalesce("__next", "survivor_id").alias("survivor_id"))
-    return links
+        step = materialize(links.join(onward, "survivor_id", "left").select("entity_id", "survivor_id", "__next"), "merges")
+        discard(links)
+        going = step.where("__next is not null").limit(1).count() > 0
+        if not going or reach > longest:
+            turning = F.col("__next").isNotNull()
+            return step.select("entity_id", F.when(~turning, F.col("survivor_id")).alias("survivor_id"), turning.alias("on_cycle"))
+        links, reach = materialize(step.select("entity_id", F.coalesce("__next", "survivor_id").alias("survivor_id")), "merges"), 2 * reach
+        discard(step)
 
 
 def ambiguous(inputs: DataFrame, keyed: DataFrame, key: str) -> DataFrame:

@@ -48,8 +48,10 @@ def test_identity_decisions(spark):
 
 
 def test_survivors(spark):
-    merges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(20, 21)], "entity_id long, merged_into long")
-    assert rows(identity.survivors(merges), "entity_id", "survivor_id") == sorted([(i, 9) for i in range(1, 9)] + [(20, 21)], key=repr)
+    merges = spark.createDataFrame([(i, i + 1) for i in range(1, 90)] + [(200, 201), (201, 202), (202, 201), (300, 300), (None, 1), (5, None)], "entity_id long, merged_into long")
+    want = [(i, 90, False) for i in range(1, 90)] + [(i, None, True) for i in (200, 201, 202, 300)]
+    assert rows(identity.survivors(merges), "entity_id", "survivor_id", "on_cycle") == sorted(want, key=repr)
+    assert identity.survivors(merges.limit(0)).count() == 0
 
 
 def test_evidence_paths_take_the_smallest(spark):
