@@ -50,6 +50,12 @@ def _files(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    where, files = _files(spark, path)
+    return files.exists(where)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 

@@ -57,22 +57,3 @@ def page_links(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(found).alias("position", "link"))
     label = F.trim(F.regexp_replace(F.regexp_replace("link", "<[^>]*>", " "), r"\s+", " "))
     return rows.select("page_id", "position", F.regexp_extract("link", '(?i)href="([^"]*)"', 1).alias("href"), label.alias("label"))
-
-
-def table_cells(pages: DataFrame) -> DataFrame:
-    """Cells of all tables of raw pages (SRC-4): page_id, table_no, row_no, cell_no int (from 0), text.
-
-    Nested tables count as part of the outer one's cell up to their end tag.
-    """
-    extract = lambda c, tag: F.regexp_extract_all(c, F.lit(rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})>"), 1)
-    tables = pages.select("page_id", F.posexplode(extract("html", "table")).alias("table_no", "__t"))
-    lines = tables.select("page_id", "table_no", F.posexplode(extract("__t", "tr")).alias("row_no", "__r"))
-    cells = lines.select("page_id", "table_no", "row_no", F.posexplode(extract("__r", "td|th")).alias("cell_no", "__c"))
-    return cells.select("page_id", "table_no", "row_no", "cell_no", F.trim(F.regexp_replace(F.regexp_replace("__c", "<[^>]*>", " "), r"\s+", " ")).alias("text"))
-
-
-def json_ld(pages: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Fields of each JSON-LD block of raw pages (SRC-4): page_id, block int, and one text column per JSON path; null where absent or broken."""
-    blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
-    rows = pages.select("page_id", F.posexplode(blocks).alias("block", "__json"))
-    return rows.select("page_id", "block", *[F.get_json_object("__json", path).alias(name) for name, path in fields.items()])

@@ -178,8 +178,6 @@ def test_dossiers_bundles_and_pages(spark):
     html = '<p><a class="q" href="/x">A <b>b</b></a><TABLE id="t"><tr><th>h</th><td> 1 </td></tr></TABLE><script type="application/ld+json">{"name": "N", "offers": {"price": 3}}</script>'
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")
     assert rows(ingest.page_links(pages), "page_id", "position", "href", "label") == [(1, 0, "/x", "A b")]
-    assert rows(ingest.table_cells(pages), "page_id", "cell_no", "text") == [(1, 0, "h"), (1, 1, "1")]
-    assert rows(ingest.json_ld(pages, {"name": "$.name", "price": "$.offers.price"}), "page_id", "name", "price") == [(1, "N", "3")]
 
 
 def test_price_contract_and_gates_with_nulls(spark):
