@@ -208,14 +208,15 @@ def _may_be_similar(x: str, y: str, threshold: float):
     return most >= threshold / (1 + threshold) * (n + m) - 1e-6
 
 
-def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: float, size: int, hot: int = 1000) -> DataFrame:
+def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: float, size: int, hot: int = 1000, leads: int = 16) -> DataFrame:
     """Links between texts of `rest` (doc_id, part) whose parts, the components of `links`, differ.
 
     The prefix filter is exact: in one order of all units, similar texts share
     a unit among the first of each. Rare units come first, so texts of a family
-    meet where they share more than its passage. Stars in each unit's group
-    join most parts; the pairs of parts that are left are all compared. Units
-    with the same texts count once. Groups of more than `hot` texts are split.
+    meet where they share more than its passage. Stars in each unit's group, in
+    turns with other leads, join most parts; the pairs of parts that are left
+    are all compared. Units with the same texts count once. Groups of more than
+    `hot` texts are split.
     """
     sets = docs.join(rest.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, "rest-units")
@@ -225,24 +226,38 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     entries = materialize(sets.mapInArrow(_prefixes(level, threshold), "key long, doc_id long, n int, place int"), "prefixes")
 
     def mixed(parts):
-        """Entries of the units that texts of several parts have."""
+        """Entries of the units that texts of several parts have, and such units."""
         own = entries.join(parts, "doc_id")
         members = (F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("sum"))
-        groups = own.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "n", "place", "part")).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high"), *members)
+        groups = own.groupBy("key").agg(F.count("*").alias("texts"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("place").alias("place"), *members)
         groups = groups.where(F.col("low") < F.col("high"))
         # Units that the same texts have, such as those of a passage, would give the same pairs again; the first of them is enough.
-        firsts = groups.groupBy("texts", "mark", "sum").agg(F.min(F.struct("lead.place", "key", "lead")).alias("first"))
-        return own, firsts.select("first.key", "texts", "first.lead")
+        firsts = groups.groupBy("texts", "mark", "sum").agg(F.min(F.struct("place", "key")).alias("first"))
+        return own, firsts.select("first.key", "texts")
 
     def ordered(x, y):
         return F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b")
 
-    own, groups = mixed(rest)
-    near = own.alias("x").join(groups, "key").where((F.col("x.part") != F.col("lead.part")) & _may_be_similar("x", "lead", threshold))
-    stars = materialize(_verified(near.select(*ordered("x", "lead")).distinct(), sets, threshold), "rest-stars")
-    labels = components(links.unionByName(stars))
-    parts = rest.join(labels.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "part").alias("part"))
-    own, groups = mixed(materialize(parts, "rest-parts"))
+    # A text that belongs to a class may be far from its lead. So each turn compares the texts of a unit with up to
+    # `leads` others of it, drawn by a hash, which finds most such texts a partner with few comparisons. Where a turn
+    # joins few more, the pairs of the parts left are compared in full: the turns change the work and not the classes.
+    parts, stars, turn = rest, None, 0
+    first = left = parts.select("part").distinct().count()
+    while True:
+        own, groups = mixed(parts)
+        own = own.join(groups, "key", "left_semi")
+        drawn = F.xxhash64("doc_id", F.lit(turn))
+        lead = own.groupBy("key", F.pmod(drawn, F.lit(leads)).alias("slot")).agg(F.min(F.struct(drawn.alias("by"), "doc_id", "n", "place", "part")).alias("lead")).select("key", "lead")
+        near = own.alias("x").join(lead, "key").where((F.col("x.part") != F.col("lead.part")) & _may_be_similar("x", "lead", threshold))
+        new = materialize(_verified(near.select(*ordered("x", "lead")).distinct(), sets, threshold), "rest-stars")
+        stars = new if stars is None else stars.unionByName(new)
+        if not new.isEmpty():
+            labels = components(links.unionByName(stars))
+            parts = materialize(rest.join(labels.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "part").alias("part")), "rest-parts")
+        before, left, turn = left, parts.select("part").distinct().count(), turn + 1
+        if before - left <= 0.05 * (first - left):
+            break
+    own, groups = mixed(parts)
     pieces = F.ceil(F.col("texts") / hot).cast("int")
     own = own.join(groups.select("key", pieces.alias("pieces")), "key")
     # The shorter text's share is shorter: more than it needs units in common with a text that is no shorter.
