@@ -42,12 +42,46 @@ def _count(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)).cast("double")
 
 
-def _places(text: Column, pattern: str, group: int) -> Column:
-    """start and candidate of every match of a pattern in a text; the group ends where the match ends."""
-    whole, values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    steps = F.transform(whole, lambda m, i: F.length(F.get(between, i)) + F.length(m))
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    return F.zip_with(F.slice(ends, F.lit(2), F.size(whole)), values, lambda end, v: F.struct((end - F.length(v) + 1).alias("start"), v.alias("candidate")))
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that later expressions read as they are. As plain columns, Spark would put their expressions into lambdas and work them out anew for each element."""
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select("*", made.alias("__made")).select(*df.columns, "__made.*")
+
+
+def _places(df: DataFrame, pattern: str, group: int, shortest: int, block: int = 256) -> DataFrame:
+    """doc_id and place (start, candidate, before, after) of every match of a pattern in column text; the group ends where the match ends.
+
+    Contexts come from the matches and stretches next to a match, never by a
+    count from the text's start, and ends are summed in blocks, so that no
+    array is copied for each of its elements: the work is linear in the text. A
+    match has at least `shortest` characters, which bounds how many a context holds.
+    """
+    text = F.col("text")
+    work = _with(df, whole=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), part=F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), between=F.split(text, pattern, -1)).where(F.size("whole") > 0)
+    add = lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
+    work = _with(
+        work.drop("text"),
+        steps=F.transform("whole", lambda m, i: F.length(F.get("between", i)) + F.length(m)),
+        # What stands before each match, and after it, no longer than a context.
+        lefts=F.transform("between", lambda x: F.right(x, F.lit(BEFORE))),
+        rights=F.transform("between", lambda x: F.left(x, F.lit(AFTER))),
+    ).drop("between")
+    work = _with(work, blocks=F.transform(F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / block).cast("int")), lambda b: F.slice("steps", b * block + 1, F.lit(block))))
+    work = _with(work, sums=F.aggregate(F.transform("blocks", lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)), F.array(F.lit(0)), add))
+    ends = F.flatten(F.zip_with("blocks", F.slice("sums", F.lit(1), F.size("blocks")), lambda x, s: F.slice(F.aggregate(x, F.array(s), add), F.lit(2), F.size(x))))
+    work = _with(work, ends=ends)
+    nearest = lambda i, k: F.coalesce(F.when(i >= k, F.concat(F.get("lefts", i - k), F.get("whole", i - k))), F.lit(""))
+
+    def before(i: Column, value: Column) -> Column:
+        own = F.left(F.get("whole", i), F.length(F.get("whole", i)) - F.length(value))
+        return F.right(F.concat(*[nearest(i, k) for k in range(BEFORE // shortest + 1, 0, -1)], F.get("lefts", i), own), F.lit(BEFORE))
+
+    def after(i: Column) -> Column:
+        later = [F.coalesce(F.concat(F.get("whole", i + k), F.get("rights", i + k + 1)), F.lit("")) for k in range(1, AFTER // shortest + 2)]
+        return F.left(F.concat(F.get("rights", i + 1), *later), F.lit(AFTER))
+
+    places = F.transform("part", lambda v, i: F.struct((F.get("ends", i) - F.length(v) + 1).alias("start"), v.alias("candidate"), before(i, v).alias("before"), after(i).alias("after")))
+    return work.select("doc_id", F.explode(places).alias("place"))
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -55,17 +89,16 @@ def candidates(documents: DataFrame) -> DataFrame:
 
     Each place is a row with its own context. A value that both patterns find
     at one place is one row; a longer value and a part of it are two. Null and
-    empty texts have none; repeated documents stay repeated.
+    empty texts have none; repeated documents stay repeated. The work is linear
+    in the length of a text, however many candidates it holds.
     """
-    found = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
-    places = F.array_distinct(F.concat(_places(F.col("text"), CANDIDATE, 0), _places(F.col("text"), ASSIGNED, 1)))
-    found = found.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.*")
-    low = F.greatest(F.lit(1), F.col("start") - BEFORE)
-    return found.select(
-        "doc_id", "start", "candidate",
-        F.substring("text", low, F.col("start") - low).alias("before"),
-        F.substring("text", F.col("start") + F.length("candidate"), F.lit(AFTER)).alias("after"),
-    )
+    texts = documents.select(F.col("doc_id").cast("long"), "text")
+    runs = _places(texts.where(F.col("text").rlike(CANDIDATE)), CANDIDATE, 0, 12)
+    # A value that starts where a key-like stretch starts, and is all of it, was found as one.
+    run = CANDIDATE.removeprefix(r"(?<![A-Za-z0-9+/_-])")
+    same = ~F.col("place.before").rlike("[A-Za-z0-9+/_-]$") & (F.regexp_extract(F.concat("place.candidate", "place.after"), f"^{run}", 0) == F.col("place.candidate"))
+    assigned = _places(texts.where(F.col("text").rlike(ASSIGNED)), ASSIGNED, 1, 5).where(~same)
+    return runs.unionByName(assigned).select("doc_id", "place.*")
 
 
 def context_words(found: DataFrame, at_least: int = 3, size: int = 5000) -> DataFrame:

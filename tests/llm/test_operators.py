@@ -482,3 +482,26 @@ def test_packing_brings_related_documents_of_other_files_together(spark):
     pairs = [w for w in windows.values() if len(w) == 2]
     assert np.mean([len({i % 40 for i in w}) == 1 for w in pairs]) > 0.6
     assert sorted(i for w in windows.values() for i in w) == list(range(400))
+
+
+def test_places_of_secrets_are_linear_and_keep_their_context(spark):
+    """60,000 candidates in one text; contexts of neighbouring matches equal the text around them."""
+    import re
+    import time
+
+    from factloom.llm import secrets
+
+    text = " ".join(f"ab{i}cdefghijk{i}" for i in range(60000))
+    odd = "token='a b',token=abc123def456ghi== password: \"é x9\" key/abcdef123456 api_key=abcdef1234567890=pwd=1\n" * 5
+    df = spark.createDataFrame([(1, text), (2, odd), (3, None), (4, "")], "doc_id long, text string")
+    began = time.time()
+    got = secrets.candidates(df).collect()
+    assert time.time() - began < 60
+    texts = {1: text, 2: odd}
+    for r in got[::97] + [r for r in got if r["doc_id"] == 2]:
+        t, at = texts[r["doc_id"]], r["start"] - 1
+        assert t[at : at + len(r["candidate"])] == r["candidate"]
+        assert r["before"] == t[max(0, at - secrets.BEFORE) : at] and r["after"] == t[at + len(r["candidate"]) :][: secrets.AFTER]
+    assert sum(r["doc_id"] == 1 for r in got) == 60000
+    assert len({(r["doc_id"], r["start"], r["candidate"]) for r in got}) == len(got)
+    assert re.search(r"x9", "".join(r["candidate"] for r in got if r["doc_id"] == 2))
