@@ -127,6 +127,23 @@ def hmac_sha256(key: bytes, body: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
 
 
+def webhook_state(payload: Column, signature: Column, key: bytes, now: Column, tolerance: int = 300) -> Column:
+    """Whether a header `t=<seconds>,v1=<hex>` signs a payload (FN-16): verified, malformed, expired or mismatch.
+
+    Parts may stand in any order, of a repeated one the last counts. A time
+    further than `tolerance` seconds from now (in seconds) is expired. Nulls are
+    malformed.
+    """
+    if len(key) < 16:
+        raise ValueError("a signing key has at least 16 bytes")
+    part = lambda name: F.regexp_extract(signature, rf"^(?:.*,)?{name}=([^,=]*)", 1)
+    time = F.when(part("t").rlike(r"^-?[0-9]{1,15}$"), part("t").try_cast("long"))
+    right = hmac_sha256(key, F.concat(time.cast("string"), F.lit("."), payload))
+    bad = payload.isNull() | signature.isNull() | time.isNull() | (part("v1") == "")
+    state = F.when(F.abs(now - time) > tolerance, "expired").when(F.lower(part("v1")) == right, "verified").otherwise("mismatch")
+    return F.when(F.coalesce(bad, F.lit(True)), "malformed").otherwise(state)
+
+
 SECRET_PAIR = r'(?i)\b(token|secret|password|api_key|apikey)\s*[=:]\s*"[^"]+"'
 
 

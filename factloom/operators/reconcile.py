@@ -7,6 +7,7 @@ from bisect import bisect_left
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factloom.functions.columns import canonical, equivalent
@@ -50,16 +51,45 @@ def detect_changes(previous: DataFrame, current: DataFrame, keys: list[str], val
     return out.withColumn("event_id", F.sha2(F.concat_ws("|", *text), 256)).drop("__a", "__b")
 
 
-def independent(candidates: DataFrame, keys: list[str], order: list[str], shared: list[str]) -> DataFrame:
+def independent(candidates: DataFrame, keys: list[str], order: list[str], shared: list[str], walk_rows: int = 100_000) -> DataFrame:
     """The candidates of each key that share nothing with an earlier kept one (CDC-1).
 
     Walks a key's candidates by `order` (unique within the key) and keeps one
     if no kept one has the same value in any column of `shared`; null shares
-    nothing. Done in rounds: a candidate that comes first in all its groups is
-    kept, those that share with it go, the rest stays for the next round. So no
-    key is sorted or held in one task; a round ends at least one candidate of
-    each key, and most in practice.
+    nothing. Keys are not null. A key of up to walk_rows candidates is walked as
+    a sorted stream, which holds the shared values of that key alone. Larger
+    keys are decided in rounds: a candidate that comes first in all its groups
+    is kept, those that share with it go, the rest stays for the next round. So
+    no such key is sorted or held in one task; a round ends at least one
+    candidate of each key, and most in practice. Both ways keep the same rows.
     """
+    sizes = materialize(candidates.groupBy(*keys).agg((F.count("*") > walk_rows).alias("__many")), "key-sizes")
+    many = sizes.where("__many").select(*keys)
+    if many.limit(1).count() == 0:
+        return _walk_independent(candidates, keys, order, shared)
+    few = _walk_independent(candidates.join(many, keys, "left_anti"), keys, order, shared)
+    return few.unionByName(_independent_in_rounds(candidates.join(many, keys, "left_semi").select(*candidates.columns), keys, order, shared))
+
+
+def _walk_independent(candidates: DataFrame, keys: list[str], order: list[str], shared: list[str]) -> DataFrame:
+    def walk(batches):
+        current, seen = None, []
+        for batch in batches:
+            keep = []
+            for key, values in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in shared), strict=True), strict=True):
+                if key != current:
+                    current, seen = key, [set() for _ in shared]
+                mine = not any(v is not None and v in s for v, s in zip(values, seen, strict=True))
+                if mine:
+                    for v, s in zip(values, seen, strict=True):
+                        s.add(v)
+                keep.append(mine)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return candidates.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(walk, candidates.schema)
+
+
+def _independent_in_rounds(candidates: DataFrame, keys: list[str], order: list[str], shared: list[str]) -> DataFrame:
     names, at = candidates.columns, F.struct(*order)
     left, kept = candidates.withColumn("__at", at), None
     while True:
@@ -256,6 +286,95 @@ def _in_rounds(points: DataFrame, names: list[str], marks: list[str], rule: dict
     return own
 
 
+def reconcile_candidates(candidates: DataFrame, policies: DataFrame, keys: list[str], predicate: str, order: list[str], shared: list[str], priority: str, observed: str, observation: str, value: str, rule: dict) -> tuple[DataFrame, DataFrame]:
+    """Decide one value per key under its predicate's policy (CDC-1 to CDC-3, CDC-10).
+
+    candidates: trust_state and fresh beside the named columns; `predicate` is
+    one of the keys, `order` (unique within a key) is the order in which
+    independence is walked, `observation` is unique within a key. policies, one
+    row per predicate: strategy (authoritative, ordered_fallback, quorum,
+    human_review), quorum, open_conflict, keep_last. Only candidates that are
+    verified, fresh and have a value are looked at; of these the independent
+    ones (`independent`) are eligible. They are ranked by priority (nulls last),
+    then the latest observed, then the observation, and grouped in that order
+    (`equivalence_groups`).
+
+    Returns decisions, one row per key: outcome (release, conflict, withhold,
+    continue_last_known_good), value and observation selected, n_eligible,
+    n_groups, n_supporting, n_rejected, reasons, opens_conflict and opened_at;
+    and roles, the keys, observation, role (supporting, eligible, rejected) and
+    why a candidate was rejected. A predicate without a policy gives blocked,
+    reason no_policy. Keys are not null.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    number = F.col(value).cast("double")
+    why = (
+        F.when(~flag(F.col("trust_state") == "verified"), "not_verified").when(~flag(F.col("fresh")), "stale").when(number.isNull() | F.isnan(number), "no_value")
+    )
+    judged = candidates.withColumn("__why", why)
+    kept = independent(judged.where(F.col("__why").isNull()).select(*[c for c in dict.fromkeys([*keys, *order, *shared, priority, observed, observation, value])]), keys, order, shared)
+    none = 1 << 53
+    ranked = kept.withColumn("__priority", F.coalesce(F.col(priority).cast("long"), F.lit(none))).withColumn("__late", -F.unix_micros(F.col(observed).cast("timestamp")))
+    by = ["__priority", "__late", observation]
+    grouped = materialize(equivalence_groups(ranked, keys, by, value, rule), "eligible")
+    rank = F.struct(*by)
+    groups = grouped.groupBy(*keys, "group_value").agg(F.count("*").alias("__size"), F.min(F.struct(rank.alias("at"), F.col(value).alias("value"), F.col(observation).alias("observation"))).alias("__first"), F.max(observed).alias("__last"))
+    # The largest group wins, of equal ones the first; a struct's maximum takes the smallest place by its negation.
+    size = F.struct(F.col("__size").alias("n"), (-F.col("__first.at.__priority")).alias("p"), (-F.col("__first.at.__late")).alias("l"))
+    most = F.max_by(F.struct("__first", "__size", "group_value"), size)
+    per_key = groups.groupBy(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)]).agg(
+        F.sum("__size").alias("n_eligible"), F.count("*").alias("n_groups"), F.min_by(F.struct("__first", "__size", "group_value"), F.col("__first")).alias("__best"), most.alias("__most"), F.max("__last").alias("opened_at")
+    )
+    total = candidates.groupBy(*keys).agg(F.count("*").alias("__all"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)])
+    policy = policies.select(F.col(predicate).alias("__predicate"), "strategy", "quorum", "open_conflict", "keep_last")
+    rows = total.join(per_key, same, "left").join(policy, F.col(predicate) == F.col("__predicate"), "left")
+    fallback = F.when(flag(F.col("keep_last")), "continue_last_known_good").otherwise("withhold")
+    several = F.col("n_groups") > 1
+    is_, nothing, unknown = lambda name: F.col("strategy") == name, F.col("n_eligible").isNull(), F.col("strategy").isNull()
+    disagree = several & flag(F.col("open_conflict"))
+    unmet = is_("quorum") & (F.col("__most.__size") < F.coalesce("quorum", F.lit(2)))
+    outcome = (
+        F.when(unknown, "blocked").when(nothing, fallback).when(is_("human_review"), F.when(several, "conflict").otherwise("withhold")).when(disagree, "conflict").when(unmet, fallback).otherwise("release")
+    )
+    reasons = (
+        F.when(unknown, F.array(F.lit("no_policy")))
+        .when(nothing, F.array(F.lit("no_fresh_verified_candidate")))
+        .when(is_("human_review"), F.array(F.lit("human_review_required")))
+        .when(disagree, F.array_compact(F.array(F.lit("verified_source_disagreement"), F.when(flag(F.col("keep_last")), F.lit("continue_last_known_good")))))
+        .when(unmet, F.array(F.lit("independent_quorum_not_met")))
+        .when(is_("quorum"), F.array(F.lit("independent_quorum_met")))
+        .when(is_("authoritative"), F.array(F.lit("highest_authority_verified_source")))
+        .otherwise(F.array(F.lit("ordered_fallback_selected")))
+    )
+    opens = ~unknown & ~nothing & (is_("human_review") | disagree | (unmet & several))
+    released = F.col("outcome") == "release"
+    chosen = F.when(released, F.when(is_("quorum"), F.col("__most")).otherwise(F.col("__best")))
+    decided = rows.withColumn("outcome", outcome).withColumn("__chosen", chosen)
+    decisions = decided.select(
+        *keys,
+        "outcome",
+        F.col("__chosen.__first.value").alias("value"),
+        F.col("__chosen.__first.observation").alias("observation"),
+        F.coalesce("n_eligible", F.lit(0)).alias("n_eligible"),
+        F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
+        F.coalesce("__chosen.__size", F.lit(0)).alias("n_supporting"),
+        (F.col("__all") - F.coalesce("n_eligible", F.lit(0))).alias("n_rejected"),
+        reasons.alias("reasons"),
+        flag(opens).alias("opens_conflict"),
+        F.when(opens, F.col("opened_at")).alias("opened_at"),
+        F.col("__chosen.group_value").alias("__group"),
+    )
+    decisions = materialize(decisions, "decisions")
+    marks = [F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)]
+    members = grouped.select(*marks, F.col(observation).alias("__o"), "group_value")
+    roles = judged.select(*keys, observation, "__why").join(members, same & F.col(observation).eqNullSafe(F.col("__o")), "left").drop(*[f"__k{n}" for n in range(len(keys))])
+    roles = roles.join(decisions.select(*marks, "__group"), same, "left")
+    role = F.when(F.col("__o").isNull(), "rejected").when(F.col("group_value") == F.col("__group"), "supporting").otherwise("eligible")
+    reason = F.when(F.col("__o").isNull(), F.coalesce("__why", F.lit("not_independent")))
+    return decisions.drop("__group"), roles.select(*keys, observation, role.alias("role"), reason.alias("why"))
+
+
 def conflict_rows(candidates: DataFrame, keys: list[str], observation: str, value: str, time: str) -> DataFrame:
     """Open conflicts of keys with several values (CDC-4): keys, observation_ids (sorted), n_values, opened_at (the latest time), conflict_id.
 

@@ -25,15 +25,16 @@ def _history(spark, sf_dir):
         F.timestamp_micros(F.unix_micros(made) - 864_000_000_000).alias("verified_at"),
         F.when(F.col("o_orderstatus") == "P", "withheld").otherwise("released").alias("state"),
     )
-    kind = F.when(F.col("l_returnflag") == "R", "retraction").when(F.col("l_returnflag") == "A", "correction").otherwise("supersession")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 40")
+    large = F.col("l_quantity") >= 40
+    kind = F.when(large & (F.col("l_returnflag") == "R"), "retraction").when(large & (F.col("l_returnflag") == "A"), "correction").otherwise("supersession")
+    lines = table(spark, sf_dir, "lineitem")
     transitions = lines.select(F.col("l_orderkey").alias("previous_version_id"), kind.alias("kind"), F.col("l_shipdate").cast("timestamp").alias("transaction_at"))
     return versions, transitions
 
 
 _SQL_HISTORY = """v AS (SELECT o_custkey, o_orderpriority, o_orderkey AS version_id, o_totalprice AS value, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::TIMESTAMP END AS valid_from,
       o_orderdate::TIMESTAMP + to_days((o_orderkey % 60)::INT) AS transaction_from, o_orderdate::TIMESTAMP - INTERVAL 10 DAY AS verified_at, o_orderstatus <> 'P' AS released FROM orders),
-    t AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN 'retraction' WHEN 'A' THEN 'correction' ELSE 'supersession' END AS kind, l_shipdate::TIMESTAMP AS moment FROM lineitem WHERE l_quantity >= 40)"""
+    t AS (SELECT l_orderkey AS id, CASE WHEN l_quantity < 40 THEN 'supersession' WHEN l_returnflag = 'R' THEN 'retraction' WHEN l_returnflag = 'A' THEN 'correction' ELSE 'supersession' END AS kind, l_shipdate::TIMESTAMP AS moment FROM lineitem)"""
 
 
 def _sql_standing(at: str) -> str:
@@ -237,6 +238,50 @@ def cdc2_name_groups(spark, sf_dir):
     return reconcile.equivalence_groups(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], "p_type", rule).select("p_partkey", "group_value", "group_size")
 
 
+_SQL_RECONCILED = """c AS (SELECT coalesce(user_id, -1) AS user_id, event_type, event_id, ts, value, k % 5 AS org, CASE WHEN k % 3 <> 0 THEN k % 31 END AS endpoint, CAST(floor(value * 4) AS BIGINT) AS evidence,
+      k % 4 <> 0 AND value IS NOT NULL AND value < 80 AS good, CASE WHEN k % 5 < 3 THEN k % 5 ELSE 9007199254740992 END AS p FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM c WHERE good),
+    s AS (SELECT DISTINCT user_id, event_type, 0::BIGINT AS n, []::BIGINT[] AS orgs, []::BIGINT[] AS endpoints, []::BIGINT[] AS evidences, NULL::BIGINT AS event_id, false AS kept FROM o
+      UNION ALL SELECT user_id, event_type, n, CASE WHEN ok THEN list_append(orgs, org) ELSE orgs END, CASE WHEN ok AND endpoint IS NOT NULL THEN list_append(endpoints, endpoint) ELSE endpoints END, CASE WHEN ok THEN list_append(evidences, evidence) ELSE evidences END, event_id, ok
+      FROM (SELECT o.user_id, o.event_type, o.n, orgs, endpoints, evidences, o.org::BIGINT AS org, o.endpoint::BIGINT AS endpoint, o.evidence, o.event_id,
+          NOT (coalesce(list_contains(orgs, o.org), false) OR coalesce(list_contains(endpoints, o.endpoint), false) OR list_contains(evidences, o.evidence)) AS ok
+        FROM s JOIN o ON o.user_id = s.user_id AND o.event_type = s.event_type AND o.n = s.n + 1)),
+    i AS (SELECT o.user_id || ':' || o.event_type AS key, o.event_id AS id, o.value, row_number() OVER (PARTITION BY o.user_id, o.event_type ORDER BY p, o.ts DESC, o.event_id) AS n FROM o JOIN s USING (event_id) WHERE s.kept),
+    {groups},
+    x AS (SELECT m.key, group_value, count(*) AS size, min(i.n) AS first FROM m JOIN i ON i.id = m.id GROUP BY ALL),
+    y AS (SELECT key, sum(size)::BIGINT AS n_eligible, count(*) AS n_groups, arg_min(struct_pack(v := group_value, n := size), first) AS best, arg_max(struct_pack(v := group_value, n := size), size * 100000 - first) AS most FROM x GROUP BY key),
+    q(event_type, strategy, quorum, open_conflict, keep_last) AS (VALUES ('click', 'quorum', 2, false, true), ('view', 'quorum', 3, true, true), ('purchase', 'authoritative', NULL, false, false), ('error', 'human_review', NULL, true, true)),
+    z AS (SELECT c.user_id, c.event_type, count(*) AS total FROM c GROUP BY ALL),
+    d AS (SELECT z.*, y.* EXCLUDE key, q.* EXCLUDE event_type, CASE WHEN strategy IS NULL THEN 'no_policy' WHEN n_eligible IS NULL THEN 'no_fresh_verified_candidate' WHEN strategy = 'human_review' THEN 'human_review_required'
+        WHEN n_groups > 1 AND open_conflict THEN 'verified_source_disagreement' WHEN strategy = 'quorum' AND most.n < quorum THEN 'independent_quorum_not_met' WHEN strategy = 'quorum' THEN 'independent_quorum_met' ELSE 'highest_authority_verified_source' END AS reason
+      FROM z LEFT JOIN y ON y.key = z.user_id || ':' || z.event_type LEFT JOIN q ON q.event_type = z.event_type),
+    e AS (SELECT *, CASE reason WHEN 'no_policy' THEN 'blocked' WHEN 'human_review_required' THEN CASE WHEN n_groups > 1 THEN 'conflict' ELSE 'withhold' END WHEN 'verified_source_disagreement' THEN 'conflict'
+        WHEN 'independent_quorum_met' THEN 'release' WHEN 'highest_authority_verified_source' THEN 'release' ELSE CASE WHEN keep_last THEN 'continue_last_known_good' ELSE 'withhold' END END AS outcome FROM d)"""
+
+
+@query(
+    "cdc3_reconciled",
+    f"""WITH RECURSIVE {_SQL_RECONCILED.format(groups=_SQL_GROUPS.format(near="abs(x - value) <= 12.0"))}
+    SELECT user_id, event_type, outcome, reason, CASE WHEN outcome = 'release' THEN CASE WHEN strategy = 'quorum' THEN most.v ELSE best.v END END AS value,
+      CASE WHEN outcome = 'release' THEN CASE WHEN strategy = 'quorum' THEN most.n ELSE best.n END ELSE 0 END AS n_supporting, coalesce(n_eligible, 0) AS n_eligible, total - coalesce(n_eligible, 0) AS n_rejected FROM e""",
+)
+def cdc3_reconciled(spark, sf_dir):
+    """All events as candidates for a user's value of their type, under a policy of each type (none for sign-ups)."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    events = table(spark, sf_dir, "events").select(
+        F.coalesce("user_id", F.lit(-1)).alias("user_id"), "event_type", "event_id", "ts", "value", (k % 5).alias("org"), F.when(k % 3 != 0, k % 31).alias("endpoint"), F.floor(F.col("value") * 4).alias("evidence"),
+        F.when(k % 4 != 0, "verified").alias("trust_state"), (F.col("value") < 80).alias("fresh"), F.when(k % 5 < 3, k % 5).alias("priority"),
+    )
+    policies = spark.createDataFrame(
+        [("click", "quorum", 2, False, True), ("view", "quorum", 3, True, True), ("purchase", "authoritative", None, False, False), ("error", "human_review", None, True, True)],
+        "event_type string, strategy string, quorum int, open_conflict boolean, keep_last boolean",
+    )
+    decisions, _ = reconcile.reconcile_candidates(
+        events, policies, ["user_id", "event_type"], "event_type", ["ts", "event_id"], ["org", "endpoint", "evidence"], "priority", "ts", "event_id", "value", {"kind": "numeric", "absolute": 12.0}
+    )
+    return decisions.select("user_id", "event_type", "outcome", F.col("reasons")[0].alias("reason"), "value", "n_supporting", "n_eligible", "n_rejected")
+
+
 def _identity_log(spark, sf_dir):
     entities = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_nationkey") % 3).alias("provider"))
     orders = table(spark, sf_dir, "orders").withColumn("s", F.col("o_orderstatus"))

@@ -53,6 +53,8 @@ def test_independent_matches_the_greedy_walk(spark):
     df = spark.createDataFrame(data, "k string, i int, org int, endpoint int, evidence int")
     want = [(k, i) for k in "abc" for i in greedy([d[1:] for d in data if d[0] == k])]
     assert rows(reconcile.independent(df, ["k"], ["i"], ["org", "endpoint", "evidence"]), "k", "i") == sorted(want, key=repr)
+    by_rounds = reconcile.independent(df, ["k"], ["i"], ["org", "endpoint", "evidence"], walk_rows=8)
+    assert rows(by_rounds, "k", "i") == sorted(want, key=repr)
     assert reconcile.independent(df.limit(0), ["k"], ["i"], ["org"]).count() == 0
 
 
