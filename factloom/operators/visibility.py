@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: States in which a version stands as the current one of its key.
 DECIDED = ("released", "retracted")
@@ -78,10 +78,9 @@ def machine_readable(facts: DataFrame, predicates: list[str] | None = None, most
     out = facts.where(strict & (F.col("evidence_count") > 0) & (F.col("supporting_source_count") > 0))
     if predicates:
         out = out.where(F.col("predicate").isin(*predicates))
-    names = out.columns
-    firsts = F.slice(F.array_sort(F.collect_list(F.struct(order, *[c for c in names if c != order]))), 1, most)
-    # An entity has at most one current fact a predicate, so the list is as short as the predicates.
-    return out.groupBy(entity).agg(firsts.alias("__rows")).select(F.explode("__rows").alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in names])
+    # The cut is a rank, which Spark also takes before the shuffle, so no entity's facts are gathered.
+    place = Window.partitionBy(entity).orderBy(order, *[c for c in out.columns if c not in (entity, order)])
+    return out.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= most).drop("__place")
 
 
 def evidence_aware(facts: DataFrame) -> DataFrame:
@@ -98,6 +97,49 @@ def public_facts(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("fact_version_id").cast("string").alias("id"), F.col("entity_id").cast("string").alias("entity_id"), "predicate", "value", value_hash.alias("value_hash"), "transaction_from", block.alias("trust"))
 
 
+def public_events(events: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Public shape of released events (SRC-7): id, event_type, entity_id, predicate, state, observed_at, event_hash, trust.
+
+    events: event_id, event_type, entity_id, predicate, state, observed_at,
+    certificate_id; evidence: event_id, evidence_ref. The hash covers the shown
+    fields. Events of other states, or without an id, are not shown.
+    """
+    refs = evidence.where(F.col("evidence_ref").isNotNull()).groupBy("event_id").agg(F.count_distinct("evidence_ref").alias("n"))
+    text = [F.col(c).cast("string") for c in ("event_id", "event_type", "entity_id")]
+    rows = events.where((F.col("state") == "released") & F.col("event_id").isNotNull()).join(refs, "event_id", "left")
+    block = F.struct(
+        F.lit("released").alias("state"), F.lit("fresh").alias("freshness"), F.coalesce("n", F.lit(0)).alias("evidence_count"), F.col("certificate_id").cast("string").alias("certificate_ref"), "observed_at"
+    )
+    content = F.sha2(F.concat_ws("|", *[F.coalesce(t, F.lit("")) for t in (*text, F.col("predicate").cast("string"))]), 256)
+    return rows.select(text[0].alias("id"), "event_type", text[2].alias("entity_id"), "predicate", "state", "observed_at", content.alias("event_hash"), block.alias("trust"))
+
+
+def public_conflicts(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Public shape of conflicts (SRC-7): id, entity_id, predicate, status, reason, candidate_observation_ids, released_fact_version_id, opened_at.
+
+    conflicts: conflict_id, entity_id, predicate, reason, observation_ids,
+    opened_at; resolutions: conflict_id, fact_version_id, at. The newest
+    resolution counts (of equal times the larger version); without one a
+    conflict is open.
+    """
+    newest = resolutions.groupBy("conflict_id").agg(F.max(F.struct("at", "fact_version_id")).alias("r"))
+    rows = conflicts.join(newest, "conflict_id", "left")
+    status = F.when(F.col("r").isNull(), "open").otherwise("resolved")
+    return rows.select(
+        F.col("conflict_id").cast("string").alias("id"), F.col("entity_id").cast("string").alias("entity_id"), "predicate", status.alias("status"), "reason",
+        F.col("observation_ids").cast("array<string>").alias("candidate_observation_ids"), F.col("r.fact_version_id").cast("string").alias("released_fact_version_id"), "opened_at",
+    )
+
+
+def public_sources(sources: DataFrame, health: DataFrame, now: Column, hours: int = 6) -> DataFrame:
+    """Public shape of sources (SRC-7): id, name, status (of health, else of the source), source_type, last_verified_at, freshness.
+
+    sources: source_id, name, lifecycle, source_type; health: source_id, state, last_success_at.
+    """
+    rows = source_freshness(sources, health, "source_id", now, hours=hours)
+    return rows.select(F.col("source_id").cast("string").alias("id"), "name", F.coalesce("state", "lifecycle").alias("status"), "source_type", F.col("last_success_at").alias("last_verified_at"), "freshness")
+
+
 def source_freshness(sources: DataFrame, health: DataFrame, key: str, now: Column, last_success: str = "last_success_at", state: str | None = None, hours: int = 6) -> DataFrame:
     """Sources with their health and freshness (JN-10): unknown without a success, stale from `hours` after the last one, else fresh.
 
@@ -126,9 +168,14 @@ def verification(versions: DataFrame, observations: DataFrame, evidence: DataFra
     observation_ids (at most 50, verified only), sorted; empty without any.
     """
     shown = versions.where(F.col("state").isin(*DECIDED))
-    refs = evidence.join(shown.select(version_id), version_id, "left_semi").groupBy(version_id).agg(F.slice(F.array_sort(F.collect_set("evidence_ref")), 1, 100).alias("evidence_refs"))
-    seen = observations.where("trust_state = 'verified'").join(shown.select(version_id), version_id, "left_semi")
-    seen = seen.groupBy(version_id).agg(F.slice(F.array_sort(F.collect_set("observation_id")), 1, 50).alias("observation_ids"))
+
+    def firsts(rows: DataFrame, column: str, name: str, most: int) -> DataFrame:
+        distinct = rows.where(F.col(column).isNotNull()).join(shown.select(version_id), version_id, "left_semi").select(version_id, column).distinct()
+        ranked = distinct.withColumn("__place", F.row_number().over(Window.partitionBy(version_id).orderBy(column))).where(F.col("__place") <= most)
+        return ranked.groupBy(version_id).agg(F.array_sort(F.collect_list(column)).alias(name))
+
+    refs = firsts(evidence, "evidence_ref", "evidence_refs", 100)
+    seen = firsts(observations.where("trust_state = 'verified'"), "observation_id", "observation_ids", 50)
     out = shown.join(refs, version_id, "left").join(seen, version_id, "left")
     for name, kind in (("evidence_refs", refs.schema["evidence_refs"].dataType), ("observation_ids", seen.schema["observation_ids"].dataType)):
         out = out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
