@@ -63,17 +63,51 @@ def normalize_url(c: Column) -> Column:
     return F.concat(F.lower(head), F.substring(plain, F.length(head) + 1, F.length(plain)))
 
 
-def unsafe_url_reason(c: Column) -> Column:
-    """Why a public URL is refused: not_https, credentials or private_host; null if it is fine (PF-4)."""
-    host = F.lower(F.regexp_extract(c, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    private = host.rlike(r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|.*\.local)$")
+def unsafe_url_reason(c: Column, allowed_hosts: list[str] | None = None) -> Column:
+    """Why a public URL is refused: not_https, credentials, private_host or host_not_approved; null if it is fine (PF-4).
+
+    Private are loopback and link-local names and addresses, and IPv4 addresses
+    of private ranges; a name that only begins like one is not. allowed_hosts:
+    the only hosts that are fine, whatever their case; None allows all.
+    """
+    address = r"^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
+    host = F.regexp_replace(F.lower(F.regexp_extract(c, address, 1)), r"\.$", "")
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    four = host.rlike(rf"^(?:{octet}\.){{3}}{octet}$")
+    private = (four & host.rlike(r"^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2[0-9]|3[01]))\.")) | host.rlike(r"^(localhost|.*\.localhost|.*\.local|\[::1\])$")
+    foreign = ~host.isin([h.lower() for h in allowed_hosts]) if allowed_hosts is not None else F.lit(False)
     return (
         F.when(c.isNull() | ~c.rlike("(?i)^https://"), "not_https")
         .when(c.rlike("^[A-Za-z]+://[^/?#]*@"), "credentials")
         .when(private | (host == ""), "private_host")
+        .when(foreign, "host_not_approved")
     )
 
 
+def parse_date(c: Column) -> Column:
+    """An ISO-8601 date or date and time as a timestamp (FN-6), in UTC where it names no zone; null for anything else."""
+    text = F.trim(c)
+    iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?([Zz]|[+-][0-9]{2}:?[0-9]{2})?)?$")
+    zoned = F.regexp_replace(F.regexp_replace(text, "z$", "Z"), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    zoned = F.regexp_replace(zoned, "^(.{16})($|[Z+-])", "$1:00$2")  # Spark's cast wants seconds before a zone
+    named = zoned.rlike(r"(Z|:[0-9]{2}[+-][0-9]{2}:[0-9]{2}|\.[0-9]+[+-][0-9]{2}:[0-9]{2})$")
+    timed = F.length(zoned) > 10
+    whole = F.when(~timed, F.concat(zoned, F.lit("T00:00:00Z"))).when(named, zoned).otherwise(F.concat(zoned, F.lit("Z")))
+    return F.when(iso, whole).try_cast("timestamp")
+
+
+def tokens(amount: Column, unit: Column) -> Column:
+    """Quantities of tokens as tokens (FN-10); null for an unknown unit."""
+    return amount * F.when(unit == "tokens", 1.0).when(unit == "thousand_tokens", 1e3).when(unit == "million_tokens", 1e6)
+
+
+def path_value(record: Column, observation: Column, path: str) -> Column:
+    """The text at a dotted path of a record, or of its observation under the prefix `$observation.` (FN-13); both are VARIANT. Null where nothing is."""
+    prefix = "$observation."
+    of, names = (observation, path.removeprefix(prefix)) if path.startswith(prefix) else (record, path)
+    return F.try_variant_get(of, "$." + names, "string")
+
+
 def usd_per_million(amount: Column, denominator: Column) -> Column:
     """Prices per token, per thousand or per million tokens as prices per million (FN-10); null for other units."""
     factor = F.when(denominator == "token", 1e6).when(denominator == "thousand_tokens", 1e3)

@@ -40,6 +40,21 @@ def admit_versions(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFr
     return out.drop("__done", "__begun", "__found", *[f"__{k}" for k in keys])
 
 
+# The ids that a fact's provenance names.
+PROVENANCE_IDS = ("canonical_observation_id", "canonical_field_id", "source_observation_id", "semantic_contract_id", "mapping_revision_id", "collector_binding_id")
+
+
+def provenance_gaps(facts: DataFrame) -> DataFrame:
+    """Add missing: which of the six provenance ids, source_paths and evidence_refs a fact lacks (PF-12).
+
+    An id lacks if it is null or, as a text, empty; a list if it is null or
+    empty. Facts without gaps have an empty list.
+    """
+    ids = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", c) for c in PROVENANCE_IDS]
+    lists = [F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, c) for c in ("source_paths", "evidence_refs")]
+    return facts.withColumn("missing", F.array_compact(F.array(*ids, *lists)))
+
+
 def standing(versions: DataFrame, transitions: DataFrame, believed_at: Column) -> DataFrame:
     """Released versions known at a moment and neither corrected nor retracted by then (BT-3).
 

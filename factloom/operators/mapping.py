@@ -28,7 +28,7 @@ TRANSFORMS: dict[str, Callable[..., Column]] = {
     "normalize_identifier": C.normalize_identifier,
     "parse_number": C.parse_number,
     "parse_magnitude": C.parse_magnitude,
-    "parse_date": lambda c: F.try_to_timestamp(c),
+    "parse_date": C.parse_date,
     "normalize_boolean": C.normalize_boolean,
     "normalize_url": C.normalize_url,
     "normalize_list": C.normalize_list,

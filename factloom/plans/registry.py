@@ -225,4 +225,4 @@ def ag10_manifest(spark, sf_dir):
     return out.select("table_name", "n_rows", "n_keys")
 
 
-from factloom.plans import fleet, gauntlet, health, history, recovery, release, serving, trust, views  # noqa: E402, F401  (importing registers their queries)
+from factloom.plans import fleet, gauntlet, health, history, recovery, release, serving, trust, values, views  # noqa: E402, F401  (importing registers their queries)

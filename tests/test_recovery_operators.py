@@ -104,3 +104,15 @@ def test_linked_data(spark):
     df = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
     got = rows(tables.linked_data(df), "page_id", "item_no", "item_type", "item")
     assert got == [(1, 0, "Product", '{"@type":"Product","name":"N</b>"}'), (1, 1, "A,B", '{"@type":["A","B"]}'), (1, 2, None, "3"), (1, 3, None, None)]
+
+
+def test_dates_urls_and_quantities(spark):
+    from factloom.functions import columns as C
+
+    dates = {"2024-05-06": 1714953600.0, "2024-05-06T07:08": 1714979280.0, " 2024-05-06 07:08:09.5Z ": 1714979289.5, "2024-05-06T07:08:09+0200": 1714972089.0, "2024-05-06t07:08": None, "2024": None, "06/05/2024": None, "2024-13-01": None, "": None, "2024-05-06T07:08:09.123456-02:00": 1714986489.123456}
+    df = spark.createDataFrame([(d,) for d in dates] + [(None,)], "d string")
+    assert {r["d"]: r["t"] and r["t"].timestamp() for r in df.select("d", C.parse_date(F.col("d")).alias("t")).collect()} == dates | {None: None}
+    urls = {"https://a.org/x": None, "https://A.ORG.": None, "http://a.org": "not_https", "https://u:p@a.org": "credentials", "https://10.example.org": "host_not_approved", "https://10.1.2.3": "private_host", "https://0.0.0.1:8": "private_host", "https://172.32.0.1": "host_not_approved", "https://x.localhost": "private_host", "https://[::1]/": "private_host", "https:///x": "private_host", "https://300.1.2.3": "host_not_approved"}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r["u"]: r["w"] for r in df.select("u", C.unsafe_url_reason(F.col("u"), ["a.org"]).alias("w")).collect()} == urls
+    assert [r[0] for r in spark.createDataFrame([(2.0, "million_tokens"), (2.0, "tokens"), (2.0, None), (None, "tokens")], "n double, u string").select(C.tokens(F.col("n"), F.col("u"))).collect()] == [2e6, 2.0, None, None]
