@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import discard, materialize, mix64, query, row_chunks, text_bytes, words
+from factloom.llm.common import discard, materialize, mix64, query, row_chunks, text_bytes, tidied, words
 
 _CHUNK = 1 << 20
 #: Places of the counts that order units by how common they are; any order gives the same links.
@@ -163,7 +163,7 @@ def _similarity():
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose unit sets have a similarity of at least `threshold`."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("units").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("units").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_similarity(), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(_similarity()), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
 
 
 def _slot_counts():
@@ -208,8 +208,8 @@ def _may_be_similar(x: str, y: str, threshold: float):
     return most >= threshold / (1 + threshold) * (n + m) - 1e-6
 
 
-def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: float, size: int, hot: int = 1000, leads: int = 16) -> DataFrame:
-    """Links between texts of `rest` (doc_id, part) whose parts, the components of `links`, differ.
+def _rest_links(docs: DataFrame, rest: DataFrame, threshold: float, size: int, hot: int = 1000, leads: int = 16) -> DataFrame:
+    """Links between texts of `rest` (doc_id, part) whose parts, the classes found so far, differ.
 
     The prefix filter is exact: in one order of all units, similar texts share
     a unit among the first of each. Rare units come first, so texts of a family
@@ -218,22 +218,22 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     are all compared. Units with the same texts count once. Groups of more than
     `hot` texts are split.
     """
-    sets = docs.join(rest.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
+    sets = docs.join(rest.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidied(_unit_sets(size)), "doc_id long, units binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, "rest-units")
     counts = sets.select("units").mapInArrow(_slot_counts(), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     level = np.zeros(_SLOTS, np.uint8)
     level[counts["slot"].to_numpy(np.int64)] = 6 * np.log2(counts["n"].to_numpy(float))
     entries = materialize(sets.mapInArrow(_prefixes(level, threshold), "key long, doc_id long, n int, place int"), "prefixes")
 
-    def mixed(parts):
-        """Entries of the units that texts of several parts have, and such units."""
-        own = entries.join(parts, "doc_id")
+    def mixed(rows, parts):
+        """Of the given entries, those of units that texts of several parts have, written with the parts; and such units."""
+        own = rows.join(parts, "doc_id")
         members = (F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("sum"))
         groups = own.groupBy("key").agg(F.count("*").alias("texts"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("place").alias("place"), *members)
         groups = groups.where(F.col("low") < F.col("high"))
         # Units that the same texts have, such as those of a passage, would give the same pairs again; the first of them is enough.
         firsts = groups.groupBy("texts", "mark", "sum").agg(F.min(F.struct("place", "key")).alias("first"))
-        return own, firsts.select("first.key", "texts")
+        return materialize(own.join(firsts.select("first.key", "texts"), "key"), "mixed-units")
 
     def ordered(x, y):
         return F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b")
@@ -241,25 +241,31 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     # A text that belongs to a class may be far from its lead. So each turn compares the texts of a unit with up to
     # `leads` others of it, drawn by a hash, which finds most such texts a partner with few comparisons. Where a turn
     # joins few more, the pairs of the parts left are compared in full: the turns change the work and not the classes.
+    # Parts only grow together, so a unit that is left out of one turn stays out.
     parts, stars, turn = rest, None, 0
     first = left = parts.select("part").distinct().count()
+    own = mixed(entries, parts)
+    discard(entries)
     while True:
-        own, groups = mixed(parts)
-        own = own.join(groups, "key", "left_semi")
         drawn = F.xxhash64("doc_id", F.lit(turn))
         lead = own.groupBy("key", F.pmod(drawn, F.lit(leads)).alias("slot")).agg(F.min(F.struct(drawn.alias("by"), "doc_id", "n", "place", "part")).alias("lead")).select("key", "lead")
         near = own.alias("x").join(lead, "key").where((F.col("x.part") != F.col("lead.part")) & _may_be_similar("x", "lead", threshold))
         new = materialize(_verified(near.select(*ordered("x", "lead")).distinct(), sets, threshold), "rest-stars")
         stars = new if stars is None else stars.unionByName(new)
-        if not new.isEmpty():
-            labels = components(links.unionByName(stars))
-            parts = materialize(rest.join(labels.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "part").alias("part")), "rest-parts")
+        if new.isEmpty():
+            break
+        # Whole parts are joined, so the graph has the parts as nodes.
+        side = lambda name: parts.select(F.col("doc_id").alias(name), F.col("part").alias(f"{name}_part"))
+        edges = new.join(side("a"), "a").join(side("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+        labels = components(edges).select(F.col("rep").alias("part"), "class_id")
+        parts = materialize(parts.join(labels, "part", "left").select("doc_id", F.coalesce("class_id", "part").alias("part")), "rest-parts")
         before, left, turn = left, parts.select("part").distinct().count(), turn + 1
+        last, own = own, mixed(own.drop("part", "texts"), parts)
+        discard(last)
         if before - left <= 0.05 * (first - left):
             break
-    own, groups = mixed(parts)
     pieces = F.ceil(F.col("texts") / hot).cast("int")
-    own = own.join(groups.select("key", pieces.alias("pieces")), "key")
+    own_rows, own = own, own.withColumn("pieces", pieces)
     # The shorter text's share is shorter: more than it needs units in common with a text that is no shorter.
     short = own.where(F.col("place") <= F.col("n") - 2 * threshold / (1 + threshold) * F.col("n") + 1e-6)
     short = short.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -269,7 +275,7 @@ def _rest_links(docs: DataFrame, rest: DataFrame, links: DataFrame, threshold: f
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     pairs = x.join(y, same & order & (F.col("x.part") != F.col("y.part")) & _may_be_similar("x", "y", threshold)).select(*ordered("x", "y")).distinct()
     found = materialize(_verified(pairs, sets, threshold), "rest-links")
-    for done in (sets, entries):
+    for done in (sets, own_rows):
         discard(done)
     return stars.unionByName(found)
 
@@ -307,7 +313,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     members = materialize(members, "members")
     for done in (ids, parts):
         discard(done)
-    signed = materialize(docs.mapInArrow(_sign(size, bands, band_rows), "doc_id long, bands array<long>, signature binary, weight long"), "signatures")
+    signed = materialize(docs.mapInArrow(tidied(_sign(size, bands, band_rows)), "doc_id long, bands array<long>, signature binary, weight long"), "signatures")
     distinct = members.where(F.col("doc_id") == F.col("rep")).select("doc_id")
     buckets = signed.where(F.col("weight") > 0).join(distinct, "doc_id").select("doc_id", F.explode("bands").alias("key"))
     leads = buckets.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
@@ -321,7 +327,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     discard(signed)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # The join is the same at every size: the wanted ids grow with the documents.
-    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_unit_sets(size), "doc_id long, units binary").dropDuplicates(["doc_id"])
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidied(_unit_sets(size)), "doc_id long, units binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, "units")
     links = materialize(_verified(likely, sets, threshold), "links")
     for done in (likely, sets):
@@ -334,7 +340,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     rest = materialize(others.join(open_keys, "key", "left_semi").select("doc_id", "part").distinct(), "rest")
     discard(stars)
     if not rest.isEmpty():
-        links = links.unionByName(_rest_links(docs, rest, links, threshold, size)).distinct()
+        links = links.unionByName(_rest_links(docs, rest, threshold, size)).distinct()
         labels = components(links)
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = members.join(labels, "rep", "left").join(n_links, "rep", "left")

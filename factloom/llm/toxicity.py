@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.llm.common import materialize, query
+from factloom.llm.common import materialize, query, tidied
 
 # Letters of other scripts that look like Latin ones, then digits and signs used for letters.
 _LOOKALIKES = {
@@ -150,7 +150,7 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     further bound cuts either list; both are as small as the rows, which training_rows() bounds. Without toxic rows the
     lexicon is empty and the score is the base rate everywhere.
     """
-    counted = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(tidied(_count_terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = materialize(counted.where("toxic >= 3 or term = 'n'"), "terms")
     n = counted.where("term = 'n'").first()
     n_toxic, n_clean = (n[1], n[2]) if n else (0, 0)
@@ -165,7 +165,7 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     lexicon = Lexicon(words, stems, list(exceptions))
     automaton = lexicon.automaton()
     if automaton is not None:
-        phrases = rows.mapInArrow(_count_phrases(automaton), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        phrases = rows.mapInArrow(tidied(_count_phrases(automaton)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         lexicon.exceptions += sorted(r[0] for r in phrases.where("clean >= 5 and toxic = 0").select("term").collect())
     lexicon.coefficients = _calibrate(rows, lexicon, base)
     return lexicon
@@ -196,7 +196,7 @@ def _calibrate(rows: DataFrame, lexicon: Lexicon, base: float) -> tuple[float, f
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), batch.column(1)], names=["a", "b", "label"])
 
     # Texts without a hit are alike, so this is as small as the number of different inputs in the bounded sample.
-    data = rows.mapInArrow(run, "a double, b double, label boolean").groupBy("a", "b").agg(F.count_if("label").alias("yes"), F.count("*").alias("n")).toPandas()
+    data = rows.mapInArrow(tidied(run), "a double, b double, label boolean").groupBy("a", "b").agg(F.count_if("label").alias("yes"), F.count("*").alias("n")).toPandas()
     if data.empty or not 0 < base < 1:
         return (math.log((base + 1e-3) / (1 - base + 1e-3)), 0.0, 0.0)
     x = np.column_stack([np.ones(len(data)), data["a"], data["b"]])
@@ -230,7 +230,7 @@ def score(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", score_
 
     from pyspark.sql import types as T
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return documents.mapInArrow(tidied(run), T.StructType([*documents.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out() -> Column:
