@@ -69,12 +69,20 @@ def gr3_neighbourhood(spark, sf_dir):
 
 @query(
     "gr5_unsupported_parts",
-    "SELECT p_partkey AS root, 'supplier' AS kind FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)",
+    """WITH r AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'),
+    c AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < -700)
+    SELECT 'p:' || p_partkey AS root, 'run' AS kind FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM r) UNION ALL SELECT 'p:' || p_partkey, 'certificate' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM c)""",
 )
 def gr5_unsupported_parts(spark, sf_dir):
-    facts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"))
-    paths = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("root"), F.lit("supplier").alias("kind"))
-    return provenance.uncovered(facts, paths, ["supplier"])
+    """Parts that no path over lines and orders leads to an open order (their run) or to a customer far in debt (their certificate)."""
+    tag = lambda mark, c: F.concat(F.lit(f"{mark}:"), F.col(c))
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = lines.select(tag("p", "l_partkey").alias("src"), tag("o", "l_orderkey").alias("dst")).unionByName(orders.select(tag("o", "o_orderkey").alias("src"), tag("c", "o_custkey").alias("dst")))
+    runs = orders.where("o_orderstatus = 'P'").select(tag("o", "o_orderkey").alias("node"), F.lit("run").alias("kind"))
+    certificates = table(spark, sf_dir, "customer").where("c_acctbal < -700").select(tag("c", "c_custkey").alias("node"), F.lit("certificate").alias("kind"))
+    roots = table(spark, sf_dir, "part").select(tag("p", "p_partkey").alias("root"))
+    found = provenance.evidence_paths(edges, roots, runs.unionByName(certificates))
+    return provenance.uncovered(roots, found.select("root", "kind"), ["run", "certificate"])
 
 
 @query(
