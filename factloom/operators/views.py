@@ -31,24 +31,41 @@ def fact_dossier(projection: DataFrame, decisions: DataFrame, observations: Data
     return dossier(roots, version_id, children)
 
 
-def entity_timeline(entities: DataFrame, facts: DataFrame, versions: DataFrame, relations: DataFrame, key: str = "entity_id", most: int = 20) -> DataFrame:
-    """Entities with their current facts, versions (newest first) and relations (JN-15)."""
+def incident_detail(incidents: DataFrame, key: str, logs: dict[str, tuple[DataFrame, list[str], list[str]]], calls: DataFrame, at: list[str], shown: list[str], most: int = 25) -> DataFrame:
+    """Incidents with the newest row of each log and their `most` newest model calls (JN-19): n_calls and calls, newest first by `at`."""
+    return dossier(with_newest(incidents, key, logs), key, {"calls": Child(calls, shown, [F.desc(c) for c in at], most)})
+
+
+def entity_timeline(entities: DataFrame, facts: DataFrame, versions: DataFrame, relations: DataFrame, decisions: DataFrame | None = None, key: str = "entity_id", most: int = 20) -> DataFrame:
+    """Entities with their current facts, versions (newest first), relations and, where given, decisions (decision_id, outcome, decided_at; newest first) (JN-15)."""
     children = {
         "facts": Child(facts, ["predicate", "state"], [F.col("predicate")], most),
         "versions": Child(versions, ["fact_version_id", "transaction_from"], [F.desc("transaction_from"), F.desc("fact_version_id")], most),
         "relations": Child(relations, ["target_id"], [F.col("target_id")], most),
     }
+    if decisions is not None:
+        children["decisions"] = Child(decisions, ["decision_id", "outcome", "decided_at"], [F.desc("decided_at"), F.desc("decision_id")], most)
     return dossier(entities, key, children)
 
 
-def identity_graph(entities: DataFrame, external_ids: DataFrame, aliases: DataFrame, lineage: DataFrame, key: str = "entity_id", most: int = 20) -> DataFrame:
-    """Entities with external ids, aliases and the lineage rows that name them at either end, each once (JN-17). lineage: from_id, to_id, kind."""
+def identity_graph(entities: DataFrame, external_ids: DataFrame, aliases: DataFrame, lineage: DataFrame, candidates: DataFrame | None = None, decisions: DataFrame | None = None, key: str = "entity_id", most: int = 20) -> DataFrame:
+    """Entities with external ids, aliases and the lineage rows that name them at either end, each once (JN-17). lineage: from_id, to_id, kind.
+
+    Where given, candidates (candidate_id, score; the best first) and decisions
+    (candidate_id, decision, decided_at; the newest first) come as lists too. A
+    decision belongs to every entity that its candidate names.
+    """
     both = lineage.select(F.col("from_id").alias(key), "from_id", "to_id", "kind").unionByName(lineage.select(F.col("to_id").alias(key), "from_id", "to_id", "kind")).distinct()
     children = {
         "external_ids": Child(external_ids.select(key, "external_id").distinct(), ["external_id"], [F.col("external_id")], most),
         "aliases": Child(aliases.select(key, "alias").distinct(), ["alias"], [F.col("alias")], most),
         "lineage": Child(both, ["from_id", "to_id", "kind"], [F.col("from_id"), F.col("to_id"), F.col("kind")], most),
     }
+    if candidates is not None:
+        children["candidates"] = Child(candidates, ["candidate_id", "score"], [F.desc("score"), F.col("candidate_id")], most)
+    if candidates is not None and decisions is not None:
+        of = candidates.select(key, "candidate_id").distinct().join(decisions, "candidate_id")
+        children["decisions"] = Child(of, ["candidate_id", "decision", "decided_at"], [F.desc("decided_at"), F.desc("candidate_id")], most)
     return dossier(entities, key, children)
 
 

@@ -32,21 +32,24 @@ def jn12_fact_dossiers(spark, sf_dir):
 @query(
     "jn15_entity_timelines",
     """WITH t AS (SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) AS versions FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 20) GROUP BY 1)
-    SELECT c_custkey AS entity_id, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_custkey = c_custkey) AS n_facts, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_versions, 1::BIGINT AS n_relations, coalesce(versions, '') AS versions
+    SELECT c_custkey AS entity_id, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_custkey = c_custkey) AS n_facts, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_versions, 1::BIGINT AS n_relations, coalesce(versions, '') AS versions,
+      (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'O') AS n_decisions, (SELECT max((o_orderdate, o_orderkey))[2] FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'O') AS last_decision
     FROM customer LEFT JOIN t ON o_custkey = c_custkey""",
 )
 def jn15_entity_timelines(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     relations = customers.select(F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").alias("target_id"))
-    out = views.entity_timeline(relations.select("entity_id"), _projected(spark, sf_dir), _versions(spark, sf_dir), relations)
-    return out.select("entity_id", "n_facts", "n_versions", "n_relations", F.array_join(F.col("versions.fact_version_id").cast("array<string>"), ",").alias("versions"))
+    decided = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("decision_id"), F.col("o_orderstatus").alias("outcome"), F.col("o_orderdate").alias("decided_at"))
+    out = views.entity_timeline(relations.select("entity_id"), _projected(spark, sf_dir), _versions(spark, sf_dir), relations, decided)
+    return out.select("entity_id", "n_facts", "n_versions", "n_relations", "n_decisions", F.get("decisions.decision_id", F.lit(0)).alias("last_decision"), F.array_join(F.col("versions.fact_version_id").cast("array<string>"), ",").alias("versions"))
 
 
 @query(
     "jn17_identity_graphs",
     """WITH l AS (SELECT DISTINCT c_custkey AS f, c_nationkey::BIGINT AS t FROM customer), b AS (SELECT f AS id, f, t FROM l UNION SELECT t, f, t FROM l)
     SELECT c_custkey AS entity_id, (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS n_external_ids, 2::BIGINT AS n_aliases, (SELECT count(*) FROM b WHERE id = c_custkey) AS n_lineage,
-      array_to_string(list_sort([c_name, c_mktsegment]), ',') AS aliases FROM customer""",
+      array_to_string(list_sort([c_name, c_mktsegment]), ',') AS aliases, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_candidates, (SELECT arg_max(o_orderkey, (o_totalprice, -o_orderkey)) FROM orders WHERE o_custkey = c_custkey) AS best_candidate,
+      (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R') AS n_decisions FROM customer""",
 )
 def jn17_identity_graphs(spark, sf_dir):
     """Customers whose nation's number stands for the entity they were merged into."""
@@ -54,8 +57,10 @@ def jn17_identity_graphs(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("external_id"))
     aliases = customers.select("entity_id", F.explode(F.array("c_name", "c_mktsegment")).alias("alias"))
     lineage = customers.select(F.col("entity_id").alias("from_id"), F.col("c_nationkey").cast("long").alias("to_id"), F.lit("merged").alias("kind"))
-    out = views.identity_graph(customers.select("entity_id"), ids, aliases, lineage)
-    return out.select("entity_id", "n_external_ids", "n_aliases", "n_lineage", F.array_join("aliases.alias", ",").alias("aliases"))
+    candidates = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("candidate_id"), F.col("o_totalprice").alias("score"))
+    decisions = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_linestatus").alias("decision"), F.col("l_shipdate").alias("decided_at"))
+    out = views.identity_graph(customers.select("entity_id"), ids, aliases, lineage, candidates, decisions)
+    return out.select("entity_id", "n_external_ids", "n_aliases", "n_lineage", "n_candidates", F.get("candidates.candidate_id", F.lit(0)).alias("best_candidate"), "n_decisions", F.array_join("aliases.alias", ",").alias("aliases"))
 
 
 @query(
@@ -73,16 +78,19 @@ def jn18_bundle_views(spark, sf_dir):
 
 @query(
     "jn19_incident_details",
-    """SELECT c_custkey AS incident_id, c_nationkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS last_run, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'O') AS last_review
+    """SELECT c_custkey AS incident_id, c_nationkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS last_run, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'O') AS last_review,
+      count(o_orderkey) AS n_calls, array_to_string(list_slice(coalesce(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC) FILTER (o_orderkey IS NOT NULL), []), 1, 25), ',') AS calls
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""",
 )
 def jn19_incident_details(spark, sf_dir):
-    """A customer as an incident, finished orders as its runs, open ones as its reviews."""
+    """A customer as an incident, finished orders as its runs, open ones as its reviews, all as its calls."""
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "incident_id")
     at = ["o_orderdate", "o_orderkey"]
     logs = {"run": (orders.where("o_orderstatus = 'F'"), at, ["o_orderkey"]), "review": (orders.where("o_orderstatus = 'O'"), at, ["o_orderpriority"])}
-    out = views.with_newest(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("incident_id"), "c_nationkey"), "incident_id", logs)
-    return out.select("incident_id", "c_nationkey", F.col("run.o_orderkey").alias("last_run"), F.col("review.o_orderpriority").alias("last_review"))
+    incidents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("incident_id"), "c_nationkey")
+    out = views.incident_detail(incidents, "incident_id", logs, orders, ["o_totalprice", "o_orderkey"], ["o_orderkey"])
+    calls = F.array_join(F.col("calls.o_orderkey").cast("array<string>"), ",").alias("calls")
+    return out.select("incident_id", "c_nationkey", F.col("run.o_orderkey").alias("last_run"), F.col("review.o_orderpriority").alias("last_review"), "n_calls", calls)
 
 
 @query(
