@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from factloom.functions.columns import normalize_identity
 from factloom.session import discard, materialize
@@ -15,6 +17,9 @@ POINTS = {
     "critical_conflict": -20, "lifecycle_conflict": -40,
 }
 
+# Inputs in a slice and entities in a list of ambiguous(), and rows that a task of it makes. Fields of LIST values fill whole bytes.
+SLICE, LIST, ROWS = 1024, 256, 2**23
+
 
 def _same(left: Column, right: Column) -> Column:
     return F.coalesce(left == right, F.lit(False))
@@ -202,10 +207,31 @@ def survivors(merges: DataFrame) -> DataFrame:
 
 
 def ambiguous(inputs: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """Inputs whose key belongs to several entities, one row for each of these (ID-3)."""
-    several = Window.partitionBy(key)
-    owners = keyed.select(key, "entity_id").distinct().withColumn("__n", F.count("*").over(several)).where("__n > 1").drop("__n")
-    return inputs.join(owners, key)
+    """Inputs whose key belongs to several entities, one row for each of these (ID-3).
+
+    That is inputs times entities of a key, however many there are, so each key
+    is cut twice: its inputs are dealt to slices of about SLICE, its entities
+    cut to lists of up to LIST, which every slice gets. A task takes each list
+    over a whole slice before the next one, so it holds one slice, and columns
+    repeat every LIST rows or change every LIST rows, which keeps files small.
+    """
+    owners = keyed.where(F.col(key).isNotNull()).select(key, "entity_id").distinct()
+    several = owners.groupBy(key).agg(F.count("*").alias("__owners")).where("__owners > 1")
+    sizes = materialize(several.join(inputs.groupBy(key).agg(F.count("*").alias("__inputs")), key).withColumn("__slices", F.ceil(F.col("__inputs") / SLICE)), "ambiguous-keys")
+    whole = sizes.agg(F.sum("__slices"), F.sum(F.col("__inputs") * F.col("__owners").cast("double"))).first()
+    # Lists are few bytes but many rows, so the number of tasks goes by rows.
+    tasks = max(int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(whole[0] or 1, math.ceil((whole[1] or 1) / ROWS), 10_000))
+    dealt = F.struct(key, "__slice").alias("__slice")  # one column, which a constant key does not take out of the deal
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n))
+    share = F.when(F.col("entity_id").isNotNull(), F.pmod(F.xxhash64("entity_id"), F.ceil(F.col("__owners") / (16 * LIST))))
+    shares = owners.join(sizes, key).groupBy(key, "__slices", share.alias("__share")).agg(F.sort_array(F.collect_list("entity_id")).alias("__all"))
+    cut = shares.select("*", upto(F.greatest(F.ceil(F.size("__all") / LIST) - 1, F.lit(0))).alias("__list")).withColumn("__entities", F.slice("__all", (F.col("__list") * LIST + 1).cast("int"), LIST))
+    lists = cut.select(key, "__entities", upto(F.col("__slices") - 1).alias("__slice")).select(dealt, "__entities")
+    plain = [f.name for f in inputs.schema.fields if isinstance(f.dataType, AtomicType)]
+    rows = inputs.join(sizes.select(key, "__slices"), key).withColumn("__slice", F.pmod(F.xxhash64(*plain), F.col("__slices"))).select(dealt, *inputs.columns)
+    pairs = lists.repartition(tasks, "__slice").join(rows.repartition(tasks, "__slice").hint("merge"), "__slice")
+    # The list of a null entity is empty, so it gives its one row too.
+    return pairs.select(key, *[c for c in inputs.columns if c != key], F.explode_outer("__entities").alias("entity_id"))
 
 
 def check_operations(entities: DataFrame, operations: DataFrame) -> DataFrame:

@@ -116,3 +116,29 @@ def test_dates_urls_and_quantities(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r["u"]: r["w"] for r in df.select("u", C.unsafe_url_reason(F.col("u"), ["a.org"]).alias("w")).collect()} == urls
     assert [r[0] for r in spark.createDataFrame([(2.0, "million_tokens"), (2.0, "tokens"), (2.0, None), (None, "tokens")], "n double, u string").select(C.tokens(F.col("n"), F.col("u"))).collect()] == [2e6, 2.0, None, None]
+
+
+def test_ambiguous_keys_are_dealt_and_their_files_small(spark, monkeypatch, tmp_path):
+    from factloom.operators import identity
+
+    odd = spark.createDataFrame([("a", "k"), ("b", "k"), ("b", "k"), ("c", None), ("d", "one"), ("e", "none"), (None, "k")], "who string, key string")
+    keyed = spark.createDataFrame([("k", 1), ("k", 2), ("k", 2), ("k", None), ("one", 3), ("one", 3), (None, 4), (None, 5), ("free", 6), ("free", 7)], "key string, entity_id long")
+    out = identity.ambiguous(odd, keyed, "key")
+    assert out.columns == ["key", "who", "entity_id"]
+    assert rows(out, "key", "who", "entity_id") == sorted([("k", w, e) for w in ("a", "b", "b", None) for e in (1, 2, None)], key=repr)
+
+    inputs = spark.range(0, 300, 1, 1).select("id", F.lit(7).alias("key"))
+    owners = spark.range(20_000).select(F.lit(7).alias("key"), F.col("id").alias("entity_id"))
+    path = tmp_path / "pairs"
+    identity.ambiguous(inputs, owners, "key").write.parquet(str(path))
+    back = spark.read.parquet(str(path))
+    assert back.agg(F.count_distinct("id"), F.count_distinct("entity_id"), F.count("*")).first()[:] == (300, 20_000, 6_000_000)
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 0.5 * 6_000_000
+
+    for name, n in (("SLICE", 32), ("LIST", 16), ("ROWS", 20_000)):
+        monkeypatch.setattr(identity, name, n, raising=False)
+    few = owners.where("entity_id < 700")
+    dealt = identity.ambiguous(inputs, few, "key")
+    assert dealt.distinct().count() == dealt.count() == 300 * 700
+    per_task = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 300 * 700 and max(per_task) < 300 * 700 // 2
