@@ -65,19 +65,30 @@ def blast_radius(changed: DataFrame, *hops: tuple[DataFrame, str]) -> DataFrame:
     return out
 
 
+def marked_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with edge_id, the node ids src and dst, kind and orphan (GR-1): whether an end is no node.
+
+    nodes: kind, ref; edges: src_kind, src_ref, dst_kind, dst_ref, kind. Equal
+    edges count once; kinds hold no |. Ends are looked for by kind and ref; ids,
+    of 64 letters each, are made after the joins, so that no shuffle carries them.
+    """
+    known = nodes.where("kind is not null and ref is not null").select("kind", F.col("ref").cast("string").alias("ref")).distinct()
+    refs = edges.select("src_kind", F.col("src_ref").cast("string").alias("src_ref"), "dst_kind", F.col("dst_ref").cast("string").alias("dst_ref"), "kind").distinct()
+    end = lambda e: known.select(F.col("kind").alias(f"{e}_kind"), F.col("ref").alias(f"{e}_ref"), F.lit(True).alias(f"__{e}"))
+    marked = refs.join(end("src"), ["src_kind", "src_ref"], "left").join(end("dst"), ["dst_kind", "dst_ref"], "left")
+    both = F.coalesce(F.col("__src") & F.col("__dst"), F.lit(False))
+    named = marked.select(node_id("src_kind", "src_ref").alias("src"), node_id("dst_kind", "dst_ref").alias("dst"), "kind", (~both).alias("orphan"))
+    return named.select(F.sha2(F.concat_ws("|", "kind", "src", "dst"), 256).alias("edge_id"), "src", "dst", "kind", "orphan")
+
+
 def graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Deterministic graph tables (GR-1): nodes with node_id, edges with edge_id, and edges that lack an end.
 
-    nodes: kind, ref; edges: src, dst (node ids) and kind. Equal rows count once; null refs are no nodes.
+    nodes: kind, ref; edges as in marked_edges. Equal rows count once; null refs are no nodes.
     """
     made = nodes.where("ref is not null").select(node_id("kind", "ref").alias("node_id"), "kind", "ref").dropDuplicates(["node_id"])
-    named = edges.select(F.sha2(F.concat_ws("|", "kind", F.coalesce("src", F.lit("")), F.coalesce("dst", F.lit(""))), 256).alias("edge_id"), "src", "dst", "kind").dropDuplicates(["edge_id"])
-    # One pass marks both ends, and is written, so that neither table evaluates the edges again.
-    end = lambda name: made.select(F.col("node_id").alias(name), F.lit(True).alias(f"__{name}"))
-    marked = materialize(named.join(end("src"), "src", "left").join(end("dst"), "dst", "left"), "edges")
-    both = F.coalesce(F.col("__src") & F.col("__dst"), F.lit(False))
-    pick = lambda condition: marked.where(condition).select("edge_id", "src", "dst", "kind")
-    return made, pick(both), pick(~both)
+    marked = marked_edges(nodes, edges)
+    return made, marked.where("not orphan").drop("orphan"), marked.where("orphan").drop("orphan")
 
 
 def node_id(kind: str, ref: str):

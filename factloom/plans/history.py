@@ -502,11 +502,9 @@ def gr4_order_bundles(spark, sf_dir):
 def gr1_supply_graph(spark, sf_dir):
     ref = lambda kind, c: (F.lit(kind).alias("kind"), F.col(c).cast("string").alias("ref"))
     nodes = table(spark, sf_dir, "part").where("p_size <= 40").select(*ref("part", "p_partkey")).unionByName(table(spark, sf_dir, "supplier").select(*ref("supplier", "s_suppkey")))
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    end = lambda kind, c: F.sha2(F.concat_ws("|", F.lit(kind), F.col(c).cast("string")), 256)
-    edges = pairs.select(end("part", "l_partkey").alias("src"), end("supplier", "l_suppkey").alias("dst"), F.lit("supplied_by").alias("kind"))
-    _, whole, orphans = provenance.graph(nodes, edges)
-    return whole.select("edge_id", F.lit(False).alias("orphan")).unionByName(orphans.select("edge_id", F.lit(True).alias("orphan")))
+    ends = (F.lit("part").alias("src_kind"), F.col("l_partkey").alias("src_ref"), F.lit("supplier").alias("dst_kind"), F.col("l_suppkey").alias("dst_ref"))
+    edges = table(spark, sf_dir, "lineitem").select(*ends, F.lit("supplied_by").alias("kind"))
+    return provenance.marked_edges(nodes, edges).select("edge_id", "orphan")
 
 
 @query(

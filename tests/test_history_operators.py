@@ -193,3 +193,25 @@ def test_price_contract_and_gates_with_nulls(spark):
     results = spark.createDataFrame([(1, "a", True, True), (1, "b", True, False), (2, "a", None, None)], "k int, s string, ok boolean, held boolean")
     gate = release.stage_gate(results, "k", "s", F.col("ok"), F.col("held"), F.lit(False), ["a", "b"])
     assert rows(gate, "k", "missing", "can_release") == [(1, [], True), (2, ["a", "b"], False)]
+
+
+def test_graph_marks_ends_without_ids_in_shuffles(spark):
+    import hashlib
+
+    from factloom.plans import registry
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    nodes = spark.createDataFrame([("part", "1"), ("part", "1"), ("part", None), ("maker", "9"), ("maker", "2")], "kind string, ref string")
+    data = [("part", 1, "maker", 9, "by"), ("part", 1, "maker", 9, "by"), ("part", 1, "maker", 9, "of"), ("maker", 2, "part", 1, "by"), ("part", 2, "maker", 9, "by"), ("part", 1, "maker", 1, "by"), ("part", None, "maker", 9, "by"), ("maker", 1, "part", 9, "by")]
+    edges = spark.createDataFrame(data, "src_kind string, src_ref long, dst_kind string, dst_ref long, kind string")
+    made, whole, orphans = provenance.graph(nodes, edges)
+    assert rows(made, "kind", "ref") == sorted([("part", "1"), ("maker", "9"), ("maker", "2")], key=repr)
+    want = lambda some: sorted([(sha(f"{k}|{sha(f'{a}|{b}')}|{sha(f'{c}|{d}')}"), sha(f"{a}|{b}"), sha(f"{c}|{d}"), k) for a, b, c, d, k in some], key=repr)
+    assert rows(whole, "edge_id", "src", "dst", "kind") == want([data[0], data[2], data[3]])
+    lost = rows(orphans, "edge_id", "src", "dst", "kind")
+    assert len(lost) == 4 and set(want([data[4], data[5], data[7]])) < set(lost)
+
+    query = registry.QUERIES["gr1_supply_graph"](spark, "/root/testdata/sf0.001")
+    assert all("/root/testdata/sf0.001/" in f for f in query.inputFiles())  # nothing is written in between
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan and "sha2" not in plan[plan.index("Exchange") :]
