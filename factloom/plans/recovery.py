@@ -117,10 +117,10 @@ def fn2_unicode_identifiers(spark, sf_dir):
 def src4_table_records(spark, sf_dir):
     """The lines of each order as a page with a table, read back as records."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.format_string("<tr><td>%d<td> %d\n<td><b>%s</b>&amp;%s</tr>", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("row"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["row"]), "")
+    body = F.array_join(F.sort_array(F.collect_list(line))["row"], "")
     page = F.concat(F.format_string("<body><!-- <td> --><table><tr><th colspan=3>Order %d<tr><th>Line<th>Part<th>State</tr>", "l_orderkey"), "body", F.lit("</table><script>x='<td>'</script>"))
     pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(body.alias("body")).select("l_orderkey", page.alias("html"))
-    return tables.table_records(tables.table_cells(pages), "l_orderkey").select("l_orderkey", "row_no", "field", "text")
+    return tables.page_records(pages).select("l_orderkey", "row_no", "field", "text")
 
 
 @query(
